@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from matchlake import vocab as V
 from matchlake.functions.text import (LINE_BREAK, WHITESPACE, clean_ws, contains_any,
-                                      norm_search, search_term,
+                                      dictionary_sql, norm_search,
                                       split_keywords, string_array, strip, text_or_empty)
 
 _PERSONA = r"(?iU)^persona(?:\s+\d+)?\b"
@@ -214,8 +214,9 @@ def evidence_text(text: Column) -> Column:
 def supported_skills(skills: Column, evidence: Column) -> Column:
     """Sorted union of typed skills and known terms found in the evidence."""
     normal = norm_search(evidence)
-    found = F.array_compact(F.array(*[F.when(normal.contains(search_term(t)), F.lit(t))
-                                      for t in V.SUPPORTED_SKILL_TERMS]))
+    known = F.expr(dictionary_sql(V.SUPPORTED_SKILL_TERMS))
+    found = F.transform(F.filter(known, lambda d: F.contains(normal, d["form"])),
+                        lambda d: d["term"])
     return F.array_sort(F.array_union(split_keywords(skills), found))
 
 
@@ -230,9 +231,7 @@ def background(text: Column) -> Column:
 
     def heading(x: Column) -> Column:
         n = normal(x)
-        starts_label = F.lit(False)
-        for label in labelled:
-            starts_label = starts_label | n.startswith(label + ":")
+        starts_label = n.rlike("^(?:" + "|".join(labelled) + "):")
         return F.when(n.isin(list(V.BACKGROUND_HEADINGS)), n) \
             .when(starts_label, "label") \
             .when(n.startswith("background:"), "background")
@@ -307,9 +306,7 @@ def evidence_lines(text: Column, name: Column, background_text: Column,
 
     def noisy(x: Column) -> Column:
         low = F.lower(_no_colons(x))
-        label_start = F.lit(False)
-        for label in labels:
-            label_start = label_start | low.startswith(label + ":")
+        label_start = low.rlike("^(?:" + "|".join(labels) + "):")
         parts = F.filter(F.transform(F.split(x, ","), lambda p: F.lower(strip(p))),
                          lambda p: p != "")
         listed = F.size(F.filter(parts, lambda p: F.array_contains(known, p)))

@@ -119,11 +119,11 @@ def preferred_location_terms(c: Column) -> Column:
     """Words of the preference plus the abbreviation of every state it names."""
     normal = location_form(text_or_empty(c))
     states = F.filter(
-        F.array(*[F.struct(F.lit(n).alias("name"), F.lit(a.lower()).alias("abbr"))
-                  for n, a in V.US_STATES.items()]),
+        F.expr("array(" + ", ".join(f"named_struct('name', '{n}', 'short', '{a.lower()}')"
+                                    for n, a in V.US_STATES.items()) + ")"),
         lambda s: F.contains(normal, s["name"]))
     return F.array_union(F.filter(F.split(normal, " "), lambda w: w != ""),
-                         F.transform(states, lambda s: s["abbr"]))
+                         F.transform(states, lambda s: s["short"]))
 
 
 def location_score_legacy(preferred: Column, location: Column, context: Column) -> Column:

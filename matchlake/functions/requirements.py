@@ -6,56 +6,57 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from matchlake import vocab as V
-from matchlake.functions.text import any_term, matched_terms, safe_number
+from matchlake.functions.text import (BLANKS, WORD_END, WORD_START, any_term, matched_terms,
+                                      safe_number, search_term, string_array)
 
-_TAIL = r"\s*(?:years|yrs)\b(?:\s+of\s+experience)?"
+_UNIT = rf"[{BLANKS}]*(?:years|yrs){WORD_END}(?:[{BLANKS}]+of[{BLANKS}]+experience)?"
+_COUNT = rf"(?=[0-9]){WORD_START}([0-9]{{1,2}})"
 # fixed values: the phrasings that state a number of years, in order of preference
 _YEAR_PHRASES = (
-    r"\b(?:minimum|at least)\s+(\d{1,2})\s*\+?" + _TAIL,
-    r"\b(\d{1,2})\s*-\s*\d{1,2}" + _TAIL,
-    r"\b(\d{1,2})\s*\+?" + _TAIL,
-    r"\b(\d{1,2})\s+or\s+more\s+(?:years|yrs)\b(?:\s+of\s+experience)?",
+    rf"(?=[ma]){WORD_START}(?:minimum|at least)[{BLANKS}]+([0-9]{{1,2}})[{BLANKS}]*\+?{_UNIT}",
+    rf"{_COUNT}[{BLANKS}]*-[{BLANKS}]*[0-9]{{1,2}}{_UNIT}",
+    rf"{_COUNT}[{BLANKS}]*\+?{_UNIT}",
+    rf"{_COUNT}[{BLANKS}]+or[{BLANKS}]+more[{BLANKS}]{_UNIT}",
 )
-_AFTER = r"(?=(.{0,12}))"
 MAX_YEARS = 15
 
 
-def _as_options(found: Column, order: int) -> Column:
+def _as_options(found: Column, phrase: str, order: int) -> Column:
     return F.transform(found, lambda m, i: F.struct(
-        m["n"].try_cast("int").alias("years"), F.lit(order).alias("phrasing"),
-        i.alias("place"), m["phrase"].alias("phrase")))
+        F.regexp_extract(m, "^" + phrase, 1).try_cast("int").alias("years"),
+        F.lit(order).alias("phrasing"), i.alias("place"),
+        F.regexp_extract(m, f"^({phrase})", 1).alias("phrase")))
 
 
 def years_required(description: Column) -> Column:
-    """Smallest required number of years as (years, phrase); NULL when none is stated.
+    """Struct (years, phrasing, place, phrase) of the smallest required number of years.
 
-    Equal years keep the phrase of the earlier phrasing, then the earlier place.
-    The twelve characters after a phrase are captured to rule out "5 years ago".
+    NULL when none is stated.  Equal years keep the phrase of the earlier phrasing,
+    then the earlier place.  Each match is captured with the twelve characters behind
+    it, to rule out "5 years ago".  The phrasings are only tried on texts that can
+    match one of them.
     """
     text = F.lower(description)
-    options = []
+    counted, spelled = [], []
     for order, phrase in enumerate(_YEAR_PHRASES):
-        pattern = F.lit(f"(?sU)({phrase}){_AFTER}")
-        found = F.arrays_zip(
-            F.regexp_extract_all(text, pattern, 2).alias("n"),
-            F.regexp_extract_all(text, pattern, 1).alias("phrase"),
-            F.regexp_extract_all(text, pattern, 3).alias("after"))
-        kept = F.filter(found, lambda m: (m["n"].try_cast("int") <= MAX_YEARS)
-                        & ~m["after"].contains("ago"))
-        options.append(_as_options(kept, order))
+        found = F.regexp_extract_all(
+            text, F.lit(f"(?s)(?=({phrase}.{{0,12}})){phrase}"), 1)
+        options = _as_options(F.filter(found, lambda m: ~m.contains("ago")), phrase, order)
+        counted.append(F.filter(options, lambda o: o["years"] <= MAX_YEARS))
     for order, (word, years) in enumerate(V.YEAR_WORDS.items(), len(_YEAR_PHRASES)):
-        pattern = rf"(?sU)(\b(?:minimum|at least)?\s*{word}\s+(?:years|yrs)\b" \
-                  rf"(?:\s+of\s+experience)?){_AFTER}"
-        phrase = F.regexp_extract(text, pattern, 1)
-        after = F.regexp_extract(text, pattern, 2)
-        options.append(F.when((phrase != "") & ~after.contains("ago"), F.array(F.struct(
+        phrase = rf"\b(?:minimum|at least)?\s*{word}\s+(?:years|yrs)\b(?:\s+of\s+experience)?"
+        found = F.regexp_extract(text, f"(?sU)(?=({phrase}.{{0,12}})){phrase}", 1)
+        spelled.append(F.when((found != "") & ~found.contains("ago"), F.array(F.struct(
             F.lit(years).alias("years"), F.lit(order).alias("phrasing"),
-            F.lit(0).alias("place"), phrase.alias("phrase")))))
-    merged = F.flatten(F.array_compact(F.array(*options)))
-    best = F.array_min(merged)
+            F.lit(0).alias("place"),
+            F.regexp_extract(found, f"(?sU)^({phrase})", 1).alias("phrase")))))
+    unit = rf"[{BLANKS}]*(?:years|yrs)"
+    has_count = text.rlike(rf"(?:[0-9]|[0-9][{BLANKS}]*\+|more){unit}")
+    has_word = text.rlike(rf"(?:{'|'.join(V.YEAR_WORDS)})[{BLANKS}]{unit}")
     return F.when(text.contains("years") | text.contains("yrs"),
-                  F.when(best.isNotNull(), F.struct(best["years"].alias("years"),
-                                                    best["phrase"].alias("phrase"))))
+                  F.array_min(F.flatten(F.array_compact(F.array(
+                      F.when(has_count, F.flatten(F.array(*counted))),
+                      F.when(has_word, F.flatten(F.array_compact(F.array(*spelled)))))))))
 
 
 def employment_type(unpaid: Column, contract: Column, padded: Column) -> Column:
@@ -67,17 +68,19 @@ def employment_type(unpaid: Column, contract: Column, padded: Column) -> Column:
 
 def role_family(hits: Column) -> Column:
     """Family with most dictionary hits; the earlier family wins a tie."""
-    counts = {f: F.size(matched_terms(hits, t)) for f, t in V.INFERRED_FAMILY_TERMS.items()}
-    best = F.array_max(F.array(*[F.struct(n.alias("n"), F.lit(-i).alias("i"),
-                                          F.lit(f).alias("family"))
-                                 for i, (f, n) in enumerate(counts.items())]))
+    counts = [F.struct(F.size(F.array_intersect(
+        string_array(map(search_term, terms)), hits)).alias("n"),
+        F.lit(-i).alias("i"), F.lit(family).alias("family"))
+        for i, (family, terms) in enumerate(V.INFERRED_FAMILY_TERMS.items())]
+    best = F.array_max(F.array(*counts))
     return F.when(best["n"] > 0, best["family"]).otherwise("unknown")
 
 
 def senior_title_terms(title: Column) -> Column:
     """Seniority words of a title, bounded as words, sorted."""
     words = F.regexp_extract_all(
-        F.lower(title), F.lit(r"(?U)\b(" + "|".join(V.SENIOR_TERMS) + r")\.?\b"), 1)
+        F.lower(title), F.lit(rf"{WORD_START}({'|'.join(V.SENIOR_TERMS)})"
+                              rf"(?:\.(?=[\p{{L}}\p{{N}}_])|{WORD_END})"), 1)
     return F.array_sort(F.array_distinct(words))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from matchlake import vocab as V
-from matchlake.functions.text import safe_number, strip, text_or_empty
+from matchlake.functions.text import WORD_END, WORD_START, safe_number, strip, text_or_empty
 
 _NUMBER = "([0-9][0-9,]*(?:[.][0-9]+)?)"
 _SCHEMA = ("value string, minValue string, maxValue string, text string, "
@@ -79,7 +79,7 @@ def salary_annual(c: Column) -> Column:
     numbers = numbers_in(text)
     from_text = (
         F.when((text == "") | lowered.isin(list(V.NO_SALARY_TEXTS)), None)
-        .when(lowered.rlike(r"(?U)\b(?:" + "|".join(V.NON_ANNUAL_WORDS) + r")\b"), None)
+        .when(lowered.rlike(WORD_START + "(?:" + "|".join(V.NON_ANNUAL_WORDS) + ")" + WORD_END), None)
         .when(F.size(numbers) >= 2, (F.get(numbers, 0) + F.get(numbers, 1)) / 2)
         .otherwise(F.get(numbers, 0)))
     return (F.when(parsed.isNotNull() & (period != "") & ~period.isin(list(V.ANNUAL_PERIODS)),

@@ -15,10 +15,22 @@ from collections.abc import Callable, Iterable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
+# The classes below are written as plain ranges.  Negated or Unicode-flagged classes
+# match the same texts but make all tasks of one JVM wait for each other (a type-check
+# cache of the regex engine is shared), which cost a factor of seven on eight cores.
+# fixed value: the white space of Unicode text
+BLANKS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WHITESPACE = f"[{BLANKS}]+"
+# word edges, written out so that every JVM version reads them alike
+WORD_START = r"(?<![\p{L}\p{N}_])"
+WORD_END = r"(?![\p{L}\p{N}_])"
+# everything but a-z, 0-9 and the kept signs, for lower-cased text
+LOCATION_GAPS = r"\P{Alnum}+"
+SEARCH_GAPS = r'[\x00-"$-*,\-/:-`{-\x{10FFFF}]+'
+COVERAGE_GAPS = r'[\x00-"$-*,/:-`{-\x{10FFFF}]+'
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
-BOUND_LEFT = "(?<![a-z0-9])"
-BOUND_RIGHT = "(?![a-z0-9])"
+BOUND_LEFT = r"(?<!\p{Alnum})"
+BOUND_RIGHT = r"(?!\p{Alnum})"
 
 
 def text_or_empty(c: Column) -> Column:
@@ -32,29 +44,34 @@ def clean_ws(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Remove white space at both ends only."""
-    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    return F.regexp_replace(c, rf"^[{BLANKS}]+|[{BLANKS}]+\z", "")
+
+
+def sql_string(value: str) -> str:
+    """SQL literal of a text; long constant lists are parsed in one call."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
 
 
 def string_array(values: Iterable[str]) -> Column:
     values = list(values)
     if not values:
-        return F.array().cast("array<string>")
-    return F.array(*[F.lit(v) for v in values])
+        return F.expr("cast(array() as array<string>)")
+    return F.expr("array(" + ", ".join(map(sql_string, values)) + ")")
 
 
 # --- normal forms ---------------------------------------------------------------
 
 def location_form(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(F.lower(c), LOCATION_GAPS, " "))
 
 
 def search_form(c: Column) -> Column:
     """Lower case, only ``a-z0-9+#.``, single blanks, no padding."""
-    return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9+#.]+", " "))
+    return F.trim(F.regexp_replace(F.lower(c), SEARCH_GAPS, " "))
 
 
 def coverage_form(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9+#.-]+", " "))
+    return F.trim(F.regexp_replace(F.lower(c), COVERAGE_GAPS, " "))
 
 
 def pad(c: Column) -> Column:
@@ -103,10 +120,8 @@ def contains_phrase(text: Column, phrase: Column | str) -> Column:
 
 
 def contains_any(text: Column, needles: Iterable[str]) -> Column:
-    found = F.lit(False)
-    for needle in needles:
-        found = found | text.contains(needle)
-    return found
+    """Does the text contain one of the needles anywhere?  One pass over the text."""
+    return text.rlike(_tree_pattern(sorted(set(needles))))
 
 
 # --- dictionary terms -------------------------------------------------------------
@@ -153,22 +168,21 @@ class TermIndex:
         found = F.array_distinct(F.regexp_extract_all(normal_text, F.lit(self.pattern), 1))
         if not self.implied:
             return found
-        shorter = F.create_map(*[x for term, inner in self.implied.items()
-                                 for x in (F.lit(term), string_array(inner))])
+        shorter = F.expr("map(" + ", ".join(
+            f"{sql_string(term)}, array({', '.join(map(sql_string, inner))})"
+            for term, inner in self.implied.items()) + ")")
         extra = F.flatten(F.transform(
             F.filter(found, lambda t: t.isin(list(self.implied))),
             lambda t: F.try_element_at(shorter, t)))
         return F.array_union(found, extra)
 
 
-def dictionary_array(terms: Iterable[str],
-                     form: Callable[[str], str] = search_term) -> Column:
-    """Literal array of (term, normal form), in sorted order of the terms."""
-    terms = sorted(terms)
-    if not terms:
-        return F.array().cast("array<struct<term:string,form:string>>")
-    return F.array(*[F.struct(F.lit(t).alias("term"), F.lit(form(t)).alias("form"))
-                     for t in terms])
+def dictionary_sql(terms: Iterable[str], form: Callable[[str], str] = search_term) -> str:
+    """SQL array of (term, normal form) structs, in the order given."""
+    rows = ", ".join(f"named_struct('term', {sql_string(t)}, 'form', {sql_string(form(t))})"
+                     for t in terms)
+    return f"array({rows})" if rows \
+        else "cast(array() as array<struct<term:string,form:string>>)"
 
 
 def matched_from(hits: Column, dictionary: Column) -> Column:
@@ -180,7 +194,11 @@ def matched_from(hits: Column, dictionary: Column) -> Column:
 def matched_terms(hits: Column, terms: Iterable[str],
                   form: Callable[[str], str] = search_term) -> Column:
     """Sorted list of the dictionary terms present, given the text's hits."""
-    return matched_from(hits, dictionary_array(terms, form))
+    terms = sorted(terms)
+    if all(form(t) == t for t in terms):
+        # keeps the order of the first array
+        return F.array_intersect(string_array(terms), hits)
+    return matched_from(hits, F.expr(dictionary_sql(terms, form)))
 
 
 def any_term(hits: Column, terms: Iterable[str],
@@ -250,7 +268,8 @@ def title_case(c: Column) -> Column:
 
 def skill_name(c: Column, names: dict[str, str]) -> Column:
     normal = F.lower(clean_ws(c))
-    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    table = F.expr("map(" + ", ".join(f"{sql_string(k)}, {sql_string(v)}"
+                                      for k, v in names.items()) + ")")
     return F.coalesce(F.try_element_at(table, normal), title_case(normal))
 
 
@@ -272,9 +291,7 @@ def extract_skills(text: Column, vocabulary: Sequence[str]) -> Column:
     """Vocabulary skills present in ``text``, in vocabulary order."""
     lowered = F.lower(F.regexp_replace(text_or_empty(text), WHITESPACE, " "))
     hits = TermIndex(vocabulary, form=plain_term).hits(lowered)
-    ordered = F.array(*[F.struct(F.lit(s).alias("term"), F.lit(s.lower()).alias("form"))
-                        for s in vocabulary])
-    return matched_from(hits, ordered)
+    return matched_from(hits, F.expr(dictionary_sql(vocabulary, plain_term)))
 
 
 def safe_number(c: Column) -> Column:

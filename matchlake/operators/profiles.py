@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from matchlake import vocab as V
 from matchlake.functions import location as L
-from matchlake.functions.text import (TermIndex, any_term, dictionary_array,
-                                      location_form, norm_search, split_target_roles,
+from matchlake.functions.text import (TermIndex, any_term, dictionary_sql, location_form,
+                                      norm_search, split_target_roles, sql_string,
                                       string_array)
 from matchlake.operators.order import rank_all
 
@@ -74,11 +74,11 @@ def internship_active(flag: Column, preference: Column) -> Column:
     return flag | preference.isin(list(V.AVOIDS_INTERNSHIP))
 
 
-def _family_dictionary(family: Column, table: dict[str, tuple[str, ...]]) -> Column:
-    chosen = F.when(F.lit(False), dictionary_array(()))
-    for name, terms in table.items():
-        chosen = chosen.when(family == name, dictionary_array(terms))
-    return chosen.otherwise(dictionary_array(()))
+def _dictionary_of(column: str, table: dict[str, tuple[str, ...]]) -> Column:
+    """(term, form) array that belongs to a column's value, empty for other values."""
+    arms = " ".join(f"WHEN {column} = {sql_string(name)} THEN {dictionary_sql(sorted(terms))}"
+                    for name, terms in table.items())
+    return F.expr(f"CASE {arms} ELSE {dictionary_sql(())} END")
 
 
 def prepare_profiles(profiles: DataFrame) -> DataFrame:
@@ -104,9 +104,8 @@ def prepare_profiles(profiles: DataFrame) -> DataFrame:
         "ends_years": F.arrays_overlap(raw, string_array(V.YEARS_DEALBREAKERS)),
         "ends_other": F.filter(raw, lambda d: ~d.isin(list(grouped))),
         "no_internship": internship_active(c["avoid_internship"], c["seniority_preference"]),
-        "bonus_terms": _family_dictionary(c["company_preference"], V.COMPANY_PREFERENCE_BONUS),
-        "penalty_terms": _family_dictionary(c["company_preference"],
-                                            V.COMPANY_PREFERENCE_PENALTY),
+        "bonus_terms": _dictionary_of("company_preference", V.COMPANY_PREFERENCE_BONUS),
+        "penalty_terms": _dictionary_of("company_preference", V.COMPANY_PREFERENCE_PENALTY),
     }
     out = profiles.select("profile_id", *[v.alias(f"p_{k}") for k, v in c.items()
                                           if k != "profile_id"],
@@ -122,8 +121,8 @@ def prepare_profiles(profiles: DataFrame) -> DataFrame:
     return out.withColumns({
         "p_named_place": any_place,
         "p_place_reasons": F.array_join(reasons, " / "),
-        "p_positive": _family_dictionary(F.col("p_family"), V.ROLE_POSITIVE_TERMS),
-        "p_negative": _family_dictionary(F.col("p_family"), V.ROLE_NEGATIVE_TERMS)})
+        "p_positive": _dictionary_of("p_family", V.ROLE_POSITIVE_TERMS),
+        "p_negative": _dictionary_of("p_family", V.ROLE_NEGATIVE_TERMS)})
 
 
 def _inline(prepared: DataFrame) -> Column:

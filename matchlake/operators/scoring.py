@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchlake import vocab as V
-from matchlake.functions.text import (join_forms, location_form, matched_from,
-                                      matched_terms, pad, search_term, string_array)
+from matchlake.functions.text import (BLANKS, WORD_END, WORD_START, dictionary_sql,
+                                      join_forms, location_form, matched_from,
+                                      matched_terms, pad, string_array)
 from matchlake.functions.vectors import round2
 
 FEEDBACK_DEFAULTS = ("feedback_label", "feedback_adjustment_score",
@@ -54,28 +55,56 @@ def _outcome(points: int, reason: Column | str) -> Column:
     return F.struct(F.lit(points).alias("points"), reasons.alias("reasons"))
 
 
+# --- what the rules look at ------------------------------------------------------------
+
+def score_inputs(pairs: DataFrame) -> DataFrame:
+    """Texts and term lists of a pair, as columns so that each is computed once."""
+    texts = pairs.withColumns({
+        "_title_text": pad(_c("_n_title")),
+        "_content_text": pad(join_forms(_c("_n_title"), _c("_n_desc"))),
+        "_breaker_text": F.concat(pad(_c("_n_title")), F.lit(" "), pad(_c("_n_desc")))})
+    title, roles = _c("_title_text"), _c("p_roles")
+    defense = F.expr(dictionary_sql(sorted(V.DEFENSE_TERMS)))
+    none = string_array([])
+    return texts.withColumns({
+        "_role_titled": F.filter(roles, lambda r: F.contains(title, r)),
+        "_role_related": F.filter(roles, lambda r: F.exists(
+            F.filter(F.split(r, f"[{BLANKS}]+"), lambda w: (F.length(w) > 2)
+                     & ~w.isin(list(V.GENERIC_ROLE_WORDS))),
+            lambda w: F.contains(title, w))),
+        "_ml_terms": F.when(_c("p_ml_role"), F.array_sort(F.transform(
+            F.filter(string_array(V.ML_RELEVANCE_TERMS),
+                     lambda t: F.contains(_c("_content_text"), t)), F.trim))).otherwise(none),
+        "_fit_title": matched_from(_c("_title_hits"), _c("p_positive")),
+        "_fit_found": matched_from(_c("_content_hits"), _c("p_positive")),
+        "_fit_negative": matched_from(_c("_content_hits"), _c("p_negative")),
+        "_training": matched_terms(_c("_title_hits"), V.TRAINING_TITLE_TERMS),
+        "_generic": matched_terms(_c("_title_hits"), V.GENERIC_SOFTWARE_TITLES),
+        "_skills": F.filter(_c("p_skills"), lambda s: F.contains(_c("_plain"), s)),
+        "_location_check": location_pass(),
+        "_defense_found": F.when(_c("p_ends_defense"), F.transform(
+            F.filter(defense, lambda d: F.contains(_c("_breaker_text"), d["form"])),
+            lambda d: d["term"])).otherwise(none),
+        "_other_found": F.filter(_c("p_ends_other"),
+                                 lambda d: F.contains(_c("_breaker_text"), d)),
+        "_bonus_found": matched_from(_c("_preference_hits"), _c("p_bonus_terms")),
+        "_penalty_found": matched_from(_c("_preference_hits"), _c("p_penalty_terms"))}) \
+        .withColumn("_fit_content", F.array_except("_fit_found", "_fit_title"))
+
+
 # --- role ------------------------------------------------------------------------------
 
 def target_role_score() -> Column:
-    title = pad(_c("_n_title"))
-    content = pad(join_forms(_c("_n_title"), _c("_n_desc")))
-    roles = _c("p_roles")
-    in_title = F.filter(roles, lambda r: F.contains(title, r))
-    related = F.filter(roles, lambda r: F.exists(
-        F.filter(F.split(r, r"\s+"),
-                 lambda w: (F.length(w) > 2) & ~w.isin(list(V.GENERIC_ROLE_WORDS))),
-        lambda w: F.contains(title, w)))
-    ml_terms = F.array_sort(F.transform(
-        F.filter(string_array(V.ML_RELEVANCE_TERMS), lambda t: F.contains(content, t)), F.trim))
-    ml = F.when(_c("p_ml_role"), ml_terms).otherwise(string_array([]))
+    ml = _c("_ml_terms")
     bonus = F.least(F.lit(35), 5 * F.size(ml))
-    given = F.size(roles) > 0
-    titled, partial = F.size(in_title) > 0, F.size(related) > 0
+    given = F.size("p_roles") > 0
+    titled, partial = F.size("_role_titled") > 0, F.size("_role_related") > 0
     head = "Target role relevance: "
     return result(
-        (given & titled, F.lit(40), F.concat(F.lit(head + "+40 title match: "), _joined(in_title))),
-        (given & ~titled & partial, F.lit(20),
-         F.concat(F.lit(head + "+20 related title terms: "), _joined(related))),
+        (given & titled, F.lit(40), F.concat(
+            F.lit(head + "+40 title match: "), _joined(_c("_role_titled")))),
+        (given & ~titled & partial, F.lit(20), F.concat(
+            F.lit(head + "+20 related title terms: "), _joined(_c("_role_related")))),
         (given & ~titled & ~partial, F.lit(0), F.lit(head + "+0 not directly found in title")),
         (F.size(ml) > 0, bonus, F.concat(
             F.lit(head + "+"), _signed(bonus), F.lit(" ML/applied science terms: "),
@@ -87,12 +116,8 @@ def target_role_score() -> Column:
 def role_fit_score() -> Column:
     family = _c("p_family")
     special = family.isin(list(V.SPECIALIST_FAMILIES))
-    in_title = matched_from(_c("_title_hits"), _c("p_positive"))
-    found = matched_from(_c("_content_hits"), _c("p_positive"))
-    content = F.array_except(found, in_title)
-    negative = matched_from(_c("_content_hits"), _c("p_negative"))
-    training = matched_terms(_c("_title_hits"), V.TRAINING_TITLE_TERMS)
-    generic = matched_terms(_c("_title_hits"), V.GENERIC_SOFTWARE_TITLES)
+    in_title, content = _c("_fit_title"), _c("_fit_content")
+    negative, training, generic = _c("_fit_negative"), _c("_training"), _c("_generic")
     title_bonus = F.least(F.lit(50), 25 + 5 * F.size(in_title))
     content_bonus = F.least(F.lit(35), 7 * F.size(content))
     penalty = F.least(F.lit(60), 30 + 10 * (F.size(negative) - 1))
@@ -111,7 +136,7 @@ def role_fit_score() -> Column:
         (special & (F.size(generic) > 0) & ~titled, F.lit(-70), F.concat(
             F.lit("Role fit: -70 generic software title without target-role evidence: "),
             _joined(generic, 5))),
-        (F.size(found) == 0, F.lit(-35),
+        (F.size("_fit_found") == 0, F.lit(-35),
          F.concat(F.lit("Role fit: -35 no clear "), family, F.lit(" evidence"))))
     return F.when(family == "general", _outcome(
         0, "Role fit: +0 no specialized role family detected")).otherwise(scored)
@@ -128,10 +153,6 @@ def role_fit_penalty(score: Column, strictness: Column) -> Column:
 
 # --- skills, location, salary, dealbreakers -----------------------------------------------
 
-def matched_skills() -> Column:
-    return F.filter(_c("p_skills"), lambda s: F.contains(_c("_plain"), s))
-
-
 def skill_score(matched: Column) -> Column:
     points = F.least(F.lit(40), 10 * F.size(matched))
     some = F.size(matched) > 0
@@ -207,15 +228,12 @@ def salary_fit_score() -> Column:
 
 
 def dealbreaker_score() -> Column:
-    text = F.concat(pad(_c("_n_title")), F.lit(" "), pad(_c("_n_desc")))
-    senior = _c("_senior")
-    defense = F.when(_c("p_ends_defense"), F.array_compact(F.array(
-        *[F.when(text.contains(search_term(t)), F.lit(t)) for t in sorted(V.DEFENSE_TERMS)]))) \
-        .otherwise(string_array([]))
+    senior, defense, other = _c("_senior"), _c("_defense_found"), _c("_other_found")
+    text = F.lower("description")
     # fixed value: phrasings of five to nine years
-    many_years = F.lower("description").rlike(
-        r"(?U)\b[5-9]\+?\s*years\b|\b(?:five|six|seven)\s+years\b")
-    other = F.filter(_c("p_ends_other"), lambda d: F.contains(text, d))
+    many_years = text.contains("years") & text.rlike(
+        rf"(?=[5-9fs]){WORD_START}(?:[5-9]\+?[{BLANKS}]*|(?:five|six|seven)[{BLANKS}]+)"
+        rf"years{WORD_END}")
     penalty = 25 * F.size(other)
     head = "Dealbreaker penalty: -"
     return result(
@@ -235,9 +253,10 @@ def seniority_score() -> Column:
     choice = _c("p_seniority_preference")
     senior, junior = _c("is_senior_staff_principal"), _c("is_junior_entry_level")
     above = senior | _c("is_manager_director")
-    title = pad(_c("_n_title"))
+    title = _c("_title_text")
     entry = junior | title.contains(" analyst ") | title.contains(" associate ") \
-        | title.contains(" early career ") | F.lower("title").rlike(r"(?U)\b(?:i|ii|1|2)\b")
+        | title.contains(" early career ") | F.lower("title").rlike(
+            rf"{WORD_START}(?:ii?|1|2){WORD_END}")
     head = "Seniority preference: "
 
     def case(name: str, condition: Column, points: int, text: str):
@@ -300,8 +319,7 @@ def advanced_score() -> Column:
     years, limit = _c("required_years_min"), _c("p_max_required_years")
     needs_visa = _c("p_visa_sponsorship") == "Sponsorship required"
     likes_visa = _c("p_visa_sponsorship") == "Prefer sponsor-friendly"
-    bonus = matched_from(_c("_preference_hits"), _c("p_bonus_terms"))
-    penalty = matched_from(_c("_preference_hits"), _c("p_penalty_terms"))
+    bonus, penalty = _c("_bonus_found"), _c("_penalty_found")
     wanted, salary = _c("p_minimum_salary"), _c("salary_number")
     strictness = _c("p_salary_strictness")
     below = (wanted > 0) & (salary > 0) & (salary < wanted)
@@ -459,15 +477,17 @@ def constraint_checks(scored: DataFrame) -> DataFrame:
 
 def score_parts(pairs: DataFrame) -> DataFrame:
     """Add the (points, reasons) struct of every rule as ``_…`` columns."""
-    checked = pairs.withColumns({"_location_check": location_pass(),
-                                 "_skills": matched_skills()})
-    return checked.withColumns({
+    return score_inputs(pairs).withColumns({
         "_role": target_role_score(), "_skill": skill_score(_c("_skills")),
         "_location": location_score(_c("_location_check")),
         "_salary": salary_fit_score(), "_dealbreaker": dealbreaker_score(),
         "_advanced": advanced_score(), "_fit": role_fit_score()})
 
 
+INPUTS = ("_title_text", "_content_text", "_breaker_text", "_role_titled", "_role_related",
+          "_ml_terms", "_fit_title", "_fit_found", "_fit_negative", "_fit_content",
+          "_training", "_generic", "_skills", "_location_check", "_defense_found",
+          "_other_found", "_bonus_found", "_penalty_found")
 RULE_PARTS = ("_role", "_skill", "_location", "_salary", "_dealbreaker", "_advanced")
 
 
@@ -514,7 +534,7 @@ def score_pairs(pairs: DataFrame, retrieved: bool = False) -> DataFrame:
         "feedback_label": F.lit("Skip"), "feedback_adjustment_score": F.lit(0),
         "feedback_adjustment_reason": F.lit(""),
         "adjusted_final_score": _c("final_score")}) \
-        .drop("_location_check", "_skills", "_strict", "_rules", "_fit", *RULE_PARTS)
+        .drop("_strict", "_rules", "_fit", *RULE_PARTS, *INPUTS)
 
 
 def final_explanation(retrieved: bool) -> Column:

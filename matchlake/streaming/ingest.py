@@ -10,6 +10,7 @@ from matchlake import vocab as V
 from matchlake.functions.rawjson import is_object
 from matchlake.functions.text import strip
 from matchlake.operators.ingest import clean_batch
+from matchlake.operators.order import running_sum
 from matchlake.operators.records import map_records
 from matchlake.sources.readers import ensure_columns
 
@@ -73,51 +74,52 @@ def stream_dedupe(stream: DataFrame, output: str, checkpoint: str,
         .outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
 
 
-def stream_log(stream: DataFrame, output: str, log: str, checkpoint: str,
-               max_batches: int | None = None, trigger: dict | None = None) -> StreamingQuery:
-    """Unique postings plus one log row per micro-batch.
+def stream_log(stream: DataFrame, output: str, checkpoint: str,
+               trigger: dict | None = None) -> StreamingQuery:
+    """``stream_dedupe`` that also counts incoming and kept rows of every micro-batch.
 
-    Each batch is written under its own id, so a batch that is run again after a
-    failure replaces its own rows.  Earlier keys are read from the batches written
-    before it.
+    The counts are observed while the batch runs, on both sides of the state store;
+    nothing is read twice.  ``write_stream_log`` stores them.
     """
-    spark = stream.sparkSession
     cleaned = clean_batch(ensure_columns(stream, V.RAW_FIELDS))
-    schema = cleaned.schema
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        if max_batches is not None and batch_id >= max_batches:
-            return
-        from matchlake.operators.ingest import dedupe_first
-        order = "row_index" if "row_index" in batch.columns else "_order"
-        if order == "_order":
-            batch = batch.withColumn("_order", F.monotonically_increasing_id())
-        own = f"{output}/batch={batch_id}"
-        first = dedupe_first(batch, order=order).drop("_order")
-        if batch_id > 0:
-            seen = spark.read.schema(schema).parquet(
-                *[f"{output}/batch={b}" for b in range(batch_id)]).select("dedupe_key")
-            first = first.join(seen, "dedupe_key", "left_anti")
-        first.select(schema.fieldNames()).write.mode("overwrite").parquet(own)
-        kept = spark.read.schema(schema).parquet(own).count()
-        incoming = batch.count()
-        spark.createDataFrame(
-            [(batch_id + 1, incoming, kept, incoming - kept)],
-            "batch_id bigint, incoming_records bigint, kept_records bigint, "
-            "duplicate_records bigint").coalesce(1).write.mode("overwrite") \
-            .parquet(f"{log}/batch={batch_id}")
-
-    return cleaned.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint) \
+    counted = cleaned.observe("incoming", F.count(F.lit(1)).alias("n")) \
+        .dropDuplicates(["dedupe_key"]).observe("kept", F.count(F.lit(1)).alias("n"))
+    return counted.writeStream.format("parquet").option("path", output) \
+        .option("checkpointLocation", checkpoint).outputMode("append") \
         .trigger(**(trigger or {"availableNow": True})).start()
 
 
+def write_stream_log(query: StreamingQuery, spark: SparkSession, log: str) -> None:
+    """Store one log row per micro-batch under its batch id.
+
+    Rows are overwritten by id, so this can be repeated while the query runs; Spark
+    keeps the last ``spark.sql.streaming.numRecentProgressUpdates`` batches at hand.
+    """
+    rows = []
+    for progress in query.recentProgress:
+        metrics = progress.observedMetrics
+        if "incoming" in metrics and metrics["incoming"].n:
+            incoming, kept = metrics["incoming"].n, metrics["kept"].n
+            rows.append((progress.batchId + 1, incoming, kept, incoming - kept))
+    for row in rows:
+        spark.createDataFrame([row], "batch_id bigint, incoming_records bigint, "
+                                     "kept_records bigint, duplicate_records bigint") \
+            .coalesce(1).write.mode("overwrite").parquet(f"{log}/batch={row[0]}")
+
+
 def read_stream_log(spark: SparkSession, log: str) -> DataFrame:
     """Log rows with the running number of unique postings."""
-    from matchlake.operators.order import running_sum
     rows = spark.read.parquet(f"{log}/batch=*")
     return running_sum(rows, "batch_id", {"cumulative_unique_records": "kept_records"})
 
 
-def read_streamed(spark: SparkSession, output: str, schema) -> DataFrame:
-    """Unique postings written by ``stream_log``."""
-    return spark.read.schema(schema).parquet(f"{output}/batch=*")
+def stop_after(query: StreamingQuery, max_batches: int, poll_seconds: float = 0.5) -> None:
+    """Stop a query once it has run ``max_batches`` micro-batches.
+
+    A batch that starts between two polls is still finished; the replay of exactly so
+    many fixed-size batches is ``replay_batches``.
+    """
+    while query.isActive and not query.awaitTermination(poll_seconds):
+        last = query.lastProgress
+        if last is not None and last.batchId + 1 >= max_batches:
+            query.stop()
