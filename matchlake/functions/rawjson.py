@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from matchlake import vocab as V
 from matchlake.functions.text import WHITESPACE, clean_ws
@@ -27,11 +28,16 @@ def json_first_value(record: Column, paths: Sequence[str]) -> Column:
     return F.coalesce(*[F.nullif(json_path(record, p), F.lit("")) for p in paths])
 
 
-@F.pandas_udf("string")
-def _unescape(texts: pd.Series) -> pd.Series:
+@F.pandas_udf(StringType())
+def _decode(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape, na_action="ignore")
 
 
+# Declared non-deterministic so that filters on decoded text are not moved in front of
+# it, which would decode and parse every record a second time.
+_unescape = _decode.asNondeterministic()
+
+
 def html_clean(text: Column, max_chars: int | None = None) -> Column:
     """Entities decoded, tags to blanks, white space collapsed, optional cut."""
     # only values with an entity travel to Python; the rest go over as NULL

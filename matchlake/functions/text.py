@@ -206,10 +206,15 @@ def any_term(hits: Column, terms: Iterable[str],
     return F.arrays_overlap(hits, string_array(sorted({form(t) for t in terms})))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, also inside lambdas of ``body``."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def find_terms(text: Column, terms: Iterable[str]) -> Column:
     """Stand-alone form: sorted dictionary terms bounded in ``text``."""
     terms = list(terms)
-    return matched_terms(TermIndex(terms).hits(norm_search(text)), terms)
+    return let(TermIndex(terms).hits(norm_search(text)), lambda hits: matched_terms(hits, terms))
 
 
 def any_pattern(terms: Iterable[str], form: Callable[[str], str] = search_term) -> str:
@@ -290,8 +295,8 @@ def skill_display(c: Column, names: dict[str, str], noise: Sequence[str]) -> Col
 def extract_skills(text: Column, vocabulary: Sequence[str]) -> Column:
     """Vocabulary skills present in ``text``, in vocabulary order."""
     lowered = F.lower(F.regexp_replace(text_or_empty(text), WHITESPACE, " "))
-    hits = TermIndex(vocabulary, form=plain_term).hits(lowered)
-    return matched_from(hits, F.expr(dictionary_sql(vocabulary, plain_term)))
+    return let(TermIndex(vocabulary, form=plain_term).hits(lowered), lambda hits: matched_from(
+        hits, F.expr(dictionary_sql(vocabulary, plain_term))))
 
 
 def safe_number(c: Column) -> Column:

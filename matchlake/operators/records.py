@@ -20,8 +20,9 @@ def map_records(lines: DataFrame,
 
     Records without a title or a description are dropped.
     """
-    parsed = lines.select("line_no", R.record_struct(F.col("value")).alias("r")) \
-        .where(F.col("r").isNotNull()) \
+    # lines that turn out not to be objects have no title and drop out below
+    parsed = lines.where(F.ltrim(F.col("value")).startswith("{")) \
+        .select("line_no", R.record_struct(F.col("value")).alias("r")) \
         .withColumn("s", R.schema_org_struct(F.col("r")))
     paths = R.record_paths(F.col("r"), F.col("s"))
     picked = parsed.select(
