@@ -288,7 +288,7 @@ def candidate_name(text: Column) -> Column:
 def clean_name(name: Column) -> Column:
     """Person behind a persona card header; other names stay as they are."""
     original = clean_ws(name)
-    pieces = F.filter(F.transform(F.split(original, r"(?U)\s+(?:—|–|-)\s+"), F.trim),
+    pieces = F.filter(F.transform(F.split(original, r" +(?:—|–|-) +"), lambda p: F.trim(p)),
                       lambda p: p != "")
     return F.when(F.lower(original).isin("", "unknown", "nan", "none"), V.NAME_FALLBACK) \
         .when(original.rlike(_PERSONA) & (F.size(pieces) >= 2), F.get(pieces, 1)) \

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchlake import vocab as V
+from matchlake.functions.cache import once_per_jvm
 from matchlake.functions.text import (BLANKS, WORD_END, WORD_START, dictionary_sql,
                                       join_forms, location_form, matched_from,
                                       matched_terms, pad, string_array)
@@ -57,16 +58,20 @@ def _outcome(points: int, reason: Column | str) -> Column:
 
 # --- what the rules look at ------------------------------------------------------------
 
-def score_inputs(pairs: DataFrame) -> DataFrame:
-    """Texts and term lists of a pair, as columns so that each is computed once."""
-    texts = pairs.withColumns({
+@once_per_jvm
+def _pair_texts() -> dict[str, Column]:
+    return {
         "_title_text": pad(_c("_n_title")),
         "_content_text": pad(join_forms(_c("_n_title"), _c("_n_desc"))),
-        "_breaker_text": F.concat(pad(_c("_n_title")), F.lit(" "), pad(_c("_n_desc")))})
+        "_breaker_text": F.concat(pad(_c("_n_title")), F.lit(" "), pad(_c("_n_desc")))}
+
+
+@once_per_jvm
+def _pair_terms() -> dict[str, Column]:
     title, roles = _c("_title_text"), _c("p_roles")
     defense = F.expr(dictionary_sql(sorted(V.DEFENSE_TERMS)))
     none = string_array([])
-    return texts.withColumns({
+    return {
         "_role_titled": F.filter(roles, lambda r: F.contains(title, r)),
         "_role_related": F.filter(roles, lambda r: F.exists(
             F.filter(F.split(r, f"[{BLANKS}]+"), lambda w: (F.length(w) > 2)
@@ -74,7 +79,7 @@ def score_inputs(pairs: DataFrame) -> DataFrame:
             lambda w: F.contains(title, w))),
         "_ml_terms": F.when(_c("p_ml_role"), F.array_sort(F.transform(
             F.filter(string_array(V.ML_RELEVANCE_TERMS),
-                     lambda t: F.contains(_c("_content_text"), t)), F.trim))).otherwise(none),
+                     lambda t: F.contains(_c("_content_text"), t)), lambda t: F.trim(t)))).otherwise(none),
         "_fit_title": matched_from(_c("_title_hits"), _c("p_positive")),
         "_fit_found": matched_from(_c("_content_hits"), _c("p_positive")),
         "_fit_negative": matched_from(_c("_content_hits"), _c("p_negative")),
@@ -88,12 +93,18 @@ def score_inputs(pairs: DataFrame) -> DataFrame:
         "_other_found": F.filter(_c("p_ends_other"),
                                  lambda d: F.contains(_c("_breaker_text"), d)),
         "_bonus_found": matched_from(_c("_preference_hits"), _c("p_bonus_terms")),
-        "_penalty_found": matched_from(_c("_preference_hits"), _c("p_penalty_terms"))}) \
+        "_penalty_found": matched_from(_c("_preference_hits"), _c("p_penalty_terms"))}
+
+
+def score_inputs(pairs: DataFrame) -> DataFrame:
+    """Texts and term lists of a pair, as columns so that each is computed once."""
+    return pairs.withColumns(_pair_texts()).withColumns(_pair_terms()) \
         .withColumn("_fit_content", F.array_except("_fit_found", "_fit_title"))
 
 
 # --- role ------------------------------------------------------------------------------
 
+@once_per_jvm
 def target_role_score() -> Column:
     ml = _c("_ml_terms")
     bonus = F.least(F.lit(35), 5 * F.size(ml))
@@ -113,6 +124,7 @@ def target_role_score() -> Column:
          F.lit(head + "-25 no ML/applied science evidence found")))
 
 
+@once_per_jvm
 def role_fit_score() -> Column:
     family = _c("p_family")
     special = family.isin(list(V.SPECIALIST_FAMILIES))
@@ -163,6 +175,7 @@ def skill_score(matched: Column) -> Column:
          F.lit("Matched skills: +0 no listed skills found in posting")))
 
 
+@once_per_jvm
 def location_pass() -> Column:
     """Struct (passed, reason) of the location preference."""
     strict = _c("p_location_strictness") == "Strict"
@@ -219,6 +232,7 @@ def location_score(check: Column) -> Column:
         (F.lit(True), -20, text("-20 location mismatch"))])
 
 
+@once_per_jvm
 def salary_fit_score() -> Column:
     wanted = _c("p_minimum_salary")
     met = _c("salary_number") >= wanted
@@ -227,6 +241,7 @@ def salary_fit_score() -> Column:
         (wanted > 0, 0, "Salary fit: +0 unknown or below minimum")])
 
 
+@once_per_jvm
 def dealbreaker_score() -> Column:
     senior, defense, other = _c("_senior"), _c("_defense_found"), _c("_other_found")
     text = F.lower("description")
@@ -249,6 +264,7 @@ def dealbreaker_score() -> Column:
 
 # --- advanced preferences ---------------------------------------------------------------------
 
+@once_per_jvm
 def seniority_score() -> Column:
     choice = _c("p_seniority_preference")
     senior, junior = _c("is_senior_staff_principal"), _c("is_junior_entry_level")
@@ -279,6 +295,7 @@ def seniority_score() -> Column:
         case(V.EXCLUDE_JUNIOR, junior, -100, "excluded junior/entry-level role")])
 
 
+@once_per_jvm
 def company_size_score() -> Column:
     choice = _c("p_company_size_preference")
     tiny, small = _c("is_tiny_startup"), _c("is_small_company")
@@ -304,6 +321,7 @@ def company_size_score() -> Column:
         case(V.LARGE_ONLY, tiny | small, -120, "not large-company compatible")])
 
 
+@once_per_jvm
 def advanced_score() -> Column:
     phrases = _c("constraint_matched_phrases")
 
@@ -377,6 +395,7 @@ def _active_filters() -> dict[str, Column]:
     }
 
 
+@once_per_jvm
 def constraint_passes() -> dict[str, Column]:
     """The pass columns; unknown years and salaries pass."""
     choice, size = _c("p_seniority_preference"), _c("p_company_size_preference")
@@ -475,13 +494,17 @@ def constraint_checks(scored: DataFrame) -> DataFrame:
 
 # --- everything together ------------------------------------------------------------------------------
 
+@once_per_jvm
+def _part_columns() -> dict[str, Column]:
+    return {"_role": target_role_score(), "_skill": skill_score(_c("_skills")),
+            "_location": location_score(_c("_location_check")),
+            "_salary": salary_fit_score(), "_dealbreaker": dealbreaker_score(),
+            "_advanced": advanced_score(), "_fit": role_fit_score()}
+
+
 def score_parts(pairs: DataFrame) -> DataFrame:
     """Add the (points, reasons) struct of every rule as ``_…`` columns."""
-    return score_inputs(pairs).withColumns({
-        "_role": target_role_score(), "_skill": skill_score(_c("_skills")),
-        "_location": location_score(_c("_location_check")),
-        "_salary": salary_fit_score(), "_dealbreaker": dealbreaker_score(),
-        "_advanced": advanced_score(), "_fit": role_fit_score()})
+    return score_inputs(pairs).withColumns(_part_columns())
 
 
 INPUTS = ("_title_text", "_content_text", "_breaker_text", "_role_titled", "_role_related",
@@ -491,31 +514,27 @@ INPUTS = ("_title_text", "_content_text", "_breaker_text", "_role_titled", "_rol
 RULE_PARTS = ("_role", "_skill", "_location", "_salary", "_dealbreaker", "_advanced")
 
 
-def score_pairs(pairs: DataFrame, retrieved: bool = False) -> DataFrame:
-    """Score, filter and explain every (posting, profile) row.
-
-    ``embedding_similarity`` is used when present (missing values count as 0).
-    """
-    if "embedding_similarity" not in pairs.columns:
-        pairs = pairs.withColumn("embedding_similarity", F.lit(0.0))
-    df = score_parts(pairs)
+@once_per_jvm
+def _totals() -> dict[str, Column]:
     points = F.lit(0)
     for part in RULE_PARTS:
         points = points + _c(part)["points"]
-    reasons = F.array_join(F.concat(*[_c(p)["reasons"] for p in RULE_PARTS]), "; ")
     similarity = F.coalesce(_c("embedding_similarity").cast("double"), F.lit(0.0))
-    df = df.withColumns({
-        "score": points.cast("int"), "_rules": reasons,
+    return {
+        "score": points.cast("int"),
+        "_rules": F.array_join(F.concat(*[_c(p)["reasons"] for p in RULE_PARTS]), "; "),
         "matched_skills": F.array_join("_skills", ", "),
         "role_fit_score": _c("_fit")["points"],
         "role_fit_reason": F.array_join(_c("_fit")["reasons"], "; "),
         "passes_location_filter": _c("_location_check")["passed"],
         "location_filter_reason": _c("_location_check")["reason"],
         "embedding_similarity": similarity,
-        "embedding_bonus": round2(similarity * V.EMBEDDING_BONUS_SCALE)})
-    df = df.withColumn("_strict", role_fit_penalty(_c("role_fit_score"),
-                                                   _c("p_role_fit_strictness")))
-    df = df.withColumns(constraint_passes() | {
+        "embedding_bonus": round2(similarity * V.EMBEDDING_BONUS_SCALE)}
+
+
+@once_per_jvm
+def _settings() -> dict[str, Column]:
+    return {
         "role_fit_strictness_penalty": _c("_strict")["points"],
         "role_fit_strictness_reason": F.array_join(_c("_strict")["reasons"], "; "),
         "seniority_preference": _c("p_seniority_preference"),
@@ -525,11 +544,22 @@ def score_pairs(pairs: DataFrame, retrieved: bool = False) -> DataFrame:
         "salary_minimum": _c("p_minimum_salary"),
         "salary_strictness": _c("p_salary_strictness"),
         "max_required_years_setting": F.coalesce(
-            _c("p_max_required_years").cast("string"), F.lit("No limit"))})
+            _c("p_max_required_years").cast("string"), F.lit("No limit"))}
+
+
+def score_pairs(pairs: DataFrame, retrieved: bool = False) -> DataFrame:
+    """Score, filter and explain every (posting, profile) row.
+
+    ``embedding_similarity`` is used when present (missing values count as 0).
+    """
+    if "embedding_similarity" not in pairs.columns:
+        pairs = pairs.withColumn("embedding_similarity", F.lit(0.0))
+    df = score_parts(pairs).withColumns(_totals()).withColumn("_strict", role_fit_penalty(
+        _c("role_fit_score"), _c("p_role_fit_strictness")))
+    df = df.withColumns(constraint_passes() | _settings())
     final = round2(_c("score") + _c("role_fit_score") + _c("embedding_bonus")
                    - _c("role_fit_strictness_penalty") - _c("active_constraint_penalty"))
-    df = df.withColumn("final_score", final)
-    return df.withColumns({
+    return df.withColumn("final_score", final).withColumns({
         "explanation": final_explanation(retrieved),
         "feedback_label": F.lit("Skip"), "feedback_adjustment_score": F.lit(0),
         "feedback_adjustment_reason": F.lit(""),
@@ -537,6 +567,7 @@ def score_pairs(pairs: DataFrame, retrieved: bool = False) -> DataFrame:
         .drop("_strict", "_rules", "_fit", *RULE_PARTS, *INPUTS)
 
 
+@once_per_jvm
 def final_explanation(retrieved: bool) -> Column:
     rules = F.when(_c("_rules") == "", "No preferences entered yet, so this job keeps a "
                                        "neutral score.").otherwise(_c("_rules"))

@@ -8,10 +8,11 @@ from it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchlake import vocab as V
+from matchlake.functions.cache import once_per_jvm
 from matchlake.functions import location as L
 from matchlake.functions import requirements as Q
 from matchlake.functions.text import (TermIndex, any_term, join_forms, matched_terms, pad,
@@ -48,18 +49,24 @@ SCORING_INPUTS = ("_n_title", "_n_desc", "_title_hits", "_content_hits", "_prefe
                   "_senior", "_plain")
 
 
-def normal_forms(df: DataFrame) -> DataFrame:
-    """Add the normal form of every field as ``_n_…`` columns."""
+@once_per_jvm
+def _forms() -> dict[str, Column]:
     fields = {"title": "_n_title", "company": "_n_company", "location": "_n_location",
               "raw_location": "_n_raw", "salary_text": "_n_salary",
               "description": "_n_desc", "employment_type": "_n_type"}
-    return df.withColumns({n: search_form(F.col(c)) for c, n in fields.items()})
+    return {n: search_form(F.col(c)) for c, n in fields.items()}
 
 
-def _working_columns(jobs: DataFrame) -> DataFrame:
+def normal_forms(df: DataFrame) -> DataFrame:
+    """Add the normal form of every field as ``_n_…`` columns."""
+    return df.withColumns(_forms())
+
+
+@once_per_jvm
+def _texts() -> dict[str, Column]:
     n = {k: F.col(k) for k in ("_n_title", "_n_company", "_n_location", "_n_raw",
                                "_n_salary", "_n_desc", "_n_type")}
-    texts = {
+    return {
         "_metadata": pad(join_forms(*n.values())),
         "_place_text": pad(join_forms(n["_n_title"], n["_n_location"], n["_n_raw"],
                                       n["_n_desc"])),
@@ -68,7 +75,12 @@ def _working_columns(jobs: DataFrame) -> DataFrame:
         "_country": L.place(F.concat_ws(" ", "location", "raw_location")),
         "_only": L.place(F.concat_ws(" ", "location", "raw_location", "salary_text")),
     }
-    hits = {
+
+
+@once_per_jvm
+def _hits() -> dict[str, Column]:
+    n = {k: F.col(k) for k in ("_n_title", "_n_company", "_n_desc")}
+    return {
         "_hits": METADATA_TERMS.hits(F.col("_metadata")),
         "_place_hits": PLACE_TERMS.hits(F.col("_place_text")),
         "_only_hits": PLACE_TERMS.hits(F.col("_only_text")),
@@ -79,22 +91,20 @@ def _working_columns(jobs: DataFrame) -> DataFrame:
         "_company_hits": COMPANY_TERMS.hits(pad(n["_n_company"])),
         "_senior": Q.senior_title_terms(F.col("title")),
         "_years": Q.years_required(F.col("description")),
-        "_count": Q.employee_count([F.col(c) for c in V.EMPLOYEE_COUNT_FIELDS
-                                    if c in jobs.columns]),
         "_plain": F.lower(F.concat_ws(" ", "title", "description")),
     }
-    return normal_forms(jobs).withColumns(texts).withColumns(hits)
 
 
-def job_signals(jobs: DataFrame) -> DataFrame:
-    """Loaded postings plus the constraint columns and the scoring inputs."""
-    jobs = ensure_columns(jobs, ("title", "company", "location", "description"))
-    if "salary_number" not in jobs.columns:
-        jobs = load_jobs(jobs)
-    jobs = ensure_columns(jobs, ("employment_type",))
-    w = _working_columns(jobs)
+def _working_columns(jobs: DataFrame) -> DataFrame:
+    counts = [F.col(c) for c in V.EMPLOYEE_COUNT_FIELDS if c in jobs.columns]
+    return normal_forms(jobs).withColumns(_texts()) \
+        .withColumns(_hits() | {"_count": Q.employee_count(counts)})
+
+
+@once_per_jvm
+def _lists() -> dict[str, Column]:
     hits = F.col("_hits")
-    lists = {
+    return {
         "_contract": matched_terms(hits, V.CONTRACT_TERMS),
         "_unpaid": matched_terms(hits, V.UNPAID_TERMS),
         "_junior": matched_terms(F.col("_title_hits"), V.JUNIOR_TERMS),
@@ -104,11 +114,14 @@ def job_signals(jobs: DataFrame) -> DataFrame:
         "_no_visa": matched_terms(hits, V.SPONSORSHIP_NEGATIVE_TERMS),
         "_size": Q.company_size(F.col("_count"), F.col("_metadata"), hits),
         "role_family_inferred": Q.role_family(hits),
-    }
-    w = w.withColumns(lists).withColumns(L.location_signals(
+    } | L.location_signals(
         F.col("_place_hits"), F.col("_only_hits"), F.col("_place_text"),
         F.col("_country_text"), F.col("_country"), F.col("_only"),
-        F.col("location"), F.col("location_source")))
+        F.col("location"), F.col("location_source"))
+
+
+@once_per_jvm
+def _flags() -> dict[str, Column]:
     size = F.lower(F.col("_size.size"))
     found = {name: F.size(name) > 0 for name in
              ("_contract", "_unpaid", "_senior", "_junior", "_manager", "_defense",
@@ -123,7 +136,7 @@ def job_signals(jobs: DataFrame) -> DataFrame:
         "defense_military_clearance": F.col("_defense"),
         "visa_sponsorship": F.col("_visa"), "no_sponsorship": F.col("_no_visa"),
     }
-    w = w.withColumns({
+    return {
         "required_years_min": F.col("_years.years"),
         "years_requirement_text": years_text,
         "employment_type_inferred": Q.employment_type(
@@ -147,8 +160,17 @@ def job_signals(jobs: DataFrame) -> DataFrame:
         "has_no_sponsorship_signal": found["_no_visa"],
         "is_california_or_bay_area": F.col("is_california") | F.col("is_bay_area"),
         "constraint_matched_phrases": F.create_map(
-            *[x for k, v in phrases.items() for x in (F.lit(k), v)]),
-    })
+            *[x for k, v in phrases.items() for x in (F.lit(k), v)]),}
+
+
+def job_signals(jobs: DataFrame) -> DataFrame:
+    """Loaded postings plus the constraint columns and the scoring inputs."""
+    jobs = ensure_columns(jobs, ("title", "company", "location", "description"))
+    if "salary_number" not in jobs.columns:
+        jobs = load_jobs(jobs)
+    jobs = ensure_columns(jobs, ("employment_type",))
+    w = _working_columns(jobs)
+    w = w.withColumns(_lists()).withColumns(_flags())
     own = [c for c in jobs.columns if c not in CONSTRAINT_COLUMNS]
     return w.select(*own, *CONSTRAINT_COLUMNS, "is_explicit_remote_location", *SCORING_INPUTS)
 
