@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from matchlake import vocab as V
 from matchlake.functions.text import (LINE_BREAK, WHITESPACE, clean_ws, contains_any,
-                                      dictionary_sql, norm_search,
+                                      dictionary_sql, let, norm_search,
                                       split_keywords, string_array, strip, text_or_empty)
 
 _PERSONA = r"(?iU)^persona(?:\s+\d+)?\b"
@@ -58,19 +58,26 @@ def sections(line_array: Column, heading: Callable[[Column], Column],
     ``heading`` gives the heading of a line or NULL; ``remainder`` what is left of
     the heading line itself.
     """
-    marked = F.filter(
-        F.transform(line_array, lambda x, i: F.struct(
-            (i + 1).alias("at"), x.alias("line"), heading(x).alias("heading"))),
-        lambda m: m["heading"].isNotNull())
-    marked = F.concat(F.array(F.struct(F.lit(0).alias("at"), F.lit("").alias("line"),
-                                       F.lit("").alias("heading"))), marked)
-    ends = F.concat(F.transform(F.slice(marked, 2, F.greatest(F.size(marked), F.lit(1))),
-                                lambda m: m["at"]),
-                    F.array(F.size(line_array) + 1))
-    return F.transform(marked, lambda m, j: F.struct(
-        m["heading"].alias("heading"),
-        F.when(m["at"] > 0, remainder(m["line"], m["heading"])).otherwise("").alias("remainder"),
-        F.slice(line_array, m["at"] + 1, F.get(ends, j) - m["at"] - 1).alias("lines")))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("line"), F.lit("").alias("heading"))
+
+    def cut(every: Column) -> Column:
+        marked = F.concat(F.array(start), F.filter(
+            F.transform(every, lambda x, i: F.struct(
+                (i + 1).alias("at"), x.alias("line"), heading(x).alias("heading"))),
+            lambda m: m["heading"].isNotNull()))
+
+        def between(marks: Column) -> Column:
+            ends = F.concat(F.transform(F.slice(marks, 2, F.size(marks)), lambda m: m["at"]),
+                            F.array(F.size(every) + 1))
+            return let(ends, lambda end: F.transform(marks, lambda m, j: F.struct(
+                m["heading"].alias("heading"),
+                F.when(m["at"] > 0, remainder(m["line"], m["heading"])).otherwise("")
+                .alias("remainder"),
+                F.slice(every, m["at"] + 1, F.get(end, j) - m["at"] - 1).alias("lines"))))
+
+        return let(marked, between)
+
+    return let(line_array, cut)
 
 
 # --- headed sections (preview headings) -------------------------------------------
@@ -95,17 +102,17 @@ def without_heading(line: Column, heading: Column) -> Column:
 
 def headed_sections(text: Column) -> Column:
     """map<heading, text> of the known headings; a repeated heading continues."""
-    parts = F.filter(sections(stripped_lines(text), preview_heading, without_heading),
-                     lambda s: s["heading"] != "")
-    names = F.array_distinct(F.transform(parts, lambda s: s["heading"]))
+    def as_map(parts: Column) -> Column:
+        def body(name: Column) -> Column:
+            own = F.filter(parts, lambda s: s["heading"] == name)
+            return F.array_join(F.flatten(F.transform(own, lambda s: F.concat(
+                F.filter(F.array(s["remainder"]), lambda r: r != ""), s["lines"]))), "\n")
 
-    def body(name: Column) -> Column:
-        own = F.filter(parts, lambda s: s["heading"] == name)
-        kept = F.flatten(F.transform(own, lambda s: F.concat(
-            F.filter(F.array(s["remainder"]), lambda r: r != ""), s["lines"])))
-        return F.array_join(kept, "\n")
+        names = F.array_distinct(F.transform(parts, lambda s: s["heading"]))
+        return let(names, lambda n: F.map_from_arrays(n, F.transform(n, body)))
 
-    return F.map_from_arrays(names, F.transform(names, body))
+    return let(F.filter(sections(stripped_lines(text), preview_heading, without_heading),
+                        lambda s: s["heading"] != ""), as_map)
 
 
 def first_section(section_map: Column, headings: Sequence[str]) -> Column:
@@ -157,10 +164,14 @@ def semantic_text(text: Column) -> Column:
     parts = sections(lines(text), line_heading, lambda x, _h: F.when(
         inline_heading(x).isNotNull(), strip(_after_colon(x))).otherwise(""))
     relevant = list(V.SEMANTIC_SECTIONS)
-    first = F.array_position(
-        F.transform(parts, lambda s: s["heading"].isin(relevant)), True)
 
-    def kept(s: Column, i: Column) -> Column:
+    def join_kept(every: Column) -> Column:
+        first = F.array_position(
+            F.transform(every, lambda s: s["heading"].isin(relevant)), True)
+        return let(first, lambda f: F.array_join(
+            F.flatten(F.transform(every, lambda s, i: kept(s, i, f))), "\n"))
+
+    def kept(s: Column, i: Column, first: Column) -> Column:
         is_relevant = s["heading"].isin(relevant)
         open_part = (first == 0) | (i + 1 < first)
         body = F.when(is_relevant | (open_part & ~s["heading"].isin(list(V.SEMANTIC_EXCLUDED))),
@@ -169,7 +180,7 @@ def semantic_text(text: Column) -> Column:
                       F.array(s["remainder"])).otherwise(string_array([]))
         return F.filter(F.concat(head, body), lambda x: ~negative_line(x))
 
-    return F.array_join(F.flatten(F.transform(parts, kept)), "\n")
+    return let(parts, join_kept)
 
 
 def profile_text(role: Column, skills: Column, excerpt: Column,
@@ -213,17 +224,18 @@ def evidence_text(text: Column) -> Column:
 
 def supported_skills(skills: Column, evidence: Column) -> Column:
     """Sorted union of typed skills and known terms found in the evidence."""
-    normal = norm_search(evidence)
     known = F.expr(dictionary_sql(V.SUPPORTED_SKILL_TERMS))
-    found = F.transform(F.filter(known, lambda d: F.contains(normal, d["form"])),
-                        lambda d: d["term"])
+    found = let(norm_search(evidence), lambda normal: F.transform(
+        F.filter(known, lambda d: F.contains(normal, d["form"])), lambda d: d["term"]))
     return F.array_sort(F.array_union(split_keywords(skills), found))
 
 
 def background(text: Column) -> Column:
     """At most three background lines, joined, 500 characters, or the fallback."""
-    every = F.transform(lines(text), _trim_marks)
+    return let(F.transform(lines(text), _trim_marks), _background_of)
 
+
+def _background_of(every: Column) -> Column:
     def normal(x: Column) -> Column:
         return F.lower(strip(_no_colons(x)))
 
@@ -250,17 +262,20 @@ def background(text: Column) -> Column:
         F.slice(every, 2, 19),
         lambda x: ~normal(x).isin(list(V.BACKGROUND_EXCLUDED)) & ~x.rlike(_PERSONA)
         & x.rlike(patterns)), 1, 3)
-    chosen = F.when(F.size(from_sections) > 0, from_sections).otherwise(from_patterns)
+
+    def unique(cleaned: Column) -> Column:
+        return let(F.transform(cleaned, F.lower), lambda keys: F.filter(
+            F.transform(cleaned, lambda x, i: F.when(
+                F.array_position(keys, F.lower(x)) == i + 1, x)), lambda x: x.isNotNull()))
+
+    chosen = let(from_sections, lambda own: F.when(F.size(own) > 0, own)
+                 .otherwise(from_patterns))
     cleaned = F.filter(
         F.transform(chosen, lambda x: strip(F.regexp_replace(
             x, r"(?i)^(?:background|summary)\s*:\s*", ""))),
         lambda x: (x != "") & ~F.lower(x).isin(list(V.BACKGROUND_EXCLUDED)))
-    keys = F.transform(cleaned, F.lower)
-    unique = F.filter(
-        F.transform(cleaned, lambda x, i: F.when(
-            F.array_position(keys, F.lower(x)) == i + 1, x)), lambda x: x.isNotNull())
-    joined = strip(F.substring(F.array_join(unique, " "), 1, 500))
-    return F.when(joined == "", V.BACKGROUND_FALLBACK).otherwise(joined)
+    joined = strip(F.substring(F.array_join(let(cleaned, unique), " "), 1, 500))
+    return let(joined, lambda t: F.when(t == "", V.BACKGROUND_FALLBACK).otherwise(t))
 
 
 def _first_background_lines(parts: Column) -> Column:
@@ -274,10 +289,14 @@ def _first_background_lines(parts: Column) -> Column:
                     lambda r: F.struct(r.alias("line"), F.lit(False).alias("body"))),
         F.transform(s["lines"], lambda x: F.struct(x.alias("line"),
                                                    F.lit(True).alias("body"))))))
-    stops = F.filter(F.transform(flagged, lambda f, i: F.when(
-        f["body"] & (i >= 2), i + 1)), lambda i: i.isNotNull())
-    return F.transform(F.slice(flagged, 1, F.coalesce(F.get(stops, 0), F.size(flagged))),
-                       lambda f: f["line"])
+
+    def until_three(rows: Column) -> Column:
+        stops = F.filter(F.transform(rows, lambda f, i: F.when(
+            f["body"] & (i >= 2), i + 1)), lambda i: i.isNotNull())
+        return F.transform(F.slice(rows, 1, F.coalesce(F.get(stops, 0), F.size(rows))),
+                           lambda f: f["line"])
+
+    return let(flagged, until_three)
 
 
 def candidate_name(text: Column) -> Column:
@@ -331,16 +350,16 @@ def preview(text: Column, max_chars: int = 1_500) -> Column:
     for name in V.PREVIEW_HEADINGS:
         t = F.regexp_replace(t, rf"(?iU)(?<!\n)(\b{name}\b\s*:?)", "\n\n$1")
     kept = F.filter(F.transform(raw_lines(t), strip), lambda x: x != "")
-    t = F.array_join(kept, "\n")
-    return F.when(F.length(t) > max_chars, F.concat(
-        F.regexp_replace(F.substring(t, 1, max_chars), r"(?U)\s+$", ""),
-        F.lit("\n\n[Preview trimmed]"))).otherwise(t)
+    return let(F.array_join(kept, "\n"), lambda t: F.when(F.length(t) > max_chars, F.concat(
+        F.regexp_replace(F.substring(t, 1, max_chars), f"{WHITESPACE}\\z", ""),
+        F.lit("\n\n[Preview trimmed]"))).otherwise(t))
 
 
 def trim_words(c: Column, limit: int) -> Column:
-    words = F.filter(F.split(c, WHITESPACE), lambda w: w != "")
-    return F.when(F.size(words) <= limit, strip(c)) \
-        .otherwise(F.concat(F.array_join(F.slice(words, 1, limit), " "), F.lit("...")))
+    return let(c, lambda t: let(
+        F.filter(F.split(t, WHITESPACE), lambda w: w != ""),
+        lambda words: F.when(F.size(words) <= limit, strip(t)).otherwise(
+            F.concat(F.array_join(F.slice(words, 1, limit), " "), F.lit("...")))))
 
 
 def header_preview(text: Column, limit: int = 4) -> Column:
@@ -371,9 +390,9 @@ def preview_sections(section_map: Column, cleaned: Column) -> Column:
 def pair_keywords(skills: Column, description: Column, matched: Column,
                   limit: int = 10) -> Column:
     """Supported skills named by the posting, else the first supported skills."""
-    low = F.lower(description)
-    named = F.slice(F.filter(skills, lambda s: F.contains(low, F.lower(s))
-                             | F.array_contains(matched, F.lower(s))), 1, limit)
+    named = let(F.lower(description), lambda low: F.slice(F.filter(
+        skills, lambda s: F.contains(low, F.lower(s)) | F.array_contains(matched, F.lower(s))),
+        1, limit))
     return F.when(F.size(named) > 0, named).otherwise(F.slice(skills, 1, limit))
 
 

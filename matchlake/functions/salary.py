@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from matchlake import vocab as V
-from matchlake.functions.text import WORD_END, WORD_START, safe_number, strip, text_or_empty
+from matchlake.functions.text import (WORD_END, WORD_START, let, safe_number, strip,
+                                      text_or_empty)
 
 _NUMBER = "([0-9][0-9,]*(?:[.][0-9]+)?)"
 _SCHEMA = ("value string, minValue string, maxValue string, text string, "
@@ -59,34 +60,39 @@ def salary_text_of(c: Column, parsed: Column, number: Column) -> Column:
 
 def salary_number(c: Column) -> Column:
     """Scoring salary: first non-zero object field, else the largest number, else 0."""
-    return salary_number_of(c, salary_object(c))
+    return let(salary_object(c), lambda o: salary_number_of(c, o))
 
 
 def salary_text(c: Column) -> Column:
     """Salary as shown to users."""
-    return salary_text_of(c, salary_object(c), salary_number(c))
+    return let(salary_object(c), lambda o: let(
+        salary_number_of(c, o), lambda n: salary_text_of(c, o, n)))
 
 
 def salary_annual(c: Column) -> Column:
     """Annual estimate for analytics; hourly, monthly … values are NULL."""
-    parsed = salary_object(c)
-    period = F.lower(strip(F.coalesce(parsed["period"], F.lit(""))))
-    low, high = safe_number(parsed["minValue"]), safe_number(parsed["maxValue"])
-    value = safe_number(parsed["value"])
-    text = strip(F.when(parsed.isNotNull(), F.coalesce(parsed["text"], F.lit("")))
-                 .otherwise(text_or_empty(c)))
-    lowered = F.lower(text)
-    numbers = numbers_in(text)
-    from_text = (
-        F.when((text == "") | lowered.isin(list(V.NO_SALARY_TEXTS)), None)
-        .when(lowered.rlike(WORD_START + "(?:" + "|".join(V.NON_ANNUAL_WORDS) + ")" + WORD_END), None)
-        .when(F.size(numbers) >= 2, (F.get(numbers, 0) + F.get(numbers, 1)) / 2)
-        .otherwise(F.get(numbers, 0)))
-    return (F.when(parsed.isNotNull() & (period != "") & ~period.isin(list(V.ANNUAL_PERIODS)),
-                   F.lit(None).cast("double"))
-            .when(low.isNotNull() & high.isNotNull(), (low + high) / 2)
-            .when(value >= 1_000, value)
-            .otherwise(from_text))
+    raw = text_or_empty(c)
+    words = WORD_START + "(?:" + "|".join(V.NON_ANNUAL_WORDS) + ")" + WORD_END
+
+    def from_text(text: Column) -> Column:
+        return F.when(F.lower(text).isin("", *V.NO_SALARY_TEXTS)
+                      | F.lower(text).rlike(words), None).otherwise(
+            let(numbers_in(text), lambda found: F.when(
+                F.size(found) >= 2, (F.get(found, 0) + F.get(found, 1)) / 2)
+                .otherwise(F.get(found, 0))))
+
+    def from_object(o: Column) -> Column:
+        period = F.lower(strip(F.coalesce(o["period"], F.lit(""))))
+        low, high = safe_number(o["minValue"]), safe_number(o["maxValue"])
+        value = safe_number(o["value"])
+        return F.when((period != "") & ~period.isin(list(V.ANNUAL_PERIODS)),
+                      F.lit(None).cast("double")) \
+            .when(low.isNotNull() & high.isNotNull(), (low + high) / 2) \
+            .when(value >= 1_000, value) \
+            .otherwise(let(strip(F.coalesce(o["text"], F.lit(""))), from_text))
+
+    return let(salary_object(c), lambda o: F.when(o.isNotNull(), from_object(o))
+               .otherwise(let(strip(raw), from_text)))
 
 
 def salary_band(annual: Column) -> Column:

@@ -46,11 +46,11 @@ EMPLOYEES = ("", "12", "", "75", "", "640", "unknown", "5200", "", "25000", "",
 COMPANIES = ("", "Lockheed Martin", "", "Northstar Health", "")
 
 
-def case(column: str, values: tuple[str, ...], other: str | None = None) -> str:
+def case(column: str, values: tuple[str, ...]) -> str:
     """SQL CASE that deals ``values`` out by a column's remainder."""
     arms = " ".join("WHEN {} THEN '{}'".format(i, v.replace("'", "''"))
                     for i, v in enumerate(values))
-    return f"CASE CAST({column} % {len(values)} AS INT) {arms} END"
+    return f"CASE CAST(({column}) % {len(values)} AS INT) {arms} END"
 
 
 JOB_COLUMNS = {
