@@ -228,12 +228,15 @@ FEEDBACK_LABEL = ("CASE WHEN toxic = 1 THEN 'Reject' WHEN quality = 1 THEN 'Acce
                   "ELSE 'Skip' END")
 
 
-def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feedback on scored postings: one record per labelled document and profile."""
+def feedback(spark: SparkSession, sf_dir: str, shown: DataFrame | None = None) -> DataFrame:
+    """Feedback on scored postings: one record per labelled document and profile.
+
+    ``shown`` are postings that have been scored already, as in a running session.
+    """
     from matchlake.operators.feedback import feedback_records
     labels = table(spark, sf_dir, "labels").selectExpr(
         "doc_id AS row_index", f"{FEEDBACK_LABEL} AS given",
         "concat('p', CAST(doc_id % 4 + 1 AS STRING)) AS profile_id")
-    judged = scored(spark, sf_dir).join(labels, ["row_index", "profile_id"])
+    judged = (scored(spark, sf_dir) if shown is None else shown).join(labels, ["row_index", "profile_id"])
     return feedback_records(judged, F.col("given"), (F.col("row_index") % 3 + 1).cast("int"),
                             F.col("row_index"))

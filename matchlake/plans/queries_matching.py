@@ -580,7 +580,8 @@ RERANK = FB_RANKED + _prefs("ml_ai") + ADJUSTED
 
 def _reranked(spark, sf):
     ranked = _ranked(spark, sf)
-    return ranked, K.feedback_rerank(ranked, X.feedback(spark, sf), F.lit("ml_ai"))
+    given = X.feedback(spark, sf, ranked)
+    return ranked, given, K.feedback_rerank(ranked, given, F.lit("ml_ai"))
 
 
 @query("feedback_adjustment", S.with_(*RERANK, select=(
@@ -611,7 +612,7 @@ def join_feedback_terms(spark, sf):
     "SELECT profile_id, row_index, CAST(new_rank AS INTEGER) AS rank, CAST(rank AS INTEGER) AS "
     "baseline_rank, adjusted_score, new_label AS feedback_label FROM rr")))
 def feedback_rerank(spark, sf):
-    _, reranked = _reranked(spark, sf)
+    _, _, reranked = _reranked(spark, sf)
     return reranked.select(*KEYS, "rank", "baseline_rank", F.col("adjusted_final_score")
                            .alias("adjusted_score"), "feedback_label")
 
@@ -628,8 +629,8 @@ _LOOK = (f"lb AS (SELECT {_KEY}, max(rank) AS rank_before FROM ranked GROUP BY {
     "SELECT profile_id, seq, feedback_label, CAST(rank_before AS INTEGER) AS rank_before, CAST(rank_after "
     "AS INTEGER) AS rank_after, score FROM imp")))
 def join_impact(spark, sf):
-    ranked, reranked = _reranked(spark, sf)
-    return K.join_impact(X.feedback(spark, sf), ranked, reranked).select(
+    ranked, given, reranked = _reranked(spark, sf)
+    return K.join_impact(given, ranked, reranked).select(
         "profile_id", "seq", "feedback_label", "rank_before", "rank_after",
         F.col("adjusted_final_score").alias("score"))
 
@@ -647,8 +648,8 @@ def _avg(label: str, column: str) -> str:
     "count(*) FILTER (feedback_label = 'Reject' AND rank_after > rank_before) AS rejected_demoted FROM imp "
     "GROUP BY profile_id")))
 def feedback_impact(spark, sf):
-    ranked, reranked = _reranked(spark, sf)
-    return K.feedback_impact(K.join_impact(X.feedback(spark, sf), ranked, reranked))
+    ranked, given, reranked = _reranked(spark, sf)
+    return K.feedback_impact(K.join_impact(given, ranked, reranked))
 
 
 SHOWN_AFTER = SHOWN.replace("shown AS", "shown_after AS").replace("FROM ranked", "FROM rr") \
@@ -677,8 +678,9 @@ def _value(x: str) -> str:
 @query("join_ndcg_labels", S.with_(*FB_RANKED, SHOWN, _FIRST, _judged("j", "shown", "rank"), select=(
     "SELECT profile_id, CAST(rel AS INTEGER) AS relevance, count(*) AS n FROM j GROUP BY ALL")))
 def join_ndcg_labels(spark, sf):
-    shown = N.display_select(_ranked(spark, sf))
-    judged = K.join_ndcg_labels(shown, K.first_round_labels(X.feedback(spark, sf)))
+    ranked = _ranked(spark, sf)
+    judged = K.join_ndcg_labels(N.display_select(ranked), K.first_round_labels(
+        X.feedback(spark, sf, ranked)))
     return judged.groupBy("profile_id", "relevance").agg(F.count("*").alias("n"))
 
 
@@ -719,9 +721,9 @@ def ndcg(spark, sf):
         f"ndcg_after, round({_value('a_n')} - {_value('b_n')}, 6) AS ndcg_delta FROM b_n JOIN a_n USING "
         "(profile_id)")))
 def feedback_ndcg(spark, sf):
-    ranked, reranked = _reranked(spark, sf)
+    ranked, given, reranked = _reranked(spark, sf)
     out = K.feedback_ndcg(N.display_select(ranked), N.display_select(reranked),
-                          K.first_round_labels(X.feedback(spark, sf)))
+                          K.first_round_labels(given))
     return out.select("profile_id", *[F.round(c, 6).alias(c)
                                       for c in ("ndcg_before", "ndcg_after", "ndcg_delta")])
 
@@ -731,7 +733,7 @@ def feedback_ndcg(spark, sf):
     "avg(final_score) AS b FROM shown GROUP BY profile_id) JOIN (SELECT profile_id, avg(adjusted_score) AS "
     "a FROM shown_after GROUP BY profile_id) USING (profile_id)")))
 def score_averages(spark, sf):
-    ranked, reranked = _reranked(spark, sf)
+    ranked, _, reranked = _reranked(spark, sf)
     out = N.score_averages(N.display_select(ranked), N.display_select(reranked))
     return out.select("profile_id", *[F.round(c, 6).alias(c) for c in ("baseline_avg", "adjusted_avg")])
 
