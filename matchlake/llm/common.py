@@ -30,3 +30,16 @@ def whole_text(name: str = "text") -> Column:
 def id_remainder(name: str, divisor: int) -> Column:
     """crc32 of the id written as text, modulo ``divisor``; it deals documents into folds."""
     return F.crc32(F.col(name).cast("string").cast("binary")) % divisor
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str,
+                total: int) -> DataFrame:
+    """``rows`` with the columns of their group (null without one), for groups of any size.
+
+    ``groups`` has one row per key and the number of its rows in ``size``.  Groups with a share
+    of 1 / HOT_GROUPS of all ``total`` rows or more, HOT_GROUPS at most, are broadcast.
+    """
+    is_hot = F.col(size) * HOT_GROUPS >= total
+    hot = F.broadcast(groups.where(is_hot))
+    rest = rows.join(hot, on, "left_anti").join(groups.where(~is_hot), on, "left")
+    return rows.join(hot, on).unionByName(rest)

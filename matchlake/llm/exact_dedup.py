@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchlake.llm.common import HOT_GROUPS, stored, whole_text
+from matchlake.llm.common import stored, whole_text, with_groups
 
 #: Distinct hashes that a bucket holds before it is split.
 CAPACITY = 16_384
@@ -91,13 +91,9 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text",
     total = entries.count()
     index = build_index(texts, entries.select("h").distinct(), "doc_id", capacity)
     groups = index.where("group_size > 1").select("h", "sha", "keep_id", "group_size")
-    is_hot = F.col("group_size") * HOT_GROUPS >= total
-    hot = F.broadcast(groups.where(is_hot))  # HOT_GROUPS rows at most
-    in_hot = entries.join(hot, ["h", "sha"])
-    rest = entries.join(hot, ["h", "sha"], "left_anti") \
-        .join(groups.where(~is_hot), ["h", "sha"], "left")
+    found = with_groups(entries, groups, ["h", "sha"], "group_size", total)
     single = F.col("group_size").isNull()
-    return in_hot.unionByName(rest).select(
+    return found.select(
         F.col("doc_id").alias(key),
         F.when(single, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).alias("group_size"),
