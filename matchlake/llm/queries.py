@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from matchlake.llm import (exact_dedup, fingerprint, forced_bpe, language, near_dedup, packing,
-                           quality, substring_dedup, token_files)
+from matchlake.llm import (exact_dedup, fingerprint, forced_bpe, html_text, language, near_dedup,
+                           packing, quality, substring_dedup, token_files)
 from matchlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,6 +72,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
                              public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@_query("op9_html_text")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_texts(table(spark, sf_dir, "pages"))
+
+
 @_query("op10_forced_bpe")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forced_bpe.encoding_digest(
