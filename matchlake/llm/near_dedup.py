@@ -9,8 +9,10 @@ collections of one family: 0.15 ^ 7 + (1 - 0.85 ^ 2) ^ 10, about 4 in a million.
 2. Classes that share a table key are bucket mates.  Rounds compare each with a random mate of
    every bucket, two at most each, and join what is confirmed into components, so a bucket of
    very many near copies shrinks to few components without listing its pairs.
-3. The last pass lists every pair of mates that are still in different components: no link is
-   lost, and none is needed between documents that are connected already.
+3. The last pass takes every pair of mates that are still in different components, once, in the
+   first table they share: no link is lost, and none is needed between documents that are connected
+   already.  Shingles that no other of these documents has bound what two sets can share, which
+   rules out, exactly, copies with too many changes of their own to be linked with any other.
 
 Before sets are compared, pairs must agree in size and in enough minhashes: four bits of each are
 kept, and a linked pair differs in more than ``differing`` of them less than once in ten million.
@@ -36,7 +38,7 @@ from matchlake.llm.common import stored, whole_text, with_groups
 from matchlake.llm.components import components
 from matchlake.llm.word_hashes import BASE, mix, rolling, word_hashes
 
-ROUNDS = 3
+ROUNDS = 2
 MATES = 2
 
 
@@ -123,17 +125,38 @@ def _documents(docs: DataFrame, key: str, text: str, near: Near) -> DataFrame:
     return stored(rows.mapInArrow(run, _SETS), "near-documents")
 
 
-def _may_link(x: str, y: str, near: Near) -> Column:
-    """Sizes and sketches of the aliases ``x`` and ``y`` allow a link."""
+def _differing(x: str, y: str) -> Column:
+    """Minhashes whose four bits differ between the aliases ``x`` and ``y``."""
     def differ(name: str) -> Column:
         d = F.col(f"{x}.{name}").bitwiseXOR(F.col(f"{y}.{name}"))
         d = d.bitwiseOR(F.shiftright(d, 2))
         d = d.bitwiseOR(F.shiftright(d, 1))
         return F.bit_count(d.bitwiseAND(F.lit(0x1111111111111111)))
 
+    return differ("s1") + differ("s2")
+
+
+def _may_link(x: str, y: str, near: Near) -> Column:
+    """Sizes and sketches of the aliases ``x`` and ``y`` allow a link."""
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
     return (100 * F.least(n, m) >= near.percent * F.greatest(n, m)) & (
-        differ("s1") + differ("s2") <= near.differing)
+        _differing(x, y) <= near.differing)
+
+
+def _can_share(x: str, y: str, near: Near) -> Column:
+    """The largest intersection and the smallest union that lone shingles leave are near."""
+    n, m, u, v = (F.col(c) for c in (f"{x}.n", f"{y}.n", f"{x}.lone", f"{y}.lone"))
+    return 100 * F.least(n - u, m - v) >= near.percent * F.greatest(n + v, m + u)
+
+
+def _first_table(x: str, y: str, near: Near) -> Column:
+    """No earlier collection of either family is shared: a pair is taken in one table only."""
+    earlier = F.lit(False)
+    for place, family, (_, count) in (("i", "a", near.first), ("j", "b", near.second)):
+        for k in range(count):
+            earlier = earlier | ((F.col(f"{x}.{place}") > k) & (
+                F.col(f"{x}.{family}")[k] == F.col(f"{y}.{family}")[k]))
+    return ~earlier
 
 
 def _mates(classes: DataFrame) -> DataFrame:
@@ -141,7 +164,7 @@ def _mates(classes: DataFrame) -> DataFrame:
     def keyed() -> DataFrame:
         return classes.select("rep", F.posexplode("a").alias("i", "va"), "b") \
             .select("rep", "i", "va", F.posexplode("b").alias("j", "vb")) \
-            .select(F.xxhash64("i", "va", "j", "vb").alias("key"), "rep")
+            .select(F.xxhash64("i", "va", "j", "vb").alias("key"), "rep", "i", "j")
 
     shared = keyed().groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
     return stored(keyed().join(shared, "key"), "mates")
@@ -180,6 +203,21 @@ def _shingle_table(docs: DataFrame, ids: DataFrame, key: str, text: str, near: N
                   "near-sets")
 
 
+def _lone_shingles(sets: DataFrame) -> DataFrame:
+    """(rep, lone): how many shingles of each set no other set of the table has."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rep, data in zip(batch.column("rep").to_pylist(),
+                                 batch.column("shingles").to_pylist()):
+                flat = np.frombuffer(data, np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(flat), rep)), pa.array(flat)], names=["rep", "s"])
+
+    return sets.mapInArrow(run, "rep long, s long") \
+        .groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("rep")) \
+        .where("m = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("lone"))
+
+
 def near_components(docs: DataFrame, near: Near = QUERY, key: str = "doc_id",
                     text: str = "text") -> DataFrame:
     """Per row of ``docs``: key, n_shingles, component_id and kept."""
@@ -189,7 +227,7 @@ def near_components(docs: DataFrame, near: Near = QUERY, key: str = "doc_id",
             F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"),
             *[F.first(c).alias(c) for c in ("a", "b", "s1", "s2")]), "near-classes")
     mates = _mates(classes)
-    traits = classes.select("rep", "n", "s1", "s2").join(
+    traits = classes.select("rep", "n", "s1", "s2", "a", "b").join(
         mates.select("rep").distinct(), "rep", "left_semi")
     traits = stored(traits, "near-traits")
     sets = _shingle_table(docs, traits.select("rep"), key, text, near)
@@ -219,20 +257,25 @@ def near_components(docs: DataFrame, near: Near = QUERY, key: str = "doc_id",
         pairs = tried.join(now.alias("y"), "rep") \
             .join(now.select(F.col("rep").alias("pivot"), "n", "s1", "s2", "comp").alias("x"), "pivot") \
             .where((F.col("x.comp") != F.col("y.comp")) & _may_link("x", "y", near)) \
-            .select("rep", "pivot", F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1"))).alias("far"))
+            .select("rep", "pivot", _differing("x", "y").alias("far"))
         nearest = Window.partitionBy("rep").orderBy("far", "pivot")
         pairs = pairs.withColumn("place", F.row_number().over(nearest)).where(f"place <= {MATES}") \
             .select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
         if not linked(pairs, "near-links"):
             break
     now = stored(labelled(), "near-labelled")
-    known = mates.join(now, "rep")
+    known = mates.join(now.select("rep", "comp"), "rep")
     mixed = known.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")) \
         .where("low < high").select("key")
-    known = stored(known.join(mixed, "key", "left_semi"), "near-mixed")
+    mixed = stored(mates.join(mixed, "key", "left_semi"), "near-mixed")
+    lone = _lone_shingles(sets.join(mixed.select("rep").distinct(), "rep", "left_semi"))
+    able = now.join(lone, "rep", "left").withColumn("lone", F.coalesce("lone", F.lit(0))) \
+        .where(100 * (F.col("n") - F.col("lone")) >= near.percent * F.col("n"))
+    known = stored(mixed.join(able, "rep"), "near-able")
     pairs = known.alias("x").join(
         known.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep"))
-        & (F.col("x.comp") != F.col("y.comp")) & _may_link("x", "y", near)) \
+        & (F.col("x.comp") != F.col("y.comp")) & _can_share("x", "y", near)
+        & _may_link("x", "y", near) & _first_table("x", "y", near)) \
         .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     linked(pairs, "near-links")
 
