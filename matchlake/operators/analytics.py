@@ -94,8 +94,8 @@ def dataset_totals(jobs: DataFrame, approximate: bool = False) -> DataFrame:
 
 # --- coverage -----------------------------------------------------------------------------
 
-def search_text(description_chars: int | None = V.COVERAGE_SCAN_CHARS) -> Column:
-    """Title, company, location and the start (or all) of the description."""
+def search_text(description_chars: int | None = None) -> Column:
+    """Title, company, location and all (or the start) of the description."""
     description = text_or_empty(F.col("description"))
     if description_chars is not None:
         description = F.substring(description, 1, description_chars)
@@ -121,8 +121,7 @@ def coverage_california(location: Column, combined: Column) -> Column:
         | location.contains(" ca usa ") | contains_any(combined, V.COVERAGE_BAY_AREA_TERMS)
 
 
-def coverage_flags(jobs: DataFrame,
-                   description_chars: int | None = V.COVERAGE_SCAN_CHARS) -> DataFrame:
+def coverage_flags(jobs: DataFrame, description_chars: int | None = None) -> DataFrame:
     """Postings with one boolean per coverage metric (named by the metric)."""
     df = jobs.withColumn("_search", search_text(description_chars)).withColumns({
         "_place": norm_coverage(text_or_empty(F.col("location"))),

@@ -14,11 +14,11 @@ from matchlake.operators.order import head_in_order
 _FALSY = ("", "0", "false", "{}", "[]")
 
 
-def map_records(lines: DataFrame,
-                max_chars: int | None = V.DESCRIPTION_MAX_CHARS) -> DataFrame:
+def map_records(lines: DataFrame, max_chars: int | None = None) -> DataFrame:
     """(line_no, value) lines of raw records to (line_no, posting fields).
 
-    Records without a title or a description are dropped.
+    Records without a title or a description are dropped; descriptions stay whole unless
+    ``max_chars`` asks for a cap.
     """
     # lines that turn out not to be objects have no title and drop out below
     parsed = lines.where(F.ltrim(F.col("value")).startswith("{")) \
@@ -70,7 +70,7 @@ def map_records(lines: DataFrame,
         "description", "apply_link")
 
 
-def snapshot(mapped: DataFrame, limit: int = V.SNAPSHOT_MAX_RECORDS) -> DataFrame:
+def snapshot(mapped: DataFrame, limit: int) -> DataFrame:
     """First valid records in line order."""
     return head_in_order(mapped, "line_no", limit)
 

@@ -15,7 +15,7 @@ from matchlake.operators import records as M
 from matchlake.operators.order import head_in_order, scratch_path
 from matchlake.plans import fixtures as X
 from matchlake.plans import sql as S
-from matchlake.plans.catalog import query
+from matchlake.plans.catalog import ANSWERS, query
 from matchlake.sources import readers, writers
 from matchlake.streaming import ingest as SI
 
@@ -246,7 +246,7 @@ def map_record(spark, sf):
     "SELECT line_no, job_id FROM mapped QUALIFY row_number() OVER (ORDER BY line_no) <= 50000")))
 def snapshot_limit(spark, sf):
     # the snapshot holds the first 50,000 valid records
-    return M.snapshot(_mapped(spark, sf)).select("line_no", "job_id")
+    return M.snapshot(_mapped(spark, sf), V.SNAPSHOT_MAX_RECORDS).select("line_no", "job_id")
 
 
 @query("snapshot_counts", S.with_(MAPPED, select=(
@@ -254,7 +254,7 @@ def snapshot_limit(spark, sf):
     "documents) END AS records_scanned, count(*) AS valid_records FROM (SELECT line_no FROM "
     "mapped ORDER BY line_no LIMIT 50000)")))
 def snapshot_counts(spark, sf):
-    return M.snapshot_counts(X.raw_records(spark, sf), M.snapshot(_mapped(spark, sf)))
+    return M.snapshot_counts(X.raw_records(spark, sf), M.snapshot(_mapped(spark, sf), V.SNAPSHOT_MAX_RECORDS))
 
 
 _HAS = {  # key → which documents have it
@@ -462,26 +462,31 @@ def sink_jobs(spark, sf):
         "row_index", F.md5("description").alias("description_md5"), "dedupe_key")
 
 
-def _stream_files(spark, sf, files: int = 4) -> str:
+def _stream_files(spark, sf, batch_size: int = 500) -> str:
+    """One file per ``batch_size`` consecutive rows, written in their order."""
     path = scratch_path(spark, "incoming")
-    _document_batch(spark, sf).repartitionByRange(files, "row_index").write.parquet(path)
+    rows = _document_batch(spark, sf)
+    last = rows.agg(F.max("row_index")).first()[0]
+    for first in range(0, (-1 if last is None else last) + 1, batch_size):
+        rows.where(F.col("row_index").between(first, first + batch_size - 1)) \
+            .coalesce(1).write.mode("append").parquet(path)
     return path
 
 
 def _run_stream(spark, sf):
+    """The stored postings and the log of a stream of 500-row batches."""
     raw = _document_batch(spark, sf)
     stream = SI.read_stream(spark, _stream_files(spark, sf), "parquet", raw.schema,
                             files_per_trigger=1)
-    out = scratch_path(spark, "streamed")
-    running = SI.stream_log(stream, out, scratch_path(spark, "state"))
-    running.awaitTermination()
-    return running, out
+    out, log = scratch_path(spark, "streamed"), scratch_path(spark, "log")
+    SI.stream_log(stream, out, log, scratch_path(spark, "state")).awaitTermination()
+    return out, log
 
 
-@query("stream_dedupe", S.with_(KEYED, select="SELECT DISTINCT dedupe_key FROM keyed"))
+@query("stream_dedupe", S.with_(KEYED, FIRSTS, select="SELECT row_index, dedupe_key FROM firsts"))
 def stream_dedupe(spark, sf):
-    _, out = _run_stream(spark, sf)
-    return spark.read.parquet(out).select("dedupe_key")
+    out, _ = _run_stream(spark, sf)
+    return spark.read.parquet(out).select("row_index", "dedupe_key")
 
 
 @query("sink_stream", S.with_(KEYED, select=(
@@ -495,35 +500,24 @@ def sink_stream(spark, sf):
                                        F.count_distinct("dedupe_key").alias("n_keys"))
 
 
-def _log_totals(log: DataFrame) -> DataFrame:
-    return log.agg(F.sum("incoming_records").alias("incoming"), F.sum("kept_records").alias("kept"),
-                   F.sum("duplicate_records").alias("duplicates"),
-                   F.max("cumulative_unique_records").alias("unique_records"))
-
+_LOG_ROWS = ANSWERS["stream_batch_log"]
 
-_TOTALS = S.with_(KEYED, select=(
-    "SELECT count(*) AS incoming, count(DISTINCT dedupe_key) AS kept, count(*) - count(DISTINCT "
-    "dedupe_key) AS duplicates, count(DISTINCT dedupe_key) AS unique_records FROM keyed"))
 
-
-@query("stream_log", _TOTALS)
+@query("stream_log", _LOG_ROWS)
 def stream_log(spark, sf):
-    running, _ = _run_stream(spark, sf)
-    log = scratch_path(spark, "log")
-    SI.write_stream_log(running, spark, log)
-    return _log_totals(SI.read_stream_log(spark, log))
+    return SI.read_stream_log(spark, _run_stream(spark, sf)[1])
 
 
-@query("sink_stream_log", _TOTALS)
+@query("sink_stream_log", _LOG_ROWS)
 def sink_stream_log(spark, sf):
-    log = I.stream_batch_log(I.clean_batch(_document_batch(spark, sf)))
+    log = SI.read_stream_log(spark, _run_stream(spark, sf)[1])
     path = writers.write_table(log, scratch_path(spark, "log"), "csv")
-    return _log_totals(writers.read_back(log, path, "csv"))
+    return writers.read_back(log, path, "csv")
 
 
 @query("stream_map_ndjson", S.with_(MAPPED, select=(
-    "SELECT job_id, title, company, location, location_source, md5(rtrim(substr(description, 1, "
-    "3000))) AS description_md5 FROM mapped WHERE line_no % 8 <> 1")))
+    "SELECT CASE WHEN job_id LIKE 'row-%' THEN 'unnamed' ELSE job_id END AS job_id, title, company, "
+    "location, location_source, md5(description) AS description_md5 FROM mapped")))
 def stream_map_ndjson(spark, sf):
     stream = SI.map_ndjson(SI.read_stream(spark, _raw_files(spark, sf), "text"))
     out = scratch_path(spark, "mapped")
@@ -531,15 +525,16 @@ def stream_map_ndjson(spark, sf):
         .option("checkpointLocation", scratch_path(spark, "state")) \
         .trigger(availableNow=True).start().awaitTermination()
     # records without an id are named after their line, which a stream does not know
-    return spark.read.parquet(out).where(~F.col("job_id").startswith("row-")).select(
-        "job_id", "title", "company", "location", "location_source",
+    name = F.when(F.col("job_id").startswith("row-"), "unnamed").otherwise(F.col("job_id"))
+    return spark.read.parquet(out).select(
+        name.alias("job_id"), "title", "company", "location", "location_source",
         F.md5("description").alias("description_md5"))
 
 
 @query("stream_limits", "SELECT count(*) AS n_rows, TRUE AS several_batches FROM documents")
 def stream_limits(spark, sf):
     raw = _document_batch(spark, sf)
-    stream = SI.read_stream(spark, _stream_files(spark, sf), "parquet", raw.schema,
+    stream = SI.read_stream(spark, _stream_files(spark, sf, 100), "parquet", raw.schema,
                             files_per_trigger=1)
     out = scratch_path(spark, "limited")
     running = stream.writeStream.format("parquet").option("path", out) \

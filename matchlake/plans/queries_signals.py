@@ -386,8 +386,8 @@ def role_group_flags(spark, sf):
     "|| ' ' || description) AS whole_md5 FROM jobs0")))
 def search_text(spark, sf):
     # the coverage report is defined on the first 1,200 characters; the whole text is offered too
-    return X.jobs(spark, sf).select("row_index", F.md5(A.search_text()).alias("scan_md5"),
-                                    F.md5(A.search_text(None)).alias("whole_md5"))
+    return X.jobs(spark, sf).select("row_index", F.md5(A.search_text(V.COVERAGE_SCAN_CHARS)).alias("scan_md5"),
+                                    F.md5(A.search_text()).alias("whole_md5"))
 
 
 def bucket_cte() -> str:

@@ -74,42 +74,43 @@ def stream_dedupe(stream: DataFrame, output: str, checkpoint: str,
         .outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
 
 
-def stream_log(stream: DataFrame, output: str, checkpoint: str,
-               trigger: dict | None = None) -> StreamingQuery:
-    """``stream_dedupe`` that also counts incoming and kept rows of every micro-batch.
-
-    The counts are observed while the batch runs, on both sides of the state store;
-    nothing is read twice.  ``write_stream_log`` stores them.
+def stream_log(stream: DataFrame, output: str, log: str, checkpoint: str,
+               order: str = "row_index", trigger: dict | None = None) -> StreamingQuery:
+    """First-wins de-duplication that writes every micro-batch's postings and log row.
+
+    Of equal keys of a batch the row of smallest ``order`` stays, unless an earlier batch has the
+    key.  A batch's postings and its log row go under its number and are overwritten if the batch
+    is run again, so both are complete however many batches there are.  ``order`` may be missing:
+    then any row of the batch stays.
     """
-    cleaned = clean_batch(ensure_columns(stream, V.RAW_FIELDS))
-    counted = cleaned.observe("incoming", F.count(F.lit(1)).alias("n")) \
-        .dropDuplicates(["dedupe_key"]).observe("kept", F.count(F.lit(1)).alias("n"))
-    return counted.writeStream.format("parquet").option("path", output) \
-        .option("checkpointLocation", checkpoint).outputMode("append") \
+    spark = stream.sparkSession
+
+    def store(batch: DataFrame, number: int) -> None:
+        cleaned = clean_batch(ensure_columns(batch, V.RAW_FIELDS), (order,))
+        at = F.col(order) if order in cleaned.columns else F.lit(0)
+        first = cleaned.groupBy("dedupe_key").agg(
+            F.min_by(F.struct(*cleaned.columns), at).alias("row"))
+        rows = first.select("row.*")
+        if number:
+            seen = spark.read.schema("dedupe_key string, batch long").parquet(output) \
+                .where(F.col("batch") < number)
+            rows = rows.join(seen, "dedupe_key", "left_anti")
+        target = f"{output}/batch={number}"
+        rows.select(cleaned.columns).write.mode("overwrite").parquet(target)
+        kept = spark.read.schema(rows.schema).parquet(target).agg(
+            F.count(F.lit(1)).alias("kept_records"))
+        cleaned.agg(F.count(F.lit(1)).alias("incoming_records")).crossJoin(kept).select(
+            F.lit(number + 1).cast("long").alias("batch_id"), "incoming_records", "kept_records",
+            (F.col("incoming_records") - F.col("kept_records")).alias("duplicate_records")) \
+            .write.mode("overwrite").parquet(f"{log}/batch={number}")
+
+    return stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint) \
         .trigger(**(trigger or {"availableNow": True})).start()
 
 
-def write_stream_log(query: StreamingQuery, spark: SparkSession, log: str) -> None:
-    """Store one log row per micro-batch under its batch id.
-
-    Rows are overwritten by id, so this can be repeated while the query runs; Spark
-    keeps the last ``spark.sql.streaming.numRecentProgressUpdates`` batches at hand.
-    """
-    rows = []
-    for progress in query.recentProgress:
-        metrics = progress.observedMetrics
-        if "incoming" in metrics and metrics["incoming"].n:
-            incoming, kept = metrics["incoming"].n, metrics["kept"].n
-            rows.append((progress.batchId + 1, incoming, kept, incoming - kept))
-    for row in rows:
-        spark.createDataFrame([row], "batch_id bigint, incoming_records bigint, "
-                                     "kept_records bigint, duplicate_records bigint") \
-            .coalesce(1).write.mode("overwrite").parquet(f"{log}/batch={row[0]}")
-
-
 def read_stream_log(spark: SparkSession, log: str) -> DataFrame:
     """Log rows with the running number of unique postings."""
-    rows = spark.read.parquet(f"{log}/batch=*")
+    rows = spark.read.parquet(f"{log}/batch=*")  # the same columns in every batch
     return running_sum(rows, "batch_id", {"cumulative_unique_records": "kept_records"})
 
 
