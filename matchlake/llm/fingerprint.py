@@ -37,6 +37,11 @@ LEVELS = 1_001
 FILTER_BITS = 2_048
 FILTER_FEATURES = 128
 HASHES = 5
+#: Text of a task that walks documents in order; a task holds two documents, whatever its share.
+TASK_BYTES = 32 << 20
+MOST_TASKS = 20_000
+#: Ranges of ids for each of these tasks.
+RANGES = 4
 
 _SCALE = 1 << 20
 _COUNTS = np.arange(WINDOW + 1)
@@ -141,8 +146,8 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 # --- Spark ---------------------------------------------------------------------
 
-def rarity_of(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Rank of every entropy level over all windows of all documents: 0 is the rarest."""
+def rarity_of(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, int]:
+    """Rank of every entropy level over all windows of all documents, 0 is the rarest; windows."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(LEVELS, np.int64)
         for batch in batches:
@@ -161,10 +166,10 @@ def rarity_of(docs: DataFrame, text: str = "text") -> np.ndarray:
     order = np.argsort(counts, kind="stable")
     ranks = np.empty(LEVELS, np.int32)
     ranks[order] = np.arange(LEVELS)
-    return ranks
+    return ranks, int(counts.sum())
 
 
-def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def with_next(docs: DataFrame, tasks: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Ranges of documents in descending order of their id, each with its follower's row.
 
     Returns k, t, range, follower: rows of one ``range`` are in one partition, sorted by id
@@ -172,7 +177,7 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     ends come from a pass over the ids alone, so the texts cross the shuffle once.
     """
     rows = docs.select(F.col(key).cast("long").alias("k"), whole_text(text).alias("t"))
-    ids = rows.where("k IS NOT NULL").select("k").repartitionByRange("k") \
+    ids = rows.where("k IS NOT NULL").select("k").repartitionByRange(tasks * RANGES, "k") \
         .groupBy(F.spark_partition_id()).agg(F.max("k").alias("top"))
     tops = np.array(sorted(r["top"] for r in ids.collect()), dtype=np.int64)  # one a partition
 
@@ -185,9 +190,8 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
                           for i, f in zip(at, first)])
 
     dealt = rows.where("k IS NOT NULL").select("k", "t", F.posexplode(targets("k")).alias("p", "range"))
-    n = max(1, len(tops))
     return dealt.select("k", "t", "range", (F.col("p") == 1).alias("follower")) \
-        .repartition(n, "range") \
+        .repartition(tasks, "range") \
         .sortWithinPartitions("range", "follower", F.col("k").desc())
 
 
@@ -197,7 +201,10 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     The edited text ends with the start of the next document in descending order of ids.  Ids
     are taken as unique and rows without an id have no place in the order: they are left out.
     """
-    rarity = rarity_of(docs, text)
+    rarity, windows = rarity_of(docs, text)
+    # as many tasks as the text needs and the cores can use; ids alone would be dealt to few
+    tasks = min(MOST_TASKS, max(docs.sparkSession.sparkContext.defaultParallelism,
+                                math.ceil(windows / TASK_BYTES)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -251,6 +258,6 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         if out:
             yield batch_of()
 
-    return with_next(docs, key, text).mapInArrow(
+    return with_next(docs, tasks, key, text).mapInArrow(
         run, f"{key} long, n_chars long, edited_sha256 string, fingerprint string, "
              "edited_fingerprint string, near_edited double, near_next double")
