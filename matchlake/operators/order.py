@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TOP_K_FAN_IN = 64
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
 # --- shared storage -------------------------------------------------------------
@@ -122,9 +123,12 @@ def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int,
 
     Each task keeps its own k best, the survivors of ``fan_in`` task sets are
     reduced to k each, and only those meet per group, so a group that holds most of
-    the rows never reaches one task.
+    the rows never reaches one task.  Spark limits before the shuffle only below a threshold, which
+    the session's setting is raised to hold for ``k``.
     """
-    group = list(group)
+    group, conf = list(group), df.sparkSession.conf
+    if int(conf.get(GROUP_LIMIT, "1000")) <= k:
+        conf.set(GROUP_LIMIT, str(k + 1))
     first = Window.partitionBy(*group, "_set").orderBy(*order)
     last = Window.partitionBy(*group).orderBy(*order)
     survivors = df.withColumn("_set", F.pmod(F.spark_partition_id(), F.lit(fan_in))) \

@@ -327,9 +327,9 @@ def topk_fallback(spark, sf):
 
 @query("embedding_bonus", S.with_(_Q, _SIMS, select=(
     "SELECT profile_id, row_index, round_even(embedding_similarity * 30 * 100, 0) / 100 AS bonus FROM "
-    "sims")))
+    f"({_topk_sql(50)})")))
 def embedding_bonus(spark, sf):
-    top = E.topk_exact(X.vectors(spark, sf), X.query_vectors(spark, sf), 10_000_000)
+    top = E.topk_exact(X.vectors(spark, sf), X.query_vectors(spark, sf), 50)
     return top.select("profile_id", "row_index", round2(
         F.col("embedding_similarity") * V.EMBEDDING_BONUS_SCALE).alias("bonus"))
 
@@ -760,8 +760,9 @@ def stream_feedback(spark, sf):
     running = SF.write_counters(SF.label_counts(SF.event_labels(stream)), state,
                                 scratch_path(spark, "state"))
     running.awaitTermination()
-    last = max(p.batchId for p in running.recentProgress if p.numInputRows)
-    return spark.read.parquet(f"{state}/state={last}")
+    states = spark.read.parquet(state)  # one folder per batch; progress reports may be dropped
+    last = states.agg(F.max("state").alias("state"))
+    return states.join(last, "state", "left_semi").select("profile_id", "feedback_label", "cnt")
 
 
 @query("prepared_profiles", S.with_(S.PROFILES, select=(

@@ -4,15 +4,17 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from matchlake.operators.order import top_k
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
 CHECKED = ("src_ndjson", "map_record", "json_key_profile", "dedupe_first", "stream_batch_log",
            "stream_log", "job_constraints", "coverage_summary", "final_explanation", "rank_jobs",
-           "display_select", "topk_profiles", "balanced_sample", "feedback_rerank",
+           "display_select", "topk_profiles", "embedding_bonus", "stream_feedback", "balanced_sample", "feedback_rerank",
            "doc_sections", "doc_semantic_text")
 
 
@@ -44,6 +46,16 @@ def test_every_answer_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_top_k_limits_before_the_shuffle(spark, capsys):
+    rows = spark.range(20_000).selectExpr("id % 3 AS g", "id")
+    best = top_k(rows, ["g"], [F.col("id").desc()], 5_000)
+    best.explain()
+    plan = capsys.readouterr().out
+    assert plan.rindex("WindowGroupLimit") > plan.rindex("Exchange")
+    assert best.count() == 15_000
+    assert {r.id for r in best.where("rank = 5000").collect()} == {5_000, 5_001, 5_002}
+
+
 def test_ann_recall(spark):
     exact = {(r.profile_id, r.row_index) for r in entry.queries()["topk_profiles"](spark, SF_DIR)
              .where("rank <= 20").collect()}
