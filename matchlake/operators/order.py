@@ -60,8 +60,11 @@ def number_rows(df: DataFrame, name: str = "row_index") -> DataFrame:
     offsets = counts.withColumn("_inside", F.coalesce(F.sum("_n").over(within), F.lit(0))) \
         .join(before_file, "_file") \
         .select(*split, "_first", (F.coalesce("_base", F.lit(0)) + F.col("_inside")).alias("_offset"))
-    # one row per 128 MB split: a few MB even for 100 TB of input
-    return df.join(F.broadcast(offsets), split) \
+    # one row per split, written so that Spark knows its size and broadcasts it only if small
+    path = scratch_path(df.sparkSession, "offsets")
+    offsets.write.parquet(path)
+    offsets = df.sparkSession.read.schema(offsets.schema).parquet(path)
+    return df.join(offsets, split) \
         .withColumn(name, F.col("_offset") + F.col("_at") - F.col("_first")) \
         .drop("_file", "_block", "_at", "_first", "_offset")
 
