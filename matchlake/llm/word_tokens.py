@@ -19,6 +19,9 @@ import numpy as np
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-ɏ]*")
 #: Words kept at a time; the dictionary starts anew beyond that (about 200 MB).
 KEPT_WORDS = 1_000_000
+#: Stands between new words, which are encoded many at a time; not in ``_PLAIN``, so in no word.
+MARK = "\x01"
+JOINED_WORDS = 2_000
 
 
 def library(path: str):
@@ -41,6 +44,18 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
         found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
+    mark = np.frombuffer(ids_of([MARK])[0], "<u4")
+
+    def ids_of_words(words: list[str]) -> list[bytes]:
+        if len(mark) != 1:
+            return ids_of(words)
+        out: list[bytes] = []
+        for at in range(0, len(words), JOINED_WORDS):
+            ids = ids_of([f" {MARK} ".join(words[at:at + JOINED_WORDS])])[0]
+            ends = 4 * np.flatnonzero(np.frombuffer(ids, "<u4") == mark[0])
+            out += [ids[a:b] for a, b in zip([0, *(ends + 4).tolist()], [*ends.tolist(), len(ids)])]
+        return out
+
     def encode(texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for text in texts:
@@ -53,7 +68,7 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
                 if len(known) > KEPT_WORDS:
                     known.clear()
                     new = list(set(words))
-                known.update(zip(new, ids_of(new)))
+                known.update(zip(new, ids_of_words(new), strict=True))
             out.append(b"".join(map(known.__getitem__, words)))
         return out
 
