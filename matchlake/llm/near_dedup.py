@@ -182,7 +182,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")],
                                              names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(16)))
+    salted = stored(pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(16))), "near-pairs")
     left = salted.select("a", "salt").distinct().join(
         sets.select(F.col("rep").alias("a"), F.col("shingles").alias("xs")), "a")
     right = salted.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("ys")), "b")
