@@ -160,14 +160,19 @@ def _first_table(x: str, y: str, near: Near) -> Column:
 
 
 def _mates(classes: DataFrame) -> DataFrame:
-    """(key, rep) of every class in every table whose key another class has too."""
-    def keyed() -> DataFrame:
-        return classes.select("rep", F.posexplode("a").alias("i", "va"), "b") \
-            .select("rep", "i", "va", F.posexplode("b").alias("j", "vb")) \
-            .select(F.xxhash64("i", "va", "j", "vb").alias("key"), "rep", "i", "j")
-
-    shared = keyed().groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
-    return stored(keyed().join(shared, "key"), "mates")
+    """(key, rep) of every class in every table whose key another class has too.
+
+    Classes with the same key of a table have the same key of the second family, so only what
+    shares one of those is spread over the tables.
+    """
+    second = classes.select("rep", F.posexplode("b").alias("j", "vb"))
+    common = second.groupBy("j", "vb").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    second = stored(second.join(common.select("j", "vb"), ["j", "vb"]), "near-second")
+    keyed = second.join(classes.select("rep", "a"), "rep") \
+        .select("rep", "j", "vb", F.posexplode("a").alias("i", "va")) \
+        .select(F.xxhash64("i", "va", "j", "vb").alias("key"), "rep", "i", "j")
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
+    return stored(keyed.join(shared, "key"), "mates")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
