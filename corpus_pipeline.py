@@ -31,15 +31,18 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that stand earlier; documents left without words go."""
-    kept = substring_dedup.remove_repeats(docs).where("n_removed > 0") \
-        .select("doc_id", F.col("n_words") == F.col("n_removed"), "kept_text") \
-        .toDF("doc_id", "nothing_left", "kept_text")
-    changed = F.col("kept_text").isNotNull()
-    return docs.join(kept, "doc_id", "left").where("nothing_left IS NULL OR NOT nothing_left") \
-        .withColumn("text", F.when(changed, F.col("kept_text")).otherwise(F.col("text"))) \
-        .withColumn("n_chars", F.when(changed, F.length("kept_text").cast("long"))
-                    .otherwise(F.col("n_chars"))) \
-        .select(docs.columns)
+    # each row brings its other columns along: ids may be null or repeated
+    rows = docs.select("doc_id", "text", F.struct(
+        F.struct(*[c for c in docs.columns if c != "text"]).alias("columns"),
+        F.col("text").isNull().alias("no_text")).alias("row"))
+    found = substring_dedup.remove_repeats(rows, carried="row") \
+        .where("n_removed = 0 OR n_removed < n_words")
+    changed = F.col("n_removed") > 0
+    values = {c: F.col("row.columns")[c] for c in docs.columns if c != "text"}
+    values["text"] = F.when(~F.col("row.no_text"), F.col("kept_text"))
+    values["n_chars"] = F.when(changed, F.length("kept_text").cast("long")) \
+        .otherwise(values["n_chars"])
+    return found.select(*[values[c].alias(c) for c in docs.columns])
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,6 +31,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from matchlake.llm.common import stored, whole_text
 from matchlake.llm.word_hashes import BASE, OTHER_BASE, rolling, word_hashes
@@ -42,7 +43,8 @@ OWNER_ENTRIES = 1 << 20
 OWNERS = 64
 
 _NO_ID = -(1 << 63)
-CHUNKS = "chunk long, n_words long, doc_ids array<long>, sizes array<long>, texts binary"
+CHUNKS = "chunk long, n_words long, doc_ids array<long>, sizes array<long>, texts binary, "\
+         "others binary"
 SENT = "owner int, chunk long, n long, entries binary"
 _squeeze, _expand = zstandard.compress, zstandard.decompress
 
@@ -72,6 +74,19 @@ def _parts(data: bytes) -> list[bytes]:
     return [data[e - s:e] for s, e in zip(sizes, ends)]
 
 
+def _frozen(values: pa.Array) -> bytes:
+    """An array of any type as compressed bytes."""
+    batch = pa.RecordBatch.from_arrays([values], names=["c"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return _squeeze(sink.getvalue().to_pybytes(), 3)
+
+
+def _thawed(data: bytes) -> pa.Array:
+    return pa.ipc.open_stream(_expand(data)).read_next_batch().column(0)
+
+
 # --- hashes of a chunk --------------------------------------------------------
 
 class Chunk:
@@ -160,36 +175,54 @@ def _answers(row: dict, name: str, owners: int, bounds: np.ndarray) -> np.ndarra
 
 # --- Spark --------------------------------------------------------------------
 
-def chunks_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Chunks of whole documents, sorted by id inside; written to shared files."""
+def chunks_of(docs: DataFrame, key: str = "doc_id", text: str = "text",
+              carried: str | None = None) -> DataFrame:
+    """Chunks of whole documents, sorted by id inside; written to shared files.
+
+    The column ``carried`` of ``docs``, if given, is kept beside the texts in the same order.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         held: list[tuple[int, bytes]] = []
+        others: list[pa.Array] = []
         size = number = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal held, size, number
-            held.sort(key=lambda x: x[0])
+            nonlocal held, others, size, number
+            order = sorted(range(len(held)), key=lambda i: held[i][0])
+            held = [held[i] for i in order]
             row = {"chunk": part << 32 | number, "n_words": sum(len(t.split()) for _, t in held),
                    "doc_ids": [k for k, _ in held], "sizes": [len(t) for _, t in held],
-                   "texts": _squeeze(b"".join(t for _, t in held), 3)}
-            held, size, number = [], 0, number + 1
+                   "texts": _squeeze(b"".join(t for _, t in held), 3),
+                   "others": _frozen(pa.concat_arrays(others).take(pa.array(order)))
+                   if others else None}
+            held, others, size, number = [], [], 0, number + 1
             return pa.RecordBatch.from_pylist([row], pa.schema([
                 ("chunk", pa.int64()), ("n_words", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
-                ("sizes", pa.list_(pa.int64())), ("texts", pa.binary())]))
+                ("sizes", pa.list_(pa.int64())), ("texts", pa.binary()), ("others", pa.binary())]))
 
         for batch in batches:
-            for k, t in zip(*(c.to_pylist() for c in batch.columns)):
+            other = batch.column(2) if carried else None
+            more = other.nbytes // max(1, len(other)) if carried else 0
+            begin = 0
+            for i, (k, t) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:2]))):
                 data = t.encode()
                 held.append((_NO_ID if k is None else k, data))
-                size += len(data) + 64
+                size += len(data) + 64 + more
                 if size >= CHUNK_BYTES:
+                    if carried:
+                        others.append(other[begin:i + 1])
+                        begin = i + 1
                     yield flush()
+            if carried and begin < len(other):
+                others.append(other[begin:])
         if held:
             yield flush()
 
-    return stored(docs.select(F.col(key).cast("long").alias("k"), whole_text(text).alias("t"))
-                  .mapInArrow(run, CHUNKS), "chunks")
+    columns = [F.col(key).cast("long").alias("k"), whole_text(text).alias("t")]
+    if carried:
+        columns.append(F.col(carried).alias("c"))
+    return stored(docs.select(columns).mapInArrow(run, CHUNKS), "chunks")
 
 
 def _sent(rows: list[tuple]) -> pa.RecordBatch:
@@ -251,9 +284,15 @@ def _judge_windows(entries: list[bytes]) -> np.ndarray:
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text",
-                   with_text: bool = True) -> DataFrame:
-    """Per row of ``docs``: key, n_words, n_removed, kept_sha256 and, if asked for, kept_text."""
-    chunks = chunks_of(docs, key, text)
+                   with_text: bool = True, carried: str | None = None) -> DataFrame:
+    """Per row of ``docs``: key, n_words, n_removed, kept_sha256 and, if asked for, kept_text.
+
+    ``carried`` names a column that comes along, for rows that their id does not tell apart; with
+    it, a text of which nothing is removed comes back as it was.
+    """
+    kind = docs.schema[carried].dataType if carried else None
+    whole = chunks_of(docs, key, text, carried)
+    chunks = whole.drop("others")
     total = chunks.agg(F.sum("n_words")).first()[0] or 0
     owners = max(OWNERS, -(-total // OWNER_ENTRIES))
     bits = max(1, (owners - 1).bit_length())
@@ -312,14 +351,20 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text",
                     rest = b" ".join(words)
                     taken.append(int(drop.sum()))
                     sums.append(hashlib.sha256(rest).hexdigest())
+                    if carried and not drop.any():
+                        rest = t
                     kept.append(rest.decode() if with_text else None)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([None if k == _NO_ID else k for k in c.ids], pa.int64()),
-                     pa.array(c.counts), pa.array(taken, pa.int64()), pa.array(sums, pa.string()),
-                     pa.array(kept, pa.string())],
-                    names=[key, "n_words", "n_removed", "kept_sha256", "kept_text"])
-
-    done = chunks.join(hit_rows, "chunk", "left").join(_by_chunk(firsts, "firsts"), "chunk", "left") \
-        .mapInArrow(finish, f"{key} long, n_words long, n_removed long, kept_sha256 string, "
-                            "kept_text string")
+                columns = [pa.array([None if k == _NO_ID else k for k in c.ids], pa.int64()),
+                           pa.array(c.counts), pa.array(taken, pa.int64()),
+                           pa.array(sums, pa.string()), pa.array(kept, pa.string())]
+                if carried:
+                    columns.append(_thawed(row["others"]))
+                yield pa.RecordBatch.from_arrays(columns, names=out.names)
+
+    out = T.StructType().add(key, "long").add("n_words", "long").add("n_removed", "long") \
+        .add("kept_sha256", "string").add("kept_text", "string")
+    if carried:
+        out = out.add(carried, kind)
+    rows = (whole if carried else chunks).join(hit_rows, "chunk", "left")
+    done = rows.join(_by_chunk(firsts, "firsts"), "chunk", "left").mapInArrow(finish, out)
     return done if with_text else done.drop("kept_text")

@@ -393,3 +393,19 @@ def test_pipeline(spark, texts, tmp_path):
                                                 F.first("doc_tokens").alias("m"))
             assert total.count() == len(given) and total.where("n <> m").isEmpty()
         docs = after
+
+
+def test_passages_of_repeated_rows_and_null_ids(spark):
+    """Rows are told apart where their ids are not."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(7, a), (7, a), (None, b), (None, f"{b} tail"), (3, f"{c}  end"), (3, None), (None, None),
+            (8, f"{a} own"), (9, "short"), (9, "short")]
+    docs = spark.createDataFrame([(i, t, "en", f"s{n}", -1, "k", n)
+                                  for n, (i, t) in enumerate(rows)], SCHEMA).coalesce(1)
+    left = corpus_pipeline.repeated_passages(spark, docs, SF)
+    assert left.schema.names == docs.schema.names and left.dtypes == docs.dtypes
+    found = {r["t"]: (r["doc_id"], r["text"], r["source"], r["n_chars"]) for r in left.collect()}
+    want = {n: (i, t, f"s{n}", -1) for n, (i, t) in enumerate(rows)}
+    del want[1]
+    want[3], want[7] = (None, "tail", "s3", 4), (8, "own", "s7", 3)
+    assert found == want
