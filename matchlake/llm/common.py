@@ -43,3 +43,21 @@ def with_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str,
     hot = F.broadcast(groups.where(is_hot))
     rest = rows.join(hot, on, "left_anti").join(groups.where(~is_hot), on, "left")
     return rows.join(hot, on).unionByName(rest)
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, total: int, on: dict[str, Column]) -> DataFrame:
+    """``docs`` without the rows whose values ``on`` are in ``gone``; nulls are equal.
+
+    ``gone`` has these values once each and the number of their rows in ``rows``.  Values of a
+    share of 1 / HOT_GROUPS of all ``total`` rows or more are broadcast.
+    """
+    columns = docs.columns
+    rows = docs.select(F.struct(*columns).alias("row"),
+                       *[value.alias(f"on_{name}") for name, value in on.items()])
+    is_hot = F.col("rows") * HOT_GROUPS >= total
+    for part in (F.broadcast(gone.where(is_hot)), gone.where(~is_hot)):
+        same = F.lit(True)
+        for name in on:
+            same = same & rows[f"on_{name}"].eqNullSafe(part[name])
+        rows = rows.join(part, same, "left_anti")
+    return rows.select("row.*")

@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchlake.llm.common import stored, whole_text, with_groups
+from matchlake.llm.common import stored, whole_text, with_groups, without_rows
 
 #: Distinct hashes that a bucket holds before it is split.
 CAPACITY = 16_384
@@ -82,9 +82,8 @@ def build_index(texts: DataFrame, hashes: DataFrame, key: str = "doc_id",
         "hash-index")
 
 
-def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text",
-                 capacity: int = CAPACITY) -> DataFrame:
-    """Per row of ``docs``: key, keep_id, group_size, kept, text_sha256; see the module."""
+def _judged(docs: DataFrame, key: str, text: str, capacity: int) -> tuple[DataFrame, int]:
+    """Per row of ``docs``: doc_id, h, sha, keep_id, group_size, kept; and the number of rows."""
     texts = docs.select(F.col(key).alias("doc_id"), whole_text(text).alias("t")) \
         .withColumn("h", F.xxhash64("t"))
     entries = stored(texts.select("doc_id", "h", F.sha2("t", 256).alias("sha")), "hash-entries")
@@ -94,14 +93,25 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text",
     found = with_groups(entries, groups, ["h", "sha"], "group_size", total)
     single = F.col("group_size").isNull()
     return found.select(
-        F.col("doc_id").alias(key),
+        "doc_id", "h", "sha",
         F.when(single, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).alias("group_size"),
-        (single | F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
+        (single | F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept")), total
+
+
+def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text",
+                 capacity: int = CAPACITY) -> DataFrame:
+    """Per row of ``docs``: key, keep_id, group_size, kept, text_sha256; see the module."""
+    return _judged(docs, key, text, capacity)[0].select(
+        F.col("doc_id").alias(key), "keep_id", "group_size", "kept",
         F.col("sha").alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the rows that ``exact_groups`` drops; all columns stay as they are."""
-    gone = exact_groups(docs, key, text).where("NOT kept").select(key).distinct()
-    return docs.join(gone, key, "left_anti")
+    judged, total = _judged(docs, key, text, CAPACITY)
+    gone = judged.where("NOT kept").groupBy("h", "sha", "doc_id") \
+        .agg(F.count(F.lit(1)).alias("rows"))
+    return without_rows(docs, stored(gone, "hash-gone"), total, {
+        "h": F.xxhash64(whole_text(text)), "sha": F.sha2(whole_text(text), 256),
+        "doc_id": F.col(key)})

@@ -34,10 +34,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchlake.llm.common import stored, whole_text, with_groups
+from matchlake.llm.common import stored, whole_text, with_groups, without_rows
 from matchlake.llm.components import components
 from matchlake.llm.word_hashes import BASE, mix, rolling, word_hashes
 
+#: A text with a match has words.
+_WORD = r"[^ \t\n\r\x0b\f]"
 ROUNDS = 2
 MATES = 2
 
@@ -300,6 +302,43 @@ def near_components(docs: DataFrame, near: Near = QUERY, key: str = "doc_id",
 
 def keep_first(docs: DataFrame, near: Near = STAGE, key: str = "doc_id",
                text: str = "text") -> DataFrame:
-    """``docs`` with one document of each component; columns stay as they are."""
-    gone = near_components(docs, near, key, text).where("NOT kept").select(key)
-    return docs.join(gone, key, "left_anti")
+    """``docs`` with one document of each component; columns stay as they are.
+
+    Ids may be null or repeated here: a document is told by the 64-bit hash of its id and text.
+    The smallest id stays, a null id only where all are null.  Rows that repeat the id and the
+    text of another stay with it, if the id is not null; of null ids one row stays.
+    """
+    mark = F.xxhash64(F.col(key), whole_text(text))
+    rows = docs.select(mark.alias("mark"), F.col(key).alias("id"), whole_text(text).alias("t"))
+    marks = stored(rows.select("mark", "id", F.col("t").rlike(_WORD).alias("full"))
+                   .groupBy("mark").agg(F.min("id").alias("id"), F.first("full").alias("full"),
+                                        F.count(F.lit(1)).alias("rows")), "near-marks")
+    total = marks.agg(F.sum("rows")).first()[0] or 0
+    # each document once: the texts of repeated rows are merged in the map tasks
+    again = stored(marks.where("full AND rows > 1").select("mark", "rows"), "near-again")
+    once = rows.select("mark", "t")
+    if not again.isEmpty():
+        first = without_rows(once, again, total, {"mark": F.col("mark")})
+        repeated = with_groups(once, again, ["mark"], "rows", total).where("rows IS NOT NULL") \
+            .groupBy("mark").agg(F.min("t").alias("t"))
+        once = first.unionByName(repeated)
+    found = near_components(once, near, "mark", "t").where("n_shingles > 0") \
+        .select("mark", F.col("component_id").alias("component"))
+    members = stored(found.join(marks, "mark"), "near-members")
+    best = members.groupBy("component").agg(
+        F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "mark")).alias("best"),
+        F.count(F.lit(1)).alias("size")).where("size > 1") \
+        .select("component", F.col("best.mark").alias("best"), "size")
+    gone = with_groups(members, stored(best, "near-best"), ["component"], "size", total) \
+        .where("mark <> best").select("mark", "rows")
+    left = without_rows(docs, stored(gone, "near-gone"), total, {"mark": mark})
+    # of documents without an id that are equal in text, one row
+    twins = members.where("id IS NULL AND rows > 1").select("mark", "rows")
+    if twins.isEmpty():
+        return left
+    names = docs.columns
+    pairs = with_groups(left.select(mark.alias("mark"), F.struct(*names).alias("row")), twins,
+                        ["mark"], "rows", total)
+    one = pairs.where("rows IS NOT NULL").groupBy("mark").agg(F.min_by(
+        "row", F.xxhash64("row")).alias("row"))
+    return pairs.where("rows IS NULL").select("row.*").unionByName(one.select("row.*"))

@@ -409,3 +409,30 @@ def test_passages_of_repeated_rows_and_null_ids(spark):
     del want[1]
     want[3], want[7] = (None, "tail", "s3", 4), (8, "own", "s7", 3)
     assert found == want
+
+
+def numbered(spark, rows):
+    """Documents with the given (id, text); the column t numbers the rows."""
+    return spark.createDataFrame([(i, t, "en", "s", 0, "k", n) for n, (i, t) in enumerate(rows)],
+                                 SCHEMA)
+
+
+def test_drop_copies_by_row(spark):
+    rows = [(5, "A"), (9, "A"), (5, "B"), (None, "A"), (None, "A"), (None, "C"), (None, "C"),
+            (None, None), (2, ""), (9, "A")]
+    left = exact_dedup.drop_copies(numbered(spark, rows))
+    assert sorted(r["t"] for r in left.collect()) == [1, 2, 5, 6, 8, 9]
+
+
+def test_keep_first_by_row(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(5, a), (9, f"{a} end"), (5, f"{b} end"), (3, b), (9, c), (None, f"{a} other"),
+            (None, a), (None, "d " + b), (None, "own words of one"), (None, "Own words of one"),
+            (None, "same text"), (None, "same text"), (None, None), (None, ""), (4, None), (4, None),
+            (9, c), (5, "alone"), (3, "quite alone")]
+    left = near_dedup.keep_first(numbered(spark, rows))
+    assert left.dtypes == numbered(spark, rows).dtypes
+    found = [r["t"] for r in left.collect()]
+    one = [n for n in found if n in (8, 9)], [n for n in found if n in (10, 11)]
+    assert [len(x) for x in one] == [1, 1]
+    assert sorted(set(found) - set(sum(one, []))) == [0, 3, 4, 12, 13, 14, 15, 16, 17, 18]
