@@ -13,7 +13,7 @@ from matchlake.operators import retrieval as E
 from matchlake.operators import sampling as B
 from matchlake.operators import scoring as C
 from matchlake.operators.ingest import embedding_text
-from matchlake.operators.order import scratch_path
+from matchlake.operators.order import materialise, scratch_path
 from matchlake.operators.profiles import (join_candidates, join_profiles, pair_candidates,
                                           prepare_profiles)
 from matchlake.plans import fixtures as X
@@ -760,9 +760,50 @@ def stream_feedback(spark, sf):
     running = SF.write_counters(SF.label_counts(SF.event_labels(stream)), state,
                                 scratch_path(spark, "state"))
     running.awaitTermination()
-    states = spark.read.parquet(state)  # one folder per batch; progress reports may be dropped
+    return _last_state(spark, state).select("profile_id", "feedback_label", "cnt")
+
+
+def _last_state(spark, path):
+    states = spark.read.parquet(path)  # one folder per batch; progress reports may be dropped
     last = states.agg(F.max("state").alias("state"))
-    return states.join(last, "state", "left_semi").select("profile_id", "feedback_label", "cnt")
+    return states.join(last, "state", "left_semi").drop("state")
+
+
+def _feedback_stream(spark, given, rounds: int = 3):
+    """The records of ``given`` as a stream of about so many rounds."""
+    path = scratch_path(spark, "feedback")
+    given.repartitionByRange(rounds, "seq").write.parquet(path)
+    files = len(spark.read.schema(given.schema).parquet(path).inputFiles())
+    return spark.readStream.schema(given.schema) \
+        .option("maxFilesPerTrigger", max(1, -(-files // rounds))).parquet(path)
+
+
+@query("stream_preferences", S.with_(*FB, *_prefs("ml_ai"), select="SELECT * FROM prefs"))
+def stream_preferences(spark, sf):
+    """Running (profile, kind, term) counters; the last state equals those of the batch."""
+    stream = _feedback_stream(spark, X.feedback(spark, sf))
+    state = scratch_path(spark, "preferences")
+    SF.write_counters(SF.stream_preferences(stream, F.lit("ml_ai")), state,
+                      scratch_path(spark, "state")).awaitTermination()
+    return _last_state(spark, state).select("profile_id", "kind", "term", "cnt")
+
+
+@query("stream_rerank", S.with_(*RERANK, select=(
+    "SELECT profile_id, row_index, CAST(new_rank AS INTEGER) AS rank, CAST(rank AS INTEGER) AS "
+    "baseline_rank, adjusted_score, new_label AS feedback_label FROM rr")))
+def stream_rerank(spark, sf):
+    """The baseline ranked again in each round with all feedback so far; the last round."""
+    baseline = materialise(_ranked(spark, sf))
+    stream = _feedback_stream(spark, X.feedback(spark, sf, baseline))
+    rounds = scratch_path(spark, "rounds")
+
+    def publish(ranked, number: int) -> None:
+        ranked.select(*KEYS, "rank", "baseline_rank", F.col("adjusted_final_score").alias("adjusted_score"),
+                      "feedback_label").write.mode("overwrite").parquet(f"{rounds}/state={number}")
+
+    SF.stream_rerank(stream, baseline, scratch_path(spark, "history"), scratch_path(spark, "state"),
+                     publish, F.lit("ml_ai")).awaitTermination()
+    return _last_state(spark, rounds)
 
 
 @query("prepared_profiles", S.with_(S.PROFILES, select=(

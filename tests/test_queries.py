@@ -61,3 +61,15 @@ def test_ann_recall(spark):
              .where("rank <= 20").collect()}
     found = {(r.profile_id, r.row_index) for r in entry.queries()["topk_ann"](spark, SF_DIR).collect()}
     assert len(exact & found) >= 0.8 * len(exact)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables are not here")
+@pytest.mark.parametrize("streamed, batch", [("stream_preferences", "feedback_prefs"),
+                                             ("stream_rerank", "feedback_rerank")])
+def test_feedback_stream_equals_batch(spark, duck, streamed, batch):
+    df = entry.queries()[streamed](spark, SF_DIR)
+    given = entry.queries()[batch](spark, SF_DIR)
+    assert sorted(df.columns) == sorted(given.columns)
+    found = rows_of(df.collect(), df.columns)
+    assert found and found == rows_of(given.collect(), given.columns)
+    assert entry.oracle_sql()[streamed] == entry.oracle_sql()[batch]
