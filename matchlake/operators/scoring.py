@@ -514,6 +514,11 @@ INPUTS = ("_title_text", "_content_text", "_breaker_text", "_role_titled", "_rol
 RULE_PARTS = ("_role", "_skill", "_location", "_salary", "_dealbreaker", "_advanced")
 
 
+def embedding_bonus(similarity: Column) -> Column:
+    """Points for the similarity; without one the bonus is 0."""
+    return round2(F.coalesce(similarity, F.lit(0.0)) * V.EMBEDDING_BONUS_SCALE)
+
+
 @once_per_jvm
 def _totals() -> dict[str, Column]:
     points = F.lit(0)
@@ -529,7 +534,7 @@ def _totals() -> dict[str, Column]:
         "passes_location_filter": _c("_location_check")["passed"],
         "location_filter_reason": _c("_location_check")["reason"],
         "embedding_similarity": similarity,
-        "embedding_bonus": round2(similarity * V.EMBEDDING_BONUS_SCALE)}
+        "embedding_bonus": embedding_bonus(similarity)}
 
 
 @once_per_jvm

@@ -334,6 +334,16 @@ def embedding_bonus(spark, sf):
         F.col("embedding_similarity") * V.EMBEDDING_BONUS_SCALE).alias("bonus"))
 
 
+@query("embedding_bonus_candidates", S.with_(_Q, _SIMS, select=(
+    "SELECT profile_id, row_index, round_even(coalesce(embedding_similarity, 0) * 30 * 100, 0) / 100 AS "
+    f"bonus FROM ({_topk_sql(V.RETRIEVAL_TOP_K)})")))
+def embedding_bonus_candidates(spark, sf):
+    """The bonus of all that retrieval hands on."""
+    top = E.topk_exact(X.vectors(spark, sf), X.query_vectors(spark, sf))
+    return top.select("profile_id", "row_index", C.embedding_bonus(
+        F.col("embedding_similarity")).alias("bonus"))
+
+
 @query("embed_text")
 def embed_text(spark, sf):
     texts = embedding_text(X.jobs(spark, sf)).select("row_index", "embedding_text")

@@ -3,11 +3,13 @@
 import os
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from matchlake.operators.order import top_k
+from matchlake.operators.scoring import embedding_bonus
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
@@ -73,3 +75,29 @@ def test_feedback_stream_equals_batch(spark, duck, streamed, batch):
     found = rows_of(df.collect(), df.columns)
     assert found and found == rows_of(given.collect(), given.columns)
     assert entry.oracle_sql()[streamed] == entry.oracle_sql()[batch]
+
+
+def test_bonus_of_all_retrieved_candidates(spark, tmp_path):
+    draw = np.random.default_rng(3)
+    rows = [(i, i % 2, [float(x) for x in draw.normal(size=8)]) for i in range(700)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>") \
+        .write.parquet(str(tmp_path / "embeddings.parquet"))
+    name = "embedding_bonus_candidates"
+    found = entry.queries()[name](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    answer = con.execute(entry.oracle_sql()[name])
+    columns = [d[0] for d in answer.description]
+    got = rows_of(found.collect(), found.columns)
+    assert len(got) == 1_000 and got == rows_of(answer.fetchall(), columns)
+    # the cut by hand: similarity of every vector with each query
+    all_vectors = np.array([r[2] for r in rows], np.float32).astype(np.float64)
+    unit = all_vectors / np.linalg.norm(all_vectors, axis=1)[:, None]
+    for q in range(2):
+        best = set(np.argsort(-(unit @ unit[q]), kind="stable")[:500].tolist())
+        assert {r["row_index"] for r in found.where(f"profile_id = 'q{q}'").collect()} == best
+
+
+def test_bonus_without_a_similarity(spark):
+    rows = spark.createDataFrame([(None,), (0.5,)], "s double").select(embedding_bonus(F.col("s")))
+    assert [r[0] for r in rows.collect()] == [0.0, 15.0]
