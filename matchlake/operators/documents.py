@@ -57,9 +57,11 @@ def candidate_documents(docs: DataFrame, text: str = "text",
 def pair_documents(candidates: DataFrame, postings: DataFrame, pairs: DataFrame) -> DataFrame:
     """Keywords, infrastructure skills and evidence lines of (document, posting) pairs.
 
-    ``pairs`` has (doc_id, row_index, target_role).
+    ``pairs`` has (doc_id, row_index, target_role).  Postings that differ by profile have a
+    profile_id, and so have their pairs.
     """
-    df = pairs.join(candidates, "doc_id").join(postings, "row_index")
+    keys = [c for c in ("profile_id", "row_index") if c in postings.columns]
+    df = pairs.join(candidates, "doc_id").join(postings, keys)
     matched = split_keywords(F.col("matched_skills"))
     df = df.withColumn("job_keywords", D.pair_keywords(
         F.col("relevant_skills"), F.col("description"), matched))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from matchlake import vocab as V
 from matchlake.functions import documents as D
 from matchlake.operators import documents as W
-from matchlake.operators.ranking import rank_jobs
+from matchlake.operators.order import materialise
+from matchlake.operators.ranking import display_select, rank_jobs
 from matchlake.plans import fixtures as X
 from matchlake.plans import sql as S
 from matchlake.plans.catalog import query
@@ -182,29 +183,34 @@ def doc_preview(spark, sf):
 
 
 def _pairs(spark, sf):
-    """Documents with the postings ranked first for the first demo profile, one each."""
-    ranked = rank_jobs(X.scored(spark, sf), 10).where(F.col("profile_id") == "p1")
-    postings = ranked.select("row_index", "rank", "title", "description", "matched_skills",
-                             "role_family_inferred")
+    """Every document with all postings displayed for each of its profiles.
+
+    A document stands for a candidate of every demo profile; the displayed postings are a short
+    list of each, so they are broadcast.
+    """
+    shown = display_select(rank_jobs(X.scored(spark, sf))).select(
+        "profile_id", "row_index", "title", "description", "matched_skills", "role_family_inferred")
+    shown = F.broadcast(materialise(shown))
     documents = W.candidate_documents(X.resumes(spark, sf))
-    pairs = documents.select("doc_id", "target_role", (F.col("doc_id") % 10 + 1).alias("rank")) \
-        .join(postings.select("rank", "row_index"), "rank").drop("rank")
-    return W.pair_documents(documents.drop("target_role"), postings.drop("rank"), pairs)
+    profiles = F.array(*[F.lit(p.profile_id) for p in X.DEMO_PROFILES])
+    pairs = documents.select("doc_id", "target_role", F.explode(profiles).alias("profile_id")) \
+        .join(shown.select("profile_id", "row_index"), "profile_id")
+    return W.pair_documents(documents.drop("target_role"), shown, pairs)
+
+
+_PAIR_KEYS = ("profile_id", "doc_id", "row_index")
 
 
 @query("doc_evidence_lines")
 def doc_evidence_lines(spark, sf):
-    return _pairs(spark, sf).select("doc_id", "row_index",
-                                    F.array_join("evidence_lines", "\n").alias("lines"))
+    return _pairs(spark, sf).select(*_PAIR_KEYS, F.array_join("evidence_lines", "\n").alias("lines"))
 
 
 @query("pair_keywords")
 def pair_keywords(spark, sf):
-    return _pairs(spark, sf).select("doc_id", "row_index",
-                                    F.array_join("job_keywords", ", ").alias("keywords"))
+    return _pairs(spark, sf).select(*_PAIR_KEYS, F.array_join("job_keywords", ", ").alias("keywords"))
 
 
 @query("pair_infra_skills")
 def pair_infra_skills(spark, sf):
-    return _pairs(spark, sf).select("doc_id", "row_index",
-                                    F.array_join("infra_skills", ", ").alias("skills"))
+    return _pairs(spark, sf).select(*_PAIR_KEYS, F.array_join("infra_skills", ", ").alias("skills"))

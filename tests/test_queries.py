@@ -101,3 +101,16 @@ def test_bonus_of_all_retrieved_candidates(spark, tmp_path):
 def test_bonus_without_a_similarity(spark):
     rows = spark.createDataFrame([(None,), (0.5,)], "s double").select(embedding_bonus(F.col("s")))
     assert [r[0] for r in rows.collect()] == [0.0, 15.0]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables are not here")
+def test_documents_are_paired_with_all_displayed_postings(spark, tmp_path):
+    documents = spark.read.parquet(f"{SF_DIR}/documents.parquet").where("doc_id < 120")
+    documents.write.parquet(str(tmp_path / "documents.parquet"))
+    sf = str(tmp_path)
+    shown = {(r.profile_id, r.row_index) for r in entry.queries()["display_select"](spark, sf).collect()}
+    assert len({p for p, _ in shown}) == 4
+    want = sorted((p, d.doc_id, i) for d in documents.collect() for p, i in shown)
+    for name in ("pair_keywords", "pair_infra_skills", "doc_evidence_lines"):
+        pairs = entry.queries()[name](spark, sf).collect()
+        assert sorted((r.profile_id, r.doc_id, r.row_index) for r in pairs) == want
