@@ -18,9 +18,9 @@ def salary_object(c: Column) -> Column:
     """Struct of the object's fields, or NULL when the text is not an object."""
     t = strip(text_or_empty(c))
     # None/True/False of a dict literal are not JSON; quotes of either kind are
-    fixed = F.regexp_replace(t, r"(?<=[:,\[]\s{0,8})None(?=\s*[,}\]])", "null")
-    fixed = F.regexp_replace(fixed, r"(?<=[:,\[]\s{0,8})True(?=\s*[,}\]])", "true")
-    fixed = F.regexp_replace(fixed, r"(?<=[:,\[]\s{0,8})False(?=\s*[,}\]])", "false")
+    fixed = F.regexp_replace(t, r"([:,\[]\s*)None(?=\s*[,}\]])", "$1null")
+    fixed = F.regexp_replace(fixed, r"([:,\[]\s*)True(?=\s*[,}\]])", "$1true")
+    fixed = F.regexp_replace(fixed, r"([:,\[]\s*)False(?=\s*[,}\]])", "$1false")
     parsed = F.from_json(fixed, _SCHEMA, {"columnNameOfCorruptRecord": "_bad"})
     return F.when(t.startswith("{") & t.endswith("}") & parsed["_bad"].isNull(), parsed)
 

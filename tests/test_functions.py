@@ -91,3 +91,12 @@ def test_ordered_helpers_agree_with_plain_windows(spark):
     for r in total:
         running += r.v
         assert r.t == running
+
+
+def test_salary_object_with_wide_blanks(spark):
+    wide = " " * 30
+    values = [f"{{'text': 'x',{wide}'minValue':{wide}None, 'value':{wide}120000}}",
+              f"{{'text':{wide}'$80,000', 'value':{wide}None{wide}}}",
+              f'{{"value": 130000, "open": [{wide}True,{wide}False,{wide}None ]}}']
+    assert column(spark, values, lambda c: P.salary_object(c)["value"]) == ["120000", None, "130000"]
+    assert column(spark, values, P.salary_number) == [120000, 80000, 130000]
