@@ -8,7 +8,7 @@ from matchlake import vocab as V
 from matchlake.functions import documents as D
 from matchlake.operators import documents as W
 from matchlake.operators.order import materialise
-from matchlake.operators.ranking import display_select, rank_jobs
+from matchlake.operators.ranking import RANK_ORDER, display_select, rank_jobs
 from matchlake.plans import fixtures as X
 from matchlake.plans import sql as S
 from matchlake.plans.catalog import query
@@ -188,8 +188,14 @@ def _pairs(spark, sf):
     A document stands for a candidate of every demo profile; the displayed postings are a short
     list of each, so they are broadcast.
     """
-    shown = display_select(rank_jobs(X.scored(spark, sf))).select(
-        "profile_id", "row_index", "title", "description", "matched_skills", "role_family_inferred")
+    # ranked without the descriptions, which only the few displayed postings need
+    ranked = rank_jobs(X.scored(spark, sf).select(
+        "profile_id", "row_index", *RANK_ORDER, "title", "location_strictness", "passes_location_filter",
+        "matched_skills", "role_family_inferred"))
+    shown = materialise(display_select(ranked))
+    shown = X.jobs(spark, sf).select("row_index", "description") \
+        .join(F.broadcast(shown), "row_index").select(
+            "profile_id", "row_index", "title", "description", "matched_skills", "role_family_inferred")
     shown = F.broadcast(materialise(shown))
     documents = W.candidate_documents(X.resumes(spark, sf))
     profiles = F.array(*[F.lit(p.profile_id) for p in X.DEMO_PROFILES])
