@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from matchlake.llm import (exact_dedup, fingerprint, forced_bpe, html_text, language, near_dedup,
-                           packing, quality, substring_dedup, token_files)
+                           packing, quality, runs, substring_dedup, token_files)
 from matchlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forced_bpe.encoding_digest(
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@_query("op11_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = runs.with_repeats(table(spark, sf_dir, "documents"))
+    return runs.run_digest(runs.periodic_runs(docs))
