@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from matchlake.llm import (exact_dedup, fingerprint, forced_bpe, html_text, language, near_dedup,
-                           packing, quality, runs, substring_dedup, token_files)
+from matchlake.llm import (exact_dedup, fingerprint, forced_bpe, html_text, language, licenses,
+                           near_dedup, packing, quality, runs, substring_dedup, token_files)
 from matchlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = runs.with_repeats(table(spark, sf_dir, "documents"))
     return runs.run_digest(runs.periodic_runs(docs))
+
+
+@_query("op12_licenses")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_digest(licenses.scan_licenses(table(spark, sf_dir, "documents")))
