@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from matchlake.llm import (exact_dedup, fingerprint, forced_bpe, html_text, language, licenses,
-                           near_dedup, packing, quality, runs, substring_dedup, token_files)
+                           merkle, near_dedup, packing, quality, runs, substring_dedup, token_files)
 from matchlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,10 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op12_licenses")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_digest(licenses.scan_licenses(table(spark, sf_dir, "documents")))
+
+
+@_query("op13_manifest")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    changed = {"text": merkle.lower_case_third()}
+    return merkle.check_proofs(merkle.proofs(merkle.build_manifest(docs, claimed=changed)))

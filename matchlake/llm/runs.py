@@ -307,7 +307,7 @@ def chunks(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordB
 
 
 def periodic_runs(docs: DataFrame, key: str = "doc_id", text: str = "text",
-                  least: int = LEAST) -> DataFrame:
+                  least: int = LEAST, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Per row of ``docs``: key, n_words, runs (start, length, period) and collapsed_text.
 
     ``runs`` are ordered by start and period.  ``collapsed_text`` are the words, joined by a
@@ -318,7 +318,7 @@ def periodic_runs(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     def scan(batches):
         for batch in batches:
-            for part in chunks(batch, "_text", CHUNK_BYTES):
+            for part in chunks(batch, "_text", chunk_bytes):
                 n, runs, texts = _chunk(part["_text"].to_pylist(), least)
                 yield pa.RecordBatch.from_arrays(
                     [part["_key"], pa.array(n, pa.int64()), runs.cast(RUNS), pa.array(texts, pa.string())],

@@ -132,9 +132,8 @@ def test_nulls_repeats_and_clashing_columns(spark):
     assert runs.periodic_runs(docs.limit(0)).collect() == []
 
 
-def test_one_document_larger_than_a_chunk(spark, monkeypatch):
-    monkeypatch.setattr(runs, "CHUNK_BYTES", 50)
+def test_one_document_larger_than_a_chunk(spark):
     texts = ["q r " * 9, "", None, "s " * 40, "z"]
     docs = spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(texts)], SCHEMA)
-    found = {r["doc_id"]: r for r in runs.run_digest(runs.periodic_runs(docs)).collect()}
+    found = {r["doc_id"]: r for r in runs.run_digest(runs.periodic_runs(docs, chunk_bytes=50)).collect()}
     assert [found[i]["n_runs"] for i in range(5)] == [1, 0, 0, 1, 0]
