@@ -13,6 +13,7 @@ from matchlake.functions.location import location_source
 from matchlake.functions.salary import salary_number_of, salary_object, salary_text_of
 from matchlake.functions.text import strip, text_or_empty
 from matchlake.operators.order import head_in_order, number_rows, with_file_position
+from matchlake.sources.csv_records import read_csv_records
 
 FORMATS = ("empty", "json_array", "ndjson", "single_json_object_or_unknown", "unknown")
 
@@ -39,11 +40,12 @@ def first_existing(spark: SparkSession, *paths: str) -> str:
 def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """CSV with a header as strings and a ``row_index`` in file order.
 
-    ``multi_line`` accepts line breaks inside quotes, at the price of one task per
-    file; turn it off for files known to have one record per line.
+    ``multi_line`` accepts line breaks inside quotes; files are split either way, see
+    ``csv_records``.  Turn it off for files known to have one record per line.
     """
-    df = spark.read.csv(path, header=True, multiLine=multi_line, quote='"', escape='"',
-                        inferSchema=False)
+    if multi_line:
+        return read_csv_records(spark, path)
+    df = spark.read.csv(path, header=True, quote='"', escape='"', inferSchema=False)
     return number_rows(with_file_position(df))
 
 
