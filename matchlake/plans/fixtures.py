@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchlake import vocab as V
-from matchlake.operators.profiles import Profile, join_profiles, profiles_frame
+from matchlake.functions.text import split_keywords
+from matchlake.operators.profiles import (PROFILE_SCHEMA, Profile, join_profiles,
+                                          profiles_frame)
 from matchlake.operators.signals import job_signals
 from matchlake.operators.scoring import score_pairs
 
@@ -84,6 +86,23 @@ PROFILE_COLUMNS = {
     "avoid_internship": "(c_custkey % 5 = 0)",
 }
 
+#: Whole settings of a profile, one per customer.
+CUSTOMER_SETTINGS = {
+    "minimum_salary": "CAST(c_custkey % 3 * 60000 AS INT)",
+    "role_fit_strictness": case("c_custkey", ("Balanced", "Strict", "Flexible")),
+    "location_strictness": case("c_custkey + 1", ("Balanced", "Strict", "Flexible")),
+    "max_required_years": "CAST(nullif(c_custkey % 9, 8) AS INT)",
+    "avoid_defense": "(c_custkey % 7 = 1)", "avoid_internship": "(c_custkey % 6 = 5)",
+    "visa_sponsorship": case("c_custkey", (
+        V.NO_PREFERENCE, "Sponsorship required", "Prefer sponsor-friendly")),
+    "company_preference": case("c_custkey + 2", (
+        "Prefer tech", V.NO_PREFERENCE, "Avoid tiny startups")),
+    "company_size_preference": case("c_custkey", (
+        V.NO_PREFERENCE, V.EXCLUDE_TINY, V.LARGE_ONLY, V.PREFER_SMALL, V.PREFER_MEDIUM,
+        V.PREFER_LARGE)),
+    "salary_strictness": case("c_custkey", ("Soft", "Medium", "Strict")),
+    "dealbreakers_text": case("c_custkey % 3 + 2 * (c_custkey % 2)", BREAKERS)}
+
 RESUME_HEAD = ("Persona 1 - Jordan Lee", "Alex Kim", "  Sam   Rivera  ",
                "Persona — Casey Doe — Analyst")
 RESUME_PARTS = (
@@ -161,6 +180,16 @@ def profile_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[f"{sql} AS {name}" for name, sql in PROFILE_COLUMNS.items()])
 
 
+def customer_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles with all settings, one per customer."""
+    columns = PROFILE_COLUMNS | CUSTOMER_SETTINGS
+    rows = table(spark, sf_dir, "customer").selectExpr(
+        *[f"{sql} AS {name}" for name, sql in columns.items()])
+    return rows.withColumns({"skills": split_keywords(F.col("skills_text")),
+                             "dealbreakers": split_keywords(F.col("dealbreakers_text"))}) \
+        .select(*[p.split()[0] for p in PROFILE_SCHEMA.split(", ")])
+
+
 def resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate documents with headed sections, one per document."""
     return documents(spark, sf_dir).selectExpr(

@@ -14,6 +14,7 @@ from matchlake.operators import sampling as B
 from matchlake.operators import scoring as C
 from matchlake.operators.ingest import embedding_text
 from matchlake.operators.order import materialise, scratch_path
+from matchlake.operators.profile_topk import topk_for_profiles
 from matchlake.operators.profiles import (join_candidates, join_profiles, pair_candidates,
                                           prepare_profiles)
 from matchlake.plans import fixtures as X
@@ -403,6 +404,37 @@ def match_profiles(spark, sf):
         *KEYS, "rank", "embedding_bonus", "final_score")
 
 
+# --- very many profiles ---------------------------------------------------------------------------
+
+_CUSTOMERS = X.PROFILE_COLUMNS | X.CUSTOMER_SETTINGS
+_SETTING_SQL = {
+    "skills": S.keywords("skills_text"), "pref": "preferred_location", "min_salary": "minimum_salary",
+    "breakers": S.keywords("dealbreakers_text"), "fit_strict": "role_fit_strictness",
+    "loc_strict": "location_strictness", "seniority": "seniority_preference",
+    "max_years": "max_required_years", "no_contract": "avoid_contract", "no_unpaid": "avoid_unpaid",
+    "no_intern": f"avoid_internship OR {S.inn('seniority_preference', V.AVOIDS_INTERNSHIP)}",
+    "no_defense": "avoid_defense", "visa_pref": "visa_sponsorship", "company_pref": "company_preference",
+    "size_pref": "company_size_preference", "pay_strict": "salary_strictness"}
+# the reference answer scores every posting for every distinct setting
+_CUSTOMER_CTES = (
+    "cust AS MATERIALIZED (SELECT *, dense_rank() OVER (ORDER BY " + ", ".join(
+        c for c in _CUSTOMERS if c != "profile_id") + ") AS class FROM (SELECT " + ", ".join(
+        f"{e} AS {n}" for n, e in _CUSTOMERS.items()) + " FROM customer))",
+    S.profile_cte("SELECT DISTINCT class AS profile_id, target_role, " + ", ".join(
+        f"{e} AS {n}" for n, e in _SETTING_SQL.items()) + " FROM cust"))
+
+
+@query("topk_many_profiles", S.with_(
+    *_CUSTOMER_CTES, *[c for c in S.scored_ctes() if not c.startswith("prof AS")],
+    f"best AS (SELECT *, {S.RANK} AS rank FROM scored QUALIFY rank <= 10)", select=(
+        "SELECT c.profile_id, b.row_index, CAST(b.rank AS INTEGER) AS rank, b.final_score, b.title, "
+        "md5(b.explanation) AS explanation_md5 FROM cust c JOIN best b ON b.profile_id = c.class")))
+def topk_many_profiles(spark, sf):
+    """The ten best of all postings for the profile of every customer."""
+    return topk_for_profiles(X.jobs(spark, sf), X.customer_profiles(spark, sf)).select(
+        *KEYS, "rank", "final_score", "title", F.md5("explanation").alias("explanation_md5"))
+
+
 # --- sampling -----------------------------------------------------------------------------------------
 
 def _sample_sql(max_jobs: int) -> tuple[str, ...]:

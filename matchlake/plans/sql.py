@@ -398,13 +398,18 @@ def _profile_rows() -> str:
     return " UNION ALL ".join(rows)
 
 
-PROFILES = (
-    f"prof AS (SELECT *, {roles('target_role')} AS roles, {family('target_role')} AS family, "
-    f"{nloc('pref')} AS np, {us_preference('pref')} AS wants_us, "
-    f"contains({nloc('pref')}, 'remote') AS wants_remote, "
-    f"contains({nloc('pref')}, 'bay area') AS wants_bay, "
-    f"contains({nloc('pref')}, 'california') OR contains(' ' || {nloc('pref')} || ' ', ' ca ') "
-    f"AS wants_cal FROM ({_profile_rows()}))")
+def profile_cte(rows: str) -> str:
+    """Profiles with what the rules derive from them."""
+    return (
+        f"prof AS (SELECT *, {roles('target_role')} AS roles, {family('target_role')} AS family, "
+        f"{nloc('pref')} AS np, {us_preference('pref')} AS wants_us, "
+        f"contains({nloc('pref')}, 'remote') AS wants_remote, "
+        f"contains({nloc('pref')}, 'bay area') AS wants_bay, "
+        f"contains({nloc('pref')}, 'california') OR contains(' ' || {nloc('pref')} || ' ', ' ca ') "
+        f"AS wants_cal FROM ({rows}))")
+
+
+PROFILES = profile_cte(_profile_rows())
 
 
 def _by_family(text: str, table: dict) -> str:
