@@ -2,30 +2,30 @@
 
 Query vectors are few and travel to the tasks in blocks of bounded size.  The exact
 search multiplies each Arrow batch of posting vectors with a block and keeps only the
-k best per query and task, so what leaves a task does not grow with the table.
+k best per query and task, so what leaves a task does not grow with the table.  The
+approximate search looks into leaves of a forest of random-projection trees.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import BucketedRandomProjectionLSH, HashingTF
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import HashingTF
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchlake import vocab as V
 from matchlake.functions.text import search_form
 from matchlake.functions.vectors import EPSILON, cosine_similarity, l2_normalize
+from matchlake.operators.forest import Forest, forest_candidates
 from matchlake.operators.order import rank_all, top_k
 
 QUERIES_PER_PASS = 256
 # similarities are rounded so that equal vectors tie exactly and row order decides
 SIMILARITY_DIGITS = 9
-ANN_TABLES = 8
-ANN_BUCKET_LENGTH = 1.0
 
 
 def _blocks(queries: DataFrame, per_pass: int) -> Iterator[DataFrame]:
@@ -39,9 +39,11 @@ def _blocks(queries: DataFrame, per_pass: int) -> Iterator[DataFrame]:
 
 
 def _per_task_best(ids: list[str], matrix: np.ndarray, k: int) -> Callable:
-    lengths = np.linalg.norm(matrix, axis=1)
+    lengths = np.linalg.norm(matrix, axis=1) if ids else None
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if not ids:
+            return
         best_rows = np.empty((len(ids), 0), dtype=np.int64)
         best_sims = np.empty((len(ids), 0))
         for batch in batches:
@@ -93,75 +95,57 @@ def topk_bruteforce(vectors: DataFrame, query: list[float],
 
 # --- approximate search --------------------------------------------------------------------
 
-def _unit(df: DataFrame) -> DataFrame:
-    return df.withColumn("_unit", array_to_vector(l2_normalize(F.col("embedding"))))
+def topk_ann(vectors: DataFrame, index: DataFrame, forest: Forest, queries: DataFrame,
+             k: int = V.RETRIEVAL_TOP_K, probes: int | None = None) -> DataFrame:
+    """Approximate top-k per query: rows of the nearest leaves, rescored by exact cosine.
 
-
-def fit_ann(vectors: DataFrame, tables: int = ANN_TABLES,
-            bucket_length: float = ANN_BUCKET_LENGTH, seed: int = V.SAMPLE_SEED):
-    """Random projections for the dimension of ``vectors``; no pass over the data."""
-    return BucketedRandomProjectionLSH(
-        inputCol="_unit", outputCol="_hashes", numHashTables=tables,
-        bucketLength=bucket_length, seed=seed).fit(_unit(vectors.limit(1)))
-
-
-def _bucketed(model, df: DataFrame) -> DataFrame:
-    hashed = model.transform(_unit(df)).drop("_unit")
-    each = hashed.select(*[c for c in df.columns],
-                         F.posexplode("_hashes").alias("table_no", "_hash"))
-    return each.withColumn("bucket", vector_to_array("_hash")[0].cast("int")).drop("_hash")
-
-
-def ann_index(model, vectors: DataFrame) -> DataFrame:
-    """(table_no, bucket, row_index, embedding); write it sorted by table and bucket.
-
-    ``write_ann_index`` stores it so that a search reads only the buckets it needs.
-    """
-    return _bucketed(model, vectors.select("row_index", "embedding"))
-
-
-def write_ann_index(index: DataFrame, path: str) -> None:
-    """Range-partitioned and sorted, so min/max statistics skip other buckets.
-
-    ``row_index`` is part of the range key: a bucket of any size spreads over files.
+    ``index`` is the written ``forest_index`` of ``vectors``.
     """
-    index.repartitionByRange("table_no", "bucket", "row_index") \
-        .sortWithinPartitions("table_no", "bucket").write.mode("overwrite").parquet(path)
+    named = queries.select(F.col("profile_id").cast("string"), F.col("embedding").alias("_query"))
+    sims = forest_candidates(index, forest, queries, k, probes) \
+        .join(vectors.select("row_index", "embedding"), "row_index").join(named, "profile_id") \
+        .select("profile_id", "row_index", F.round(
+            cosine_similarity(F.col("embedding"), F.col("_query")),
+            SIMILARITY_DIGITS).alias("embedding_similarity"))
+    return top_k(sims, ["profile_id"], _best_first(), k)
 
 
-def topk_ann(index: DataFrame, model, queries: DataFrame, k: int = V.RETRIEVAL_TOP_K,
-             per_pass: int = QUERIES_PER_PASS) -> DataFrame:
-    """Approximate top-k per query: bucket mates, rescored by exact cosine.
+def ann_recall(vectors: DataFrame, index: DataFrame, forest: Forest, queries: DataFrame,
+               ks: Sequence[int], probes: int | None = None) -> DataFrame:
+    """(k, queries, recall, share): mean recall against the exact search.
 
-    Query buckets are joined map-side, so the index is filtered in place.  A posting
-    can share several tables with a query; keeping k times the number of tables
-    before removing repeats leaves at least k different postings.
+    A row counts as found if it is at least as similar as the k-th best; ``share`` is the part
+    of the table that was looked at.
     """
-    tables = model.getNumHashTables()
     out = None
-    for block in _blocks(queries, per_pass):
-        keyed = _bucketed(model, block.select(F.col("profile_id").cast("string"), "embedding")) \
-            .withColumnRenamed("embedding", "_query")
-        # at most per_pass × tables rows
-        mates = index.join(F.broadcast(keyed), ["table_no", "bucket"])
-        sims = mates.select("profile_id", "row_index", F.round(
-            cosine_similarity(F.col("embedding"), F.col("_query")),
-            SIMILARITY_DIGITS).alias("embedding_similarity"))
-        out = sims if out is None else out.unionByName(sims)
-    repeated = top_k(out, ["profile_id"], _best_first(), k * tables)
-    return top_k(repeated.drop("rank").distinct(), ["profile_id"], _best_first(), k)
+    rows = vectors.count()
+    for k in ks:
+        exact = topk_exact(vectors, queries, k)
+        worst = exact.groupBy("profile_id").agg(F.min("embedding_similarity").alias("_least"),
+                                                F.count(F.lit(1)).alias("_n"))
+        near = topk_ann(vectors, index, forest, queries, k, probes)
+        found = near.join(worst, "profile_id").where("embedding_similarity >= _least") \
+            .groupBy("profile_id").agg(F.count(F.lit(1)).alias("_found"))
+        looked = forest_candidates(index, forest, queries, k, probes).groupBy("profile_id") \
+            .agg(F.count(F.lit(1)).alias("_looked"))
+        part = worst.join(found, "profile_id", "left").join(looked, "profile_id", "left").agg(
+            F.lit(k).alias("k"), F.count(F.lit(1)).alias("queries"),
+            F.avg(F.coalesce(F.col("_found"), F.lit(0)) / F.col("_n")).alias("recall"),
+            (F.sum("_looked") / F.lit(max(rows, 1)) / F.count(F.lit(1))).alias("share"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def topk_fallback(vectors: DataFrame, queries: DataFrame, k: int = V.RETRIEVAL_TOP_K,
-                  index: DataFrame | None = None, model=None) -> DataFrame:
+                  index: DataFrame | None = None, forest: Forest | None = None) -> DataFrame:
     """Approximate search where an index gives k postings, exact search elsewhere.
 
     Adds ``retrieval_method`` (ann or bruteforce).
     """
-    if index is None or model is None:
+    if index is None or forest is None:
         return topk_exact(vectors, queries, k).withColumn("retrieval_method",
                                                           F.lit("bruteforce"))
-    approximate = topk_ann(index, model, queries, k)
+    approximate = topk_ann(vectors, index, forest, queries, k)
     full = approximate.groupBy("profile_id").agg(F.count(F.lit(1)).alias("_n")) \
         .where(F.col("_n") >= F.lit(k)).select("profile_id")
     named = queries.withColumn("profile_id", F.col("profile_id").cast("string"))

@@ -8,6 +8,7 @@ from matchlake import vocab as V
 from matchlake.functions import location as L
 from matchlake.functions.vectors import cosine_similarity, l2_normalize, round2
 from matchlake.operators import feedback as K
+from matchlake.operators import forest as T
 from matchlake.operators import ranking as N
 from matchlake.operators import retrieval as E
 from matchlake.operators import sampling as B
@@ -306,24 +307,42 @@ def topk_profiles(spark, sf):
 
 def _ann(spark, sf):
     v = X.vectors(spark, sf)
-    model = E.fit_ann(v)
-    path = scratch_path(spark, "ann")
-    E.write_ann_index(E.ann_index(model, v), path)
-    return v, model, spark.read.parquet(path)
+    forest = T.fit_forest(v)
+    path = scratch_path(spark, "forest")
+    T.write_forest_index(T.forest_index(forest, v), path)
+    return v, spark.read.parquet(path), forest
+
+
+def _searches(spark, sf):
+    """Every hundredth vector as a query."""
+    return X.vectors(spark, sf).where("row_index % 100 = 0").select(
+        F.col("row_index").cast("string").alias("profile_id"), "embedding")
 
 
 @query("topk_ann")
 def topk_ann(spark, sf):
-    _, model, index = _ann(spark, sf)
-    return E.topk_ann(index, model, X.query_vectors(spark, sf), 20)
+    return E.topk_ann(*_ann(spark, sf), _searches(spark, sf), 20)
+
+
+@query("ann_recall", "SELECT k, count(*) AS queries, TRUE AS enough FROM embeddings, (SELECT "
+       "unnest([20, 500]) AS k) WHERE vec_id % 100 = 0 GROUP BY k")
+def ann_recall(spark, sf):
+    """Recall of the approximate search at 20 and 500 results: 0.9 or more is enough."""
+    found = E.ann_recall(*_ann(spark, sf), _searches(spark, sf), (20, 500))
+    return found.select("k", "queries", (F.col("recall") >= 0.9).alias("enough"))
 
 
-# with more results asked than any bucket can hold, every query falls back to the exact search
-@query("topk_fallback", S.with_(_Q, _SIMS, select=_topk_sql(
-    1_000_000, ", 'bruteforce' AS retrieval_method")))
+# queries find 20 in their leaves; more than the table holds is left to the exact search
+@query("topk_fallback", "SELECT CAST(vec_id AS VARCHAR) AS profile_id, k, method AS retrieval_method, "
+       "least(k, (SELECT count(*) FROM embeddings)) AS n, vec_id AS best_row FROM embeddings, (SELECT "
+       "unnest([20, 1000000]) AS k, unnest(['ann', 'bruteforce']) AS method) WHERE vec_id % 100 = 0")
 def topk_fallback(spark, sf):
-    v, model, index = _ann(spark, sf)
-    return E.topk_fallback(v, X.query_vectors(spark, sf), 1_000_000, index, model)
+    v, index, forest = _ann(spark, sf)
+    searches = _searches(spark, sf)
+    parts = [E.topk_fallback(v, searches, k, index, forest).groupBy("profile_id", "retrieval_method")
+             .agg(F.count("*").alias("n"), F.min_by("row_index", "rank").alias("best_row"))
+             .withColumn("k", F.lit(k)) for k in (20, 1_000_000)]
+    return parts[0].unionByName(parts[1])
 
 
 @query("embedding_bonus", S.with_(_Q, _SIMS, select=(

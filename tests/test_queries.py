@@ -58,13 +58,6 @@ def test_top_k_limits_before_the_shuffle(spark, capsys):
     assert {r.id for r in best.where("rank = 5000").collect()} == {5_000, 5_001, 5_002}
 
 
-def test_ann_recall(spark):
-    exact = {(r.profile_id, r.row_index) for r in entry.queries()["topk_profiles"](spark, SF_DIR)
-             .where("rank <= 20").collect()}
-    found = {(r.profile_id, r.row_index) for r in entry.queries()["topk_ann"](spark, SF_DIR).collect()}
-    assert len(exact & found) >= 0.8 * len(exact)
-
-
 @pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables are not here")
 @pytest.mark.parametrize("streamed, batch", [("stream_preferences", "feedback_prefs"),
                                              ("stream_rerank", "feedback_rerank")])
