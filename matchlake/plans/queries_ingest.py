@@ -18,6 +18,7 @@ from matchlake.plans import sql as S
 from matchlake.plans.catalog import ANSWERS, query
 from matchlake.sources import readers, writers
 from matchlake.streaming import ingest as SI
+from matchlake.streaming.paced import PACED, paced_stream, run_to_end
 
 CSV_FIELDS = ("job_id", "title", "company", "location", "salary", "description", "apply_link")
 
@@ -462,24 +463,20 @@ def sink_jobs(spark, sf):
         "row_index", F.md5("description").alias("description_md5"), "dedupe_key")
 
 
-def _stream_files(spark, sf, batch_size: int = 500) -> str:
-    """One file per ``batch_size`` consecutive rows, written in their order."""
+def _ordered(spark, sf) -> tuple[str, DataFrame]:
+    """The postings as one table in their order, and the table."""
     path = scratch_path(spark, "incoming")
     rows = _document_batch(spark, sf)
-    last = rows.agg(F.max("row_index")).first()[0]
-    for first in range(0, (-1 if last is None else last) + 1, batch_size):
-        rows.where(F.col("row_index").between(first, first + batch_size - 1)) \
-            .coalesce(1).write.mode("append").parquet(path)
-    return path
+    rows.repartitionByRange("row_index").sortWithinPartitions("row_index").write.parquet(path)
+    return path, rows
 
 
 def _run_stream(spark, sf):
     """The stored postings and the log of a stream of 500-row batches."""
-    raw = _document_batch(spark, sf)
-    stream = SI.read_stream(spark, _stream_files(spark, sf), "parquet", raw.schema,
-                            files_per_trigger=1)
+    path, rows = _ordered(spark, sf)
+    stream = paced_stream(spark, path, rows.schema, V.STREAM_BATCH_ROWS)
     out, log = scratch_path(spark, "streamed"), scratch_path(spark, "log")
-    SI.stream_log(stream, out, log, scratch_path(spark, "state")).awaitTermination()
+    run_to_end(SI.stream_log(stream, out, log, scratch_path(spark, "state"), trigger=PACED))
     return out, log
 
 
@@ -489,15 +486,16 @@ def stream_dedupe(spark, sf):
     return spark.read.parquet(out).select("row_index", "dedupe_key")
 
 
-@query("sink_stream", S.with_(KEYED, select=(
-    "SELECT count(DISTINCT dedupe_key) AS n_rows, count(DISTINCT dedupe_key) AS n_keys FROM keyed")))
+@query("sink_stream", S.with_(KEYED, FIRSTS, select=(
+    f"SELECT row_index, dedupe_key, md5({S.ws('text')}) AS description_md5 FROM firsts")))
 def sink_stream(spark, sf):
-    raw = _document_batch(spark, sf)
-    stream = SI.read_stream(spark, _stream_files(spark, sf), "parquet", raw.schema)
+    """Append sink with keyed state; batches of 700 rows."""
+    path, rows = _ordered(spark, sf)
     out = scratch_path(spark, "streamed")
-    SI.stream_dedupe(stream, out, scratch_path(spark, "state")).awaitTermination()
-    return spark.read.parquet(out).agg(F.count("*").alias("n_rows"),
-                                       F.count_distinct("dedupe_key").alias("n_keys"))
+    run_to_end(SI.stream_dedupe(paced_stream(spark, path, rows.schema, 700), out,
+                                scratch_path(spark, "state"), trigger=PACED))
+    return spark.read.parquet(out).select("row_index", "dedupe_key",
+                                          F.md5("description").alias("description_md5"))
 
 
 _LOG_ROWS = ANSWERS["stream_batch_log"]
@@ -531,16 +529,19 @@ def stream_map_ndjson(spark, sf):
         F.md5("description").alias("description_md5"))
 
 
-@query("stream_limits", "SELECT count(*) AS n_rows, TRUE AS several_batches FROM documents")
+@query("stream_limits", "SELECT CAST(doc_id // 100 + 1 AS BIGINT) AS batch_id, count(*) AS n_rows, "
+       "min(doc_id) AS first_row FROM documents WHERE doc_id < 300 GROUP BY 1")
 def stream_limits(spark, sf):
-    raw = _document_batch(spark, sf)
-    stream = SI.read_stream(spark, _stream_files(spark, sf, 100), "parquet", raw.schema,
-                            files_per_trigger=1)
+    """Batches of exactly 100 rows, three at most, a pause between them."""
+    path, rows = _ordered(spark, sf)
     out = scratch_path(spark, "limited")
-    running = stream.writeStream.format("parquet").option("path", out) \
-        .option("checkpointLocation", scratch_path(spark, "state")) \
-        .trigger(availableNow=True).start()
-    running.awaitTermination()
-    batches = len([p for p in running.recentProgress if p.numInputRows])
-    return spark.read.parquet(out).agg(F.count("*").alias("n_rows")) \
-        .withColumn("several_batches", F.lit(batches > 1))
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch_id", F.lit(number + 1).cast("long")) \
+            .write.mode("overwrite").parquet(f"{out}/{number}")
+
+    stream = paced_stream(spark, path, rows.schema, 100, max_batches=3, pause_seconds=0.2)
+    run_to_end(stream.writeStream.foreachBatch(store).trigger(**PACED)
+               .option("checkpointLocation", scratch_path(spark, "state")).start())
+    return spark.read.parquet(f"{out}/*").groupBy("batch_id").agg(
+        F.count("*").alias("n_rows"), F.min("row_index").alias("first_row"))

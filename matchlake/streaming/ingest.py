@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -15,6 +16,9 @@ from matchlake.operators.records import map_records
 from matchlake.sources.readers import ensure_columns
 
 
+LOG_ROW = "batch_id long, incoming_records long, kept_records long, duplicate_records long"
+
+
 def read_stream(spark: SparkSession, path: str, fmt: str, schema=None,
                 files_per_trigger: int | None = None, bytes_per_trigger: str | None = None
                 ) -> DataFrame:
@@ -51,19 +55,48 @@ def postings_stream(spark: SparkSession, path: str, schema=None, **limits) -> Da
     return raw.na.fill("")
 
 
+def first_of_key(stream: DataFrame, key: str, order: str | None) -> DataFrame:
+    """(key, incoming, row): per key of a batch, its rows and, if the key is new, its first one.
+
+    Keys are kept in Spark's state store by their hash partition, so a batch looks up only its
+    own keys.  ``row`` is the row of smallest ``order`` as JSON, null for keys of earlier batches.
+    """
+    at = F.col(order).cast("long") if order in stream.columns else F.lit(0).cast("long")
+    rows = stream.select(F.col(key).alias("key"), at.alias("at"),
+                         F.to_json(F.struct(*stream.columns), {"ignoreNullFields": "false"}).alias("row"))
+
+    def first(name, chunks, state):
+        incoming, best = 0, None
+        for chunk in chunks:
+            incoming += len(chunk)
+            if not state.exists:
+                k = int(chunk["at"].to_numpy().argmin())
+                one = (int(chunk["at"].iloc[k]), chunk["row"].iloc[k])
+                best = one if best is None or one[0] < best[0] else best
+        if best is not None:
+            state.update((best[0],))
+        yield pd.DataFrame({"key": [name[0]], "incoming": [incoming],
+                            "row": [None if best is None else best[1]]})
+
+    return rows.groupBy("key").applyInPandasWithState(
+        first, "key string, incoming long, row string", "first long", "append", "NoTimeout")
+
+
 def unique_postings(stream: DataFrame, event_time: str | None = None,
-                    delay: str = "1 day") -> DataFrame:
+                    delay: str = "1 day", order: str = "row_index") -> DataFrame:
     """Cleaned postings, the first of every key over the whole stream.
 
     Keys are kept for ever, as the batch result requires.  With an ``event_time``
     column the state is bounded: copies arriving more than ``delay`` apart are not
-    recognised then.
+    recognised then, and any copy of a batch may be the one that stays.
     """
-    keep = ("row_index",) + ((event_time,) if event_time else ())
+    keep = (order,) + ((event_time,) if event_time else ())
     cleaned = clean_batch(ensure_columns(stream, V.RAW_FIELDS), keep)
-    if event_time is None:
-        return cleaned.dropDuplicates(["dedupe_key"])
-    return cleaned.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["dedupe_key"])
+    if event_time is not None:
+        return cleaned.withWatermark(event_time, delay) \
+            .dropDuplicatesWithinWatermark(["dedupe_key"])
+    found = first_of_key(cleaned, "dedupe_key", order).where("row IS NOT NULL")
+    return found.select(F.from_json("row", cleaned.schema).alias("row")).select("row.*")
 
 
 def stream_dedupe(stream: DataFrame, output: str, checkpoint: str,
@@ -84,27 +117,20 @@ def stream_log(stream: DataFrame, output: str, log: str, checkpoint: str,
     then any row of the batch stays.
     """
     spark = stream.sparkSession
+    cleaned = clean_batch(ensure_columns(stream, V.RAW_FIELDS), (order,))
 
     def store(batch: DataFrame, number: int) -> None:
-        cleaned = clean_batch(ensure_columns(batch, V.RAW_FIELDS), (order,))
-        at = F.col(order) if order in cleaned.columns else F.lit(0)
-        first = cleaned.groupBy("dedupe_key").agg(
-            F.min_by(F.struct(*cleaned.columns), at).alias("row"))
-        rows = first.select("row.*")
-        if number:
-            seen = spark.read.schema("dedupe_key string, batch long").parquet(output) \
-                .where(F.col("batch") < number)
-            rows = rows.join(seen, "dedupe_key", "left_anti")
-        target = f"{output}/batch={number}"
-        rows.select(cleaned.columns).write.mode("overwrite").parquet(target)
-        kept = spark.read.schema(rows.schema).parquet(target).agg(
-            F.count(F.lit(1)).alias("kept_records"))
-        cleaned.agg(F.count(F.lit(1)).alias("incoming_records")).crossJoin(kept).select(
-            F.lit(number + 1).cast("long").alias("batch_id"), "incoming_records", "kept_records",
-            (F.col("incoming_records") - F.col("kept_records")).alias("duplicate_records")) \
-            .write.mode("overwrite").parquet(f"{log}/batch={number}")
-
-    return stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint) \
+        counted = Observation()
+        batch.observe(counted, F.coalesce(F.sum("incoming"), F.lit(0)).alias("incoming"),
+                      F.count("row").alias("kept")) \
+            .where("row IS NOT NULL").select(F.from_json("row", cleaned.schema).alias("row")) \
+            .select("row.*").write.mode("overwrite").parquet(f"{output}/batch={number}")
+        incoming, kept = counted.get["incoming"], counted.get["kept"]
+        spark.createDataFrame([(number + 1, incoming, kept, incoming - kept)], LOG_ROW) \
+            .coalesce(1).write.mode("overwrite").parquet(f"{log}/batch={number}")
+
+    return first_of_key(cleaned, "dedupe_key", order).writeStream.foreachBatch(store) \
+        .option("checkpointLocation", checkpoint) \
         .trigger(**(trigger or {"availableNow": True})).start()
 
 
@@ -112,15 +138,3 @@ def read_stream_log(spark: SparkSession, log: str) -> DataFrame:
     """Log rows with the running number of unique postings."""
     rows = spark.read.parquet(f"{log}/batch=*")  # the same columns in every batch
     return running_sum(rows, "batch_id", {"cumulative_unique_records": "kept_records"})
-
-
-def stop_after(query: StreamingQuery, max_batches: int, poll_seconds: float = 0.5) -> None:
-    """Stop a query once it has run ``max_batches`` micro-batches.
-
-    A batch that starts between two polls is still finished; the replay of exactly so
-    many fixed-size batches is ``replay_batches``.
-    """
-    while query.isActive and not query.awaitTermination(poll_seconds):
-        last = query.lastProgress
-        if last is not None and last.batchId + 1 >= max_batches:
-            query.stop()
