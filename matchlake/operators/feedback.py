@@ -103,6 +103,13 @@ def feedback_terms(feedback: DataFrame, protected: Column | None = None) -> Data
     return df.select("profile_id", F.explode(every).alias("t")).select("profile_id", "t.*")
 
 
+#: What counters and labels are made of.
+LEARNED_FROM = ("profile_id", *JOB_KEY, "feedback_label", "reward", "seq", "role_family_inferred",
+                "company_size_inferred", "employment_type_inferred", "is_non_us_location",
+                "passes_location_filter", "is_defense_military_clearance", "is_contract_or_temp",
+                "matched_skills")
+
+
 def feedback_prefs(feedback: DataFrame, protected: Column | None = None) -> DataFrame:
     """Counters (profile_id, kind, term, cnt)."""
     return feedback_terms(feedback, protected).groupBy("profile_id", "kind", "term") \
@@ -185,17 +192,27 @@ def last_labels(feedback: DataFrame) -> DataFrame:
         F.max_by("feedback_label", "seq").alias("_label"))
 
 
+def with_labels(ranked: DataFrame, labels: DataFrame) -> DataFrame:
+    """Ranked postings with the label of ``last_labels``, 'Skip' without one."""
+    return ranked.join(labels, ["profile_id", *JOB_KEY], "left") \
+        .withColumn("feedback_label", F.coalesce("_label", F.lit("Skip"))).drop("_label")
+
+
 def join_feedback_label(ranked: DataFrame, feedback: DataFrame) -> DataFrame:
     """Give every ranked posting its latest feedback label, 'Skip' when it has none."""
-    return ranked.join(last_labels(feedback), ["profile_id", *JOB_KEY], "left") \
-        .withColumn("feedback_label", F.coalesce("_label", F.lit("Skip"))).drop("_label")
+    return with_labels(ranked, last_labels(feedback))
 
 
 def feedback_rerank(ranked: DataFrame, feedback: DataFrame, protected: Column | None = None,
                     k: int | None = None) -> DataFrame:
     """Baseline ranking adjusted by all feedback, labelled and ranked again."""
-    adjusted = feedback_adjustment(ranked, feedback_prefs(feedback, protected))
-    return rerank(join_feedback_label(adjusted, feedback), k)
+    return rerank_learned(ranked, feedback_prefs(feedback, protected), last_labels(feedback), k)
+
+
+def rerank_learned(ranked: DataFrame, prefs: DataFrame, labels: DataFrame,
+                   k: int | None = None) -> DataFrame:
+    """Baseline ranking adjusted by counters, labelled and ranked again."""
+    return rerank(with_labels(feedback_adjustment(ranked, prefs), labels), k)
 
 
 # --- summaries --------------------------------------------------------------------------------

@@ -24,6 +24,7 @@ from matchlake.plans.catalog import query
 from matchlake.plans.queries_signals import TITLE_TERMS, bucket_cte
 from matchlake.sources import writers
 from matchlake.streaming import feedback as SF
+from matchlake.streaming.paced import PACED, paced_stream, run_to_end
 
 KEYS = ("profile_id", "row_index")
 
@@ -813,15 +814,12 @@ def feedback_reset(spark, sf):
 @query("stream_feedback", "SELECT user_id AS profile_id, CASE event_type WHEN 'purchase' THEN 'Accept' "
        "WHEN 'error' THEN 'Reject' ELSE 'Skip' END AS feedback_label, count(*) AS cnt FROM events GROUP BY ALL")
 def stream_feedback(spark, sf):
-    path = scratch_path(spark, "events")
+    """Counts of labels per user, kept over twelve batches of the events."""
     events = X.table(spark, sf, "events")
-    events.repartitionByRange(3, "event_id").write.parquet(path)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    state = scratch_path(spark, "counters")
-    running = SF.write_counters(SF.label_counts(SF.event_labels(stream)), state,
-                                scratch_path(spark, "state"))
-    running.awaitTermination()
-    return _last_state(spark, state).select("profile_id", "feedback_label", "cnt")
+    counts = SF.label_table(spark, scratch_path(spark, "counters"))
+    run_to_end(SF.stream_labels(_in_rounds(spark, events, "event_id", 12), counts,
+                                scratch_path(spark, "state"), PACED))
+    return counts.read()
 
 
 def _last_state(spark, path):
@@ -830,40 +828,41 @@ def _last_state(spark, path):
     return states.join(last, "state", "left_semi").drop("state")
 
 
-def _feedback_stream(spark, given, rounds: int = 3):
-    """The records of ``given`` as a stream of about so many rounds."""
-    path = scratch_path(spark, "feedback")
-    given.repartitionByRange(rounds, "seq").write.parquet(path)
-    files = len(spark.read.schema(given.schema).parquet(path).inputFiles())
-    return spark.readStream.schema(given.schema) \
-        .option("maxFilesPerTrigger", max(1, -(-files // rounds))).parquet(path)
+def _in_rounds(spark, rows, order: str, rounds: int):
+    """``rows`` as a stream of so many batches of equal size, in their order."""
+    path = scratch_path(spark, "rounds-of")
+    rows.repartitionByRange(order).sortWithinPartitions(order).write.parquet(path)
+    n = spark.read.schema(rows.schema).parquet(path).count()
+    return paced_stream(spark, path, rows.schema, max(1, -(-n // rounds)))
 
 
 @query("stream_preferences", S.with_(*FB, *_prefs("ml_ai"), select="SELECT * FROM prefs"))
 def stream_preferences(spark, sf):
-    """Running (profile, kind, term) counters; the last state equals those of the batch."""
-    stream = _feedback_stream(spark, X.feedback(spark, sf))
-    state = scratch_path(spark, "preferences")
-    SF.write_counters(SF.stream_preferences(stream, F.lit("ml_ai")), state,
-                      scratch_path(spark, "state")).awaitTermination()
-    return _last_state(spark, state).select("profile_id", "kind", "term", "cnt")
+    """Running (profile, kind, term) counters over twelve rounds; the last equal those of the batch."""
+    counts = SF.preference_table(spark, scratch_path(spark, "preferences"), least_rows=500)
+    run_to_end(SF.stream_preferences(_in_rounds(spark, X.feedback(spark, sf).select(*K.LEARNED_FROM),
+                                                "seq", 12), counts,
+                                     scratch_path(spark, "state"), F.lit("ml_ai"), PACED))
+    return counts.read().select("profile_id", "kind", "term", "cnt")
 
 
 @query("stream_rerank", S.with_(*RERANK, select=(
     "SELECT profile_id, row_index, CAST(new_rank AS INTEGER) AS rank, CAST(rank AS INTEGER) AS "
     "baseline_rank, adjusted_score, new_label AS feedback_label FROM rr")))
 def stream_rerank(spark, sf):
-    """The baseline ranked again in each round with all feedback so far; the last round."""
+    """The baseline ranked again in each of five rounds with all feedback so far; the last round."""
     baseline = materialise(_ranked(spark, sf))
-    stream = _feedback_stream(spark, X.feedback(spark, sf, baseline))
-    rounds = scratch_path(spark, "rounds")
+    rounds, kept = scratch_path(spark, "rounds"), scratch_path(spark, "learned")
 
     def publish(ranked, number: int) -> None:
         ranked.select(*KEYS, "rank", "baseline_rank", F.col("adjusted_final_score").alias("adjusted_score"),
                       "feedback_label").write.mode("overwrite").parquet(f"{rounds}/state={number}")
 
-    SF.stream_rerank(stream, baseline, scratch_path(spark, "history"), scratch_path(spark, "state"),
-                     publish, F.lit("ml_ai")).awaitTermination()
+    stream = _in_rounds(spark, X.feedback(spark, sf, baseline).select(*K.LEARNED_FROM), "seq", 5)
+    run_to_end(SF.stream_rerank(
+        stream, baseline, SF.preference_table(spark, f"{kept}/terms"),
+        SF.last_label_table(spark, f"{kept}/labels"), scratch_path(spark, "state"), publish,
+        F.lit("ml_ai"), trigger=PACED))
     return _last_state(spark, rounds)
 
 

@@ -94,3 +94,36 @@ def test_append_sink_and_event_time(spark, posts, tmp_path):
     found = spark.read.parquet(f"{tmp_path}/b").groupBy("dedupe_key").count()
     assert found.where("count > 1").count() == 0
     assert found.count() == clean_batch(df).select("dedupe_key").distinct().count()
+
+
+def test_merge_table_over_fifty_rounds(spark, tmp_path):
+    """Counters equal one big count, bytes grow with the input, a repeated batch changes nothing."""
+    from matchlake.streaming import feedback as SF
+
+    path = str(tmp_path / "counts")
+    rows = [(n % 7, f"l{n % 3}", 1) for n in range(400)]
+    counts = SF.label_table(spark, path, least_rows=40)
+    for number in range(50):
+        batch = spark.createDataFrame(rows[8 * number:8 * number + 8],
+                                      "profile_id long, feedback_label string, cnt long")
+        counts.add(batch, number)
+        if number in (20, 33):
+            counts.add(batch, number)
+            counts = SF.label_table(spark, path, least_rows=40)  # as after a restart
+    found = {(r["profile_id"], r["feedback_label"]): r["cnt"] for r in counts.read().collect()}
+    want = {}
+    for user, label, one in rows:
+        want[user, label] = want.get((user, label), 0) + one
+    assert found == want
+    written = spark.read.parquet(f"{path}/base/*").count() + spark.read.parquet(f"{path}/delta/*").count()
+    assert written <= 2 * len(rows) and 0 < len(counts._complete("base")) < 15
+
+
+def test_latest_label_stays(spark, tmp_path):
+    from matchlake.streaming import feedback as SF
+
+    labels = SF.last_label_table(spark, str(tmp_path / "labels"), least_rows=2)
+    for number, (label, seq) in enumerate([("Skip", 1), ("Accept", 9), ("Reject", 4)]):
+        labels.add(spark.createDataFrame([("p", "t", "c", "l", label, seq)], labels.schema), number)
+    assert [r["feedback_label"] for r in labels.read().collect()] == ["Accept"]
+    assert SF.last_label_table(spark, str(tmp_path / "none")).read().count() == 0
