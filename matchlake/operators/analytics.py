@@ -10,7 +10,7 @@ from matchlake.functions.location import analytics_location
 from matchlake.functions.salary import salary_annual, salary_band
 from matchlake.functions.text import (TermIndex, any_term, contains_any, coverage_term,
                                       norm_coverage, plain_term, strip, text_or_empty)
-from matchlake.operators.order import top_k
+from matchlake.operators.order import top_k, values_at
 from matchlake.operators.signals import role_flags
 
 
@@ -54,19 +54,18 @@ def salary_histogram(jobs: DataFrame) -> DataFrame:
     return join_band_dim(bands.groupBy("band").agg(F.count(F.lit(1)).alias("job_count")))
 
 
-def salary_stats(jobs: DataFrame, exact_median: bool = True) -> DataFrame:
+def salary_stats(jobs: DataFrame) -> DataFrame:
     """Known and unknown counts and the statistics of known annual salaries.
 
-    The exact median keeps one counter per distinct salary; turn it off where
-    salaries are nearly all different.
+    The exact median comes from counts by value and the partitions around the middle.
     """
     annual = jobs.select(salary_annual(_salary_column(jobs)).alias("a"))
-    middle = F.median("a") if exact_median else F.percentile_approx("a", 0.5, 10_000)
+    middle = values_at(annual.where("a IS NOT NULL"), "a", lambda n: ((n - 1) // 2, n // 2))
     return annual.agg(
         F.count("a").alias("known_salary_count"),
         F.count_if(F.col("a").isNull()).alias("unknown_salary_count"),
-        middle.alias("median_salary"), F.avg("a").alias("mean_salary"),
-        F.min("a").alias("min_salary"), F.max("a").alias("max_salary"))
+        F.lit(sum(map(float, middle)) / 2 if middle else None).cast("double").alias("median_salary"),
+        F.avg("a").alias("mean_salary"), F.min("a").alias("min_salary"), F.max("a").alias("max_salary"))
 
 
 def location_demand(jobs: DataFrame, limit: int = 15) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -126,12 +126,18 @@ def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int,
 
     Each task keeps its own k best, the survivors of ``fan_in`` task sets are
     reduced to k each, and only those meet per group, so a group that holds most of
-    the rows never reaches one task.  Spark limits before the shuffle only below a threshold, which
-    the session's setting is raised to hold for ``k``.
+    the rows never reaches one task.  Spark limits before the shuffle only below a threshold; for a
+    larger ``k`` the result is computed at once under a higher one, and the session's setting
+    stays as it was.
     """
     group, conf = list(group), df.sparkSession.conf
     if int(conf.get(GROUP_LIMIT, "1000")) <= k:
+        before = conf.get(GROUP_LIMIT, "1000")
         conf.set(GROUP_LIMIT, str(k + 1))
+        try:
+            return materialise(top_k(df, group, order, k, rank, fan_in))
+        finally:
+            conf.set(GROUP_LIMIT, before)
     first = Window.partitionBy(*group, "_set").orderBy(*order)
     last = Window.partitionBy(*group).orderBy(*order)
     survivors = df.withColumn("_set", F.pmod(F.spark_partition_id(), F.lit(fan_in))) \
@@ -140,6 +146,37 @@ def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int,
         .where(F.col(rank) <= k).drop("_set")
 
 
+# --- selection -------------------------------------------------------------------------
+
+def values_at(df: DataFrame, value: str, ranks: Callable[[int], Sequence[int]]) -> list:
+    """Values at some 0-based ranks of a column without nulls, ``ranks`` given the row count.
+
+    Equal values are counted first, counts are range-partitioned by value, and only the
+    partitions in which the ranks fall are ordered: no task sees all values.
+    """
+    counts = df.groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    path = scratch_path(df.sparkSession, "values")
+    counts.repartitionByRange("v").withColumn("part", F.spark_partition_id()).write.parquet(path)
+    placed = df.sparkSession.read.schema(f"{counts.schema.simpleString()[7:-1].replace(':', ' ')}, "
+                                         "part int").parquet(path)
+    # one row per partition
+    parts = placed.groupBy("part").agg(F.sum("n").alias("n"), F.min("v").alias("low")) \
+        .withColumn("upto", F.sum("n").over(Window.orderBy("low"))) \
+        .select("part", (F.col("upto") - F.col("n")).alias("before"), "upto")
+    total = parts.agg(F.max("upto")).first()[0]
+    if not total:
+        return []
+    wanted = list(ranks(total))
+    hit = F.lit(False)
+    for r in wanted:
+        hit = hit | ((F.col("before") <= r) & (r < F.col("upto")))
+    inside = placed.join(F.broadcast(parts.where(hit).select("part", "before")), "part") \
+        .withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("part").orderBy("v"))) \
+        .withColumn("before", F.col("upto") - F.col("n")).where(hit)
+    found = {(r["before"], r["upto"]): r["v"] for r in inside.select("before", "upto", "v").collect()}
+    return [next(v for (a, b), v in found.items() if a <= r < b) for r in wanted]
+
+
 # --- full ranks -------------------------------------------------------------------
 
 def rank_all(df: DataFrame, group: Sequence[str], order: Sequence[Column],

@@ -3,18 +3,25 @@
 Order inside every draw is the MD5 of (seed, row number), which is reproducible on
 any number of tasks.  The draws depend on each other, but a bucket can lose at most
 the rows drawn before it, so the first ``i × cap`` rows of bucket i (and the first
-``max_jobs`` rows overall) are all that can matter.  They are found in one pass, and
-the dependent draws run on that bounded set.
+``max_jobs`` rows overall) are all that can matter.
+
+Texts are searched once: draw and bucket flags (a bit mask) are written as a narrow table.
+Counts per bucket then tell a threshold of the draw below which so many rows of the bucket lie,
+as in priority sampling; rows below the threshold of one of their buckets are kept, and the
+dependent draws run on that bounded set.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchlake import vocab as V
 from matchlake.functions.text import norm_search, search_term
-from matchlake.operators.order import top_k
+from matchlake.operators.order import scratch_path
 from matchlake.operators.signals import role_flags
 
 BUCKETS = tuple(V.SAMPLE_BUCKETS)
@@ -35,21 +42,38 @@ def _with_order(df: DataFrame, seed: int) -> DataFrame:
                                                  F.col("row_index").cast("string"))))
 
 
+def _bit(i: int):
+    return F.col("_mask").bitwiseAND(F.lit(1 << i)) != 0
+
+
+#: Draws are compared by their first hexadecimal digits.
+DIGITS = 12
+
+
 def _candidates(flagged: DataFrame, max_jobs: int) -> DataFrame:
-    """(row_index, _draw, flags) of every row that any draw could take."""
+    """(row_index, _draw, flags) of a bounded set with every row that any draw could take."""
     cap = bucket_cap(max_jobs)
-    keyed = flagged.select("row_index", "_draw", *BUCKETS)
-    names = F.array_compact(F.array(
-        *[F.when(F.col(b), F.lit(b)) for b in BUCKETS], F.lit(V.GENERAL_BUCKET)))
-    limits = F.create_map(*[x for i, b in enumerate(BUCKETS)
-                            for x in (F.lit(b), F.lit(cap * (i + 1)))],
-                          F.lit(V.GENERAL_BUCKET), F.lit(max_jobs))
-    most = max(cap * len(BUCKETS), max_jobs)
-    ranked = top_k(keyed.select("row_index", "_draw", F.explode(names).alias("_bucket")),
-                   ["_bucket"], [F.asc("_draw"), F.asc("row_index")], most, "_place", 512)
-    ids = ranked.where(F.col("_place") <= F.try_element_at(limits, F.col("_bucket"))) \
-        .select("row_index").distinct()
-    return keyed.join(ids, "row_index")
+    wanted = [cap * (i + 1) for i in range(len(BUCKETS))] + [max_jobs]
+    mask = F.lit(1 << len(BUCKETS))  # the general bucket holds every row
+    for i, b in enumerate(BUCKETS):
+        mask = mask.bitwiseOR(F.when(F.col(b), 1 << i).otherwise(0))
+    path = scratch_path(flagged.sparkSession, "sample-flags")
+    flagged.select("row_index", "_draw", mask.alias("_mask"), F.conv(
+        F.substring("_draw", 1, DIGITS), 16, 10).cast("long").alias("_at")).write.parquet(path)
+    narrow = flagged.sparkSession.read.parquet(path)
+    sizes = narrow.agg(*[F.count_if(_bit(i)).alias(str(i)) for i in range(len(wanted))]).first()
+    # rows below a threshold are binomial: six standard deviations more than wanted
+    shares = [min(1.0, (n + 6 * math.sqrt(n) + 36) / size) if size else 1.0
+              for n, size in zip(wanted, sizes)]
+    while True:
+        below = [_bit(i) & (F.col("_at") <= F.lit(int(s * 16 ** DIGITS))) for i, s in enumerate(shares)]
+        found = narrow.agg(*[F.count_if(b).alias(str(i)) for i, b in enumerate(below)]).first()
+        short = [i for i, n in enumerate(found) if n < min(wanted[i], sizes[i])]
+        if not short:
+            break
+        shares = [min(1.0, 2 * s) if i in short else s for i, s in enumerate(shares)]
+    kept = narrow.where(reduce(Column.__or__, below))
+    return kept.select("row_index", "_draw", *[_bit(i).alias(b) for i, b in enumerate(BUCKETS)])
 
 
 def balanced_sample(jobs: DataFrame, max_jobs: int = V.EMBEDDING_SAMPLE_SIZE,

@@ -485,6 +485,14 @@ def balanced_sample(spark, sf):
     return B.balanced_sample(embedding_text(X.jobs(spark, sf)), SAMPLE_JOBS)
 
 
+@query("balanced_sample_default", S.with_(*_sample_sql(V.EMBEDDING_SAMPLE_SIZE), select=(
+    "SELECT row_index, bucket, CAST(row_number() OVER (ORDER BY md5('shuffle:' || draw), row_index) AS "
+    "INTEGER) AS sample_position FROM sample")))
+def balanced_sample_default(spark, sf):
+    """The sample of the operator's own size."""
+    return B.balanced_sample(embedding_text(X.jobs(spark, sf)))
+
+
 @query("sampling_summary", S.with_(*_sample_sql(SAMPLE_JOBS), select=(
     f"SELECT b.bucket, count(s.row_index) AS job_count FROM (SELECT unnest({S.lst(B.BUCKETS + (V.GENERAL_BUCKET,))}) "
     "AS bucket) b LEFT JOIN sample s USING (bucket) GROUP BY b.bucket")))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from matchlake.operators.order import top_k
+from matchlake.operators.order import top_k, values_at
 from matchlake.operators.scoring import embedding_bonus
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -50,14 +50,26 @@ def test_every_answer_has_a_query():
 
 def test_top_k_limits_before_the_shuffle(spark, capsys):
     rows = spark.range(20_000).selectExpr("id % 3 AS g", "id")
-    best = top_k(rows, ["g"], [F.col("id").desc()], 5_000)
-    best.explain()
+    top_k(rows, ["g"], [F.col("id").desc()], 500).explain()
     plan = capsys.readouterr().out
     assert plan.rindex("WindowGroupLimit") > plan.rindex("Exchange")
+    setting = spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")
+    best = top_k(rows, ["g"], [F.col("id").desc()], 5_000)
+    assert spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold") == setting
     assert best.count() == 15_000
     assert {r.id for r in best.where("rank = 5000").collect()} == {5_000, 5_001, 5_002}
 
 
+def test_values_at_ranks(spark):
+    values = [7, 7, 7, -2, 9, 9, 100, 3, 3, 3, 3]
+    rows = spark.createDataFrame([(v,) for v in values], "a int")
+    assert values_at(rows, "a", lambda n: range(n)) == sorted(values)
+    assert values_at(rows.limit(0), "a", lambda n: [0]) == []
+    many = spark.range(5_000).selectExpr("cast(hash(id) AS double) AS a")
+    want = sorted(r[0] for r in many.collect())
+    assert values_at(many, "a", lambda n: (0, n // 3, n - 1)) == [want[0], want[1_666], want[-1]]
+
+
 @pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables are not here")
 @pytest.mark.parametrize("streamed, batch", [("stream_preferences", "feedback_prefs"),
                                              ("stream_rerank", "feedback_rerank")])
