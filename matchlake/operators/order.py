@@ -183,11 +183,13 @@ def rank_all(df: DataFrame, group: Sequence[str], order: Sequence[Column],
              rank: str = "rank") -> DataFrame:
     """1-based rank of every row inside its group, for groups of any size.
 
-    Rows are range-partitioned on (group, order) and written once; a row's rank is
-    its place in its partition plus the rows of its group in earlier partitions.
-    ``order`` must end in a unique column.
+    Rows are written once, so that sampling the ranges does not compute them again, and
+    range-partitioned on (group, order); a row's rank is its place in its partition plus the
+    rows of its group in earlier partitions.  ``order`` must end in a unique column.
     """
-    group = list(group)
+    group, path = list(group), scratch_path(df.sparkSession, "unranked")
+    df.write.parquet(path)
+    df = df.sparkSession.read.schema(df.schema).parquet(path)
     keys = [F.col(g) for g in group] + list(order)
     placed = materialise(
         df.repartitionByRange(*keys).sortWithinPartitions(*keys)

@@ -13,7 +13,8 @@ from matchlake.functions import location as L
 from matchlake.functions.text import (TermIndex, any_term, dictionary_sql, location_form,
                                       norm_search, split_target_roles, sql_string,
                                       string_array)
-from matchlake.operators.order import rank_all
+from matchlake.operators.order import rank_all, scratch_path
+from matchlake.operators.signals import job_signals
 
 # profiles that travel to the tasks inside the plan; more are handled in blocks
 PROFILES_PER_PASS = 64
@@ -173,6 +174,18 @@ def pair_candidates(jobs: DataFrame, candidates: DataFrame, profiles: DataFrame)
     return join_candidates(jobs, candidates).join(prepare_profiles(profiles), "profile_id")
 
 
+def retrieved_pairs(jobs: DataFrame, candidates: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Pairs of candidates (profile_id, row_index, …) with the signals of their postings.
+
+    Candidates are written once; rules run only on postings that somebody retrieved.
+    """
+    path = scratch_path(jobs.sparkSession, "candidates")
+    candidates.write.parquet(path)
+    candidates = jobs.sparkSession.read.schema(candidates.schema).parquet(path)
+    wanted = jobs.join(candidates.select("row_index").distinct(), "row_index", "left_semi")
+    return pair_candidates(job_signals(wanted), candidates, profiles)
+
+
 def embedded_subset(jobs: DataFrame, index: DataFrame) -> DataFrame:
     """Postings listed in an embedding index; a repeated id repeats its posting."""
     ids = index.select(F.col("row_index").try_cast("bigint").alias("row_index")) \

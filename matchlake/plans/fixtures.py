@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from matchlake import vocab as V
 from matchlake.functions.text import split_keywords
 from matchlake.operators.profiles import (PROFILE_SCHEMA, Profile, join_profiles,
-                                          profiles_frame)
+                                          profiles_frame, retrieved_pairs)
 from matchlake.operators.signals import job_signals
 from matchlake.operators.scoring import score_pairs
 
@@ -260,12 +260,14 @@ FEEDBACK_LABEL = ("CASE WHEN toxic = 1 THEN 'Reject' WHEN quality = 1 THEN 'Acce
 def feedback(spark: SparkSession, sf_dir: str, shown: DataFrame | None = None) -> DataFrame:
     """Feedback on scored postings: one record per labelled document and profile.
 
-    ``shown`` are postings that have been scored already, as in a running session.
+    ``shown`` are postings that have been scored already, as in a running session.  Without it
+    only labelled postings are scored, each for the profile that labelled it.
     """
     from matchlake.operators.feedback import feedback_records
     labels = table(spark, sf_dir, "labels").selectExpr(
         "doc_id AS row_index", f"{FEEDBACK_LABEL} AS given",
         "concat('p', CAST(doc_id % 4 + 1 AS STRING)) AS profile_id")
-    judged = (scored(spark, sf_dir) if shown is None else shown).join(labels, ["row_index", "profile_id"])
+    judged = shown.join(labels, ["row_index", "profile_id"]) if shown is not None else \
+        score_pairs(retrieved_pairs(jobs(spark, sf_dir), labels, demo_profiles(spark)))
     return feedback_records(judged, F.col("given"), (F.col("row_index") % 3 + 1).cast("int"),
                             F.col("row_index"))

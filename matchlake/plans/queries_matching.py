@@ -16,7 +16,7 @@ from matchlake.operators import scoring as C
 from matchlake.operators.ingest import embedding_text
 from matchlake.operators.order import materialise, scratch_path
 from matchlake.operators.profile_topk import topk_for_profiles
-from matchlake.operators.profiles import (join_candidates, join_profiles, pair_candidates,
+from matchlake.operators.profiles import (join_candidates, join_profiles, retrieved_pairs,
                                           prepare_profiles)
 from matchlake.plans import fixtures as X
 from matchlake.plans import sql as S
@@ -189,10 +189,22 @@ def _ranked(spark, sf):
     return N.rank_jobs(X.scored(spark, sf))
 
 
+def _shown(spark, sf):
+    """Keys and ranks of the displayed postings, ranked without texts."""
+    narrow = X.scored(spark, sf).select(*KEYS, "title", "salary_number", *N.RANK_ORDER[:-1],
+                                        "location_strictness", "passes_location_filter")
+    return N.display_select(N.rank_jobs(narrow)).select(*KEYS, "rank")
+
+
+def _displayed(spark, sf):
+    """The displayed postings with all columns: only they are scored and explained in full."""
+    return C.score_pairs(retrieved_pairs(X.jobs(spark, sf), _shown(spark, sf), X.demo_profiles(spark)))
+
+
 @query("display_select", S.with_(*RANKED, SHOWN, select=(
     "SELECT profile_id, row_index, CAST(rank AS INTEGER) AS rank FROM shown")))
 def display_select(spark, sf):
-    return N.display_select(_ranked(spark, sf)).select(*KEYS, "rank")
+    return _shown(spark, sf)
 
 
 @query("precision_at_k", S.with_(*RANKED, select=(
@@ -214,7 +226,7 @@ _SHOW = {
     f"CASE WHEN {e} IS NULL OR lower(trim({e})) IN ('', 'nan', 'none', 'unknown') THEN 'Unknown' ELSE "
     f"{e} END AS \"{n}\"" for n, e in _SHOW.items()) + ", final_score AS \"Match Score\" FROM shown"))
 def display_unknowns(spark, sf):
-    return N.display_table(N.display_select(_ranked(spark, sf)))
+    return N.display_table(_displayed(spark, sf))
 
 
 _EXPLAIN = ("coalesce(array_to_string(list_filter([CASE WHEN matched_skills <> '' THEN 'Matched "
@@ -229,7 +241,7 @@ _EXPLAIN = ("coalesce(array_to_string(list_filter([CASE WHEN matched_skills <> '
     "md5(description) AS description_md5, apply_link AS apply_url, final_score, matched_skills, "
     f"{_EXPLAIN} AS match_explanation FROM shown")))
 def sink_user_export(spark, sf):
-    out = N.user_export(N.display_select(_ranked(spark, sf)))
+    out = N.user_export(_displayed(spark, sf))
     path = writers.write_table(out, scratch_path(spark, "export"), "csv")
     back = writers.read_back(out, path, "csv").na.fill("")
     return back.withColumn("description_md5", F.md5("description")).drop("description")
@@ -419,7 +431,7 @@ def range_filter_index(spark, sf):
         "sc0 AS MATERIALIZED", f"{_PQ},\n{_SIMS},\n{_CAND},\nsc0 AS MATERIALIZED", 1))
 def match_profiles(spark, sf):
     """Retrieval, then rules, then ranking of at most 500 candidates per profile."""
-    pairs = pair_candidates(X.signals(spark, sf), _candidates(spark, sf), X.demo_profiles(spark))
+    pairs = retrieved_pairs(X.jobs(spark, sf), _candidates(spark, sf), X.demo_profiles(spark))
     return N.rank_jobs(C.score_pairs(pairs, retrieved=True), V.RETRIEVAL_TOP_K).select(
         *KEYS, "rank", "embedding_bonus", "final_score")
 
