@@ -20,6 +20,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +39,12 @@ _RUNS = re.compile(r"\s*\S+|\s+")
 _ID_BITS = 24
 _ID_MASK = (1 << _ID_BITS) - 1
 _NO_MERGE = 1 << 62
-KEPT_CHUNKS = 500_000
-KEPT_FRAGMENTS = 300_000
-
-
-def _with_decimals(ids: list[int]) -> tuple[tuple[int, ...], str]:
-    return tuple(ids), ",".join(map(str, ids))
+#: Fragments of more bytes are merged with a heap.
+LONG = 128
+KEPT_CHUNKS = 400_000
+#: Longer chunks and fragments are not remembered.
+KEPT_LENGTH = 512
+KEPT_FRAGMENTS = 200_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -53,6 +54,26 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
+class Remembered:
+    """Values of the keys met last: two generations of at most ``most`` keys each."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self._old = most, {}, {}
+
+    def find(self, key):
+        value = self.new.get(key)
+        if value is None:
+            value = self._old.get(key)
+            if value is not None:
+                self.keep(key, value)
+        return value
+
+    def keep(self, key, value) -> None:
+        if len(self.new) >= self.most:
+            self._old, self.new = self.new, {}
+        self.new[key] = value
+
+
 class ForcedBoundaryBPE:
     """Encoder and decoder of one vocabulary file."""
 
@@ -78,8 +99,12 @@ class ForcedBoundaryBPE:
             self.joined[b[:-1], b[1:]] = True
         forced = self.joined.tolist()
         self._cut = [[not x for x in row] for row in forced]
-        self._chunks: dict[str, tuple[int, ...]] = {}
-        self._fragments: dict[bytes, tuple[int, ...]] = {}
+        # ids as decimals joined by commas, by chunk and by what follows a single blank
+        self._chunks = Remembered(KEPT_CHUNKS)
+        self._words = Remembered(KEPT_CHUNKS)
+        #: Whether some chunk met so far does not decode to itself.
+        self._changes = False
+        self._fragments = Remembered(KEPT_FRAGMENTS)
         self._split = re.compile("|".join(map(re.escape, self._special))) if self._special else None
         self._library = library(path)
 
@@ -89,6 +114,8 @@ class ForcedBoundaryBPE:
 
     def _merge(self, fragment: bytes) -> tuple[int, ...]:
         """Merge the pair of lowest rank, leftmost first, until none is left."""
+        if len(fragment) > LONG:
+            return self._merge_long(fragment)
         ids = [self._single[b] for b in fragment]
         find = self._merges.get
         found = [find(pair, _NO_MERGE) for pair in zip(ids, ids[1:])]
@@ -105,6 +132,29 @@ class ForcedBoundaryBPE:
                 found[at - 1] = find((ids[at - 1], ids[at]), _NO_MERGE)
         return tuple(ids)
 
+    def _merge_long(self, fragment: bytes) -> tuple[int, ...]:
+        """The same by a heap of pairs and links between neighbours, in n log n steps."""
+        ids = [self._single[b] for b in fragment]
+        find, n = self._merges.get, len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(best, i) for i, pair in enumerate(zip(ids, ids[1:]))
+                if (best := find(pair)) is not None]
+        heapify(heap)
+        while heap:
+            best, i = heappop(heap)
+            j = after[i]
+            # a pair that has changed since is found again under its new rank
+            if ids[i] < 0 or j >= n or find((ids[i], ids[j])) != best:
+                continue
+            ids[i], ids[j] = best & _ID_MASK, -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+            for a, b in ((before[i], i), (i, k)):
+                if a >= 0 and b < n and (new := find((ids[a], ids[b]))) is not None:
+                    heappush(heap, (new, a))
+        return tuple(i for i in ids if i >= 0)
+
     def fragments(self, piece: bytes) -> list[bytes]:
         """``piece`` cut wherever a boundary is forced."""
         cut, out, start = self._cut, [], 0
@@ -118,11 +168,11 @@ class ForcedBoundaryBPE:
     def _piece(self, piece: bytes) -> list[int]:
         out: list[int] = []
         for fragment in self.fragments(piece):
-            ids = self._fragments.get(fragment)
+            ids = self._fragments.find(fragment)
             if ids is None:
-                if len(self._fragments) >= KEPT_FRAGMENTS:
-                    self._fragments.clear()
-                ids = self._fragments[fragment] = self._merge(fragment)
+                ids = self._merge(fragment)
+                if len(fragment) <= KEPT_LENGTH:
+                    self._fragments.keep(fragment, ids)
             out += ids
         return out
 
@@ -133,43 +183,64 @@ class ForcedBoundaryBPE:
         return [bytes(letters[c] for c in p)
                 for p, _ in self._library.pre_tokenizer.pre_tokenize_str(text)]
 
-    def _plain_chunks(self, text: str) -> list[str]:
-        """Chunks of a text that start where a pre-token must start."""
-        if "  " in text:
-            return _RUNS.findall(text)
-        head, *rest = text.split(" ")
-        return [head, *(" " + x for x in rest)]
-
     def encode(self, text: str) -> list[int]:
-        return [i for ids, _ in self._coded(text) for i in ids]
-
-    def encode_with_decimals(self, text: str) -> tuple[list[int], str]:
-        """The ids, and the ids as decimal numbers joined by commas."""
-        coded = self._coded(text)
-        return [i for ids, _ in coded for i in ids], ",".join([d for _, d in coded if d])
-
-    def _coded(self, text: str) -> list[tuple[tuple[int, ...], str]]:
-        out = []
+        joined = self._decimals(text)
+        return list(map(int, joined.split(","))) if joined else []
+
+    def digest(self, text: str) -> tuple[int, str, str]:
+        """Number of ids, the ids as decimals joined by commas, and the decoded text.
+
+        Chunks are decoded when they are coded; while all of them give their own text, so do
+        texts made of them.
+        """
+        joined = self._decimals(text)
+        n = joined.count(",") + 1 if joined else 0
+        if not self._changes:
+            return n, joined, text
+        return n, joined, self.decode(list(map(int, joined.split(","))) if joined else [])
+
+    def _decimals(self, text: str) -> str:
+        out: list[str] = []
         at = 0
         for found in self._split.finditer(text) if self._split else ():
             out += self._segment(text[at:found.start()])
-            out.append(_with_decimals([self._special[found.group()]]))
+            out.append(self._code([self._special[found.group()]], found.group()))
             at = found.end()
-        return out + self._segment(text[at:]) if at else self._segment(text)
+        out += self._segment(text[at:] if at else text)
+        return ",".join(filter(None, out))
+
+    def _code(self, ids: list[int], text: str) -> str:
+        """The ids as decimals joined by commas; ``text`` is what they stand for."""
+        self._changes |= self.decode(ids) != text
+        return ",".join(map(str, ids))
 
-    def _segment(self, text: str) -> list[tuple[tuple[int, ...], str]]:
+    def _segment(self, text: str) -> list[str]:
         if not _PLAIN.fullmatch(text):
-            return [_with_decimals(self._piece(piece)) for piece in self._pieces(text)]
-        known, chunks = self._chunks, self._plain_chunks(text)
-        new = set(chunks).difference(known)
-        if new:
-            if len(known) >= KEPT_CHUNKS:
-                known.clear()
-                new = set(chunks)
-            for chunk in new:
-                known[chunk] = _with_decimals(
-                    [i for piece in self._pieces(chunk) for i in self._piece(piece)])
-        return [known[chunk] for chunk in chunks]
+            return [self._code([i for piece in self._pieces(text) for i in self._piece(piece)], text)]
+        if "  " in text:
+            return self._remembered(self._chunks, _RUNS.findall(text), "")
+        # a pre-token starts at every single blank
+        head, *rest = text.split(" ")
+        return self._remembered(self._chunks, [head], "") + self._remembered(self._words, rest, " ")
+
+    def _remembered(self, known: Remembered, chunks: list[str], lead: str) -> list[str]:
+        """Decimals of every chunk, each after ``lead``."""
+        found = list(map(known.new.get, chunks))
+        if None in found:
+            for k, (chunk, ids) in enumerate(zip(chunks, found)):
+                if ids is None:
+                    ids = known.find(chunk)
+                    if ids is None:
+                        piece = lead + chunk
+                        if piece.isascii() and chunk.isalpha():  # one pre-token
+                            ids = self._code(self._piece(piece.encode()), piece)
+                        else:
+                            ids = self._code([i for p in self._pieces(piece)
+                                              for i in self._piece(p)], piece)
+                        if len(chunk) <= KEPT_LENGTH:
+                            known.keep(chunk, ids)
+                    found[k] = ids
+        return found
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self._tokens.__getitem__, ids)).decode("utf-8", "replace")
@@ -211,10 +282,10 @@ def encoding_digest(docs: DataFrame, tokenizer: str, key: str = "doc_id",
                 part = batch.slice(at, 512)
                 lengths, id_sums, text_sums = [], [], []
                 for t in part.column("t").to_pylist():
-                    ids, decimals = bpe.encode_with_decimals(t)
-                    lengths.append(len(ids))
+                    n, decimals, decoded = bpe.digest(t)
+                    lengths.append(n)
                     id_sums.append(sha(decimals.encode()).hexdigest())
-                    text_sums.append(sha(bpe.decode(ids).encode()).hexdigest())
+                    text_sums.append(sha(decoded.encode()).hexdigest())
                 yield pa.RecordBatch.from_arrays(
                     [part.column("k"), pa.array(lengths, pa.int64()), pa.array(id_sums),
                      pa.array(text_sums)],

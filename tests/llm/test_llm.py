@@ -71,6 +71,55 @@ def test_forced_bpe_equals_library(texts):
     assert not bpe.joined[ord("e"), ord(" ")] and bpe.joined[ord("t"), ord("h")]
 
 
+def test_forced_bpe_of_long_unbroken_runs():
+    bpe, draw = forced_bpe.coder(BYTES), random.Random(7)
+    for text in ("a" * 3_000, "-=" * 1_500, "".join(draw.choice("abcdeth") for _ in range(4_000)),
+                 "é" * 900 + "漢" * 900):
+        assert bpe.encode(text) == ids_of(BYTES, text)
+    fragment = bytes(draw.choice(b"theandro") for _ in range(120))
+    assert bpe._merge(fragment) == bpe._merge_long(fragment)
+    n, _, decoded = bpe.digest("x" * 1_000_000)
+    assert decoded == "x" * 1_000_000 and 0 < n < 1_000_000
+
+
+def brute_log_chance(model, word, n):
+    """Sum over all segmentations of the word, one by one."""
+    text = language.START + word
+
+    def cuts(at):
+        if at == len(text):
+            return 1.0
+        total = 0.0
+        for end in range(at + 1, len(text) + 1):
+            piece = text[at:end]
+            if piece in model.table:
+                total += model.table[piece][n] * cuts(end)
+            elif end == at + 1:
+                total += language.FLOOR * cuts(end)
+        return total
+
+    return np.log(cuts(0))
+
+
+def test_language_chances_sum_over_all_segmentations():
+    draw = random.Random(8)
+    pieces = {"".join(draw.choice("abc▁") for _ in range(draw.randint(1, 4))) for _ in range(40)}
+    model = language.PieceModel(["x", "y", "z"], {
+        p: tuple(draw.random() / 40 for _ in range(3)) for p in pieces}, [0.0] * 3)
+    for _ in range(60):
+        word = "".join(draw.choice("abcd") for _ in range(draw.randint(1, 11)))
+        want = [brute_log_chance(model, word, n) for n in range(3)]
+        assert np.allclose(model.log_chances(word), want)
+        # the expected uses of one word add up to its characters, weighted by piece length
+        uses = Counter()
+        model.expected(word, 2.0, 1, uses)
+        assert np.isclose(sum(v * len(p) for p, v in uses.items()), 2.0 * (len(word) + 1))
+    many = ["".join(draw.choice("abcd") for _ in range(draw.randint(1, 9))) for _ in range(800)]
+    assert np.allclose(model.log_chances_many(many), [model.log_chances(w) for w in many])
+    long = "abcab" * 400
+    assert np.isfinite(model.log_chances(long)).all()
+
+
 def test_forced_bpe_query(spark, small):
     for r in forced_bpe.encoding_digest(small, BYTES).join(small.select("doc_id", "text"),
                                                             "doc_id").collect():
