@@ -174,32 +174,38 @@ def with_next(docs: DataFrame, tasks: int, key: str = "doc_id", text: str = "tex
 
     Returns k, t, range, follower: rows of one ``range`` are in one partition, sorted by id
     downwards.  A row with ``follower`` is a copy of the next range's first row.  The ranges'
-    ends come from a pass over the ids alone, so the texts cross the shuffle once.
+    ends come from a pass over the ids alone, so the texts cross the shuffle once.  Rows without
+    an id are spread over negative ranges by their text; rows of one id are ordered by text.
     """
     rows = docs.select(F.col(key).cast("long").alias("k"), whole_text(text).alias("t"))
+    alone = F.array((-1 - F.pmod(F.xxhash64("t"), F.lit(tasks))).cast("int"))
     ids = rows.where("k IS NOT NULL").select("k").repartitionByRange(tasks * RANGES, "k") \
         .groupBy(F.spark_partition_id()).agg(F.max("k").alias("top"))
     tops = np.array(sorted(r["top"] for r in ids.collect()), dtype=np.int64)  # one a partition
 
     @F.pandas_udf("array<int>")
     def targets(keys: pd.Series) -> pd.Series:
+        if not len(tops):
+            return pd.Series([[0]] * len(keys))
         at = np.searchsorted(tops, keys.to_numpy())
         first = tops[np.minimum(at, len(tops) - 1)] == keys.to_numpy()
         # the first row of a range also follows the range above it; the very first, the lowest
         return pd.Series([[int(i), (int(i) + 1) % len(tops)] if f else [int(i)]
                           for i, f in zip(at, first)])
 
-    dealt = rows.where("k IS NOT NULL").select("k", "t", F.posexplode(targets("k")).alias("p", "range"))
+    ranges = F.when(F.col("k").isNull(), alone).otherwise(targets(F.coalesce("k", F.lit(0))))
+    dealt = rows.select("k", "t", F.posexplode(ranges).alias("p", "range"))
     return dealt.select("k", "t", "range", (F.col("p") == 1).alias("follower")) \
-        .repartition(tasks, "range") \
-        .sortWithinPartitions("range", "follower", F.col("k").desc())
+        .repartitionById(tasks, F.pmod("range", F.lit(tasks)).cast("int")) \
+        .sortWithinPartitions("range", "follower", F.col("k").desc(), "t")
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document its fingerprint, that of its edited text, and two likenesses.
 
-    The edited text ends with the start of the next document in descending order of ids.  Ids
-    are taken as unique and rows without an id have no place in the order: they are left out.
+    The edited text ends with the start of the next document in descending order of ids; rows of
+    one id follow each other in order of their texts.  A row without an id has no place in that
+    order: it is followed by itself.
     """
     rarity, windows = rarity_of(docs, text)
     # as many tasks as the text needs and the cores can use; ids alone would be dealt to few
@@ -248,6 +254,9 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             for k, t, place, follower in zip(*(c.to_pylist() for c in batch.columns)):
                 filters, levels = digest(t)
                 row = (place, k, t, filters, levels)
+                if k is None:
+                    emit(row, row)
+                    continue
                 if held is not None and held[0] == place:
                     emit(held, row)
                 held = None if follower else row

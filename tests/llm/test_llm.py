@@ -485,3 +485,23 @@ def test_keep_first_by_row(spark):
     one = [n for n in found if n in (8, 9)], [n for n in found if n in (10, 11)]
     assert [len(x) for x in one] == [1, 1]
     assert sorted(set(found) - set(sum(one, []))) == [0, 3, 4, 12, 13, 14, 15, 16, 17, 18]
+
+
+def test_fingerprints_without_ids_and_with_repeated_ids(spark):
+    """A third of the rows has no id, another third one id: every row has a row."""
+    texts = [f"text number {i} of the table " * (1 + i % 4) for i in range(90)] + [None, ""]
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else 100 + i, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = fingerprint.fingerprints(docs).collect()
+    order = sorted(((k, t or "") for k, t in rows if k is not None), key=lambda r: (-r[0], r[1]))
+    want = [(None, t or "", t or "") for k, t in rows if k is None]
+    want += [(k, t, order[(n + 1) % len(order)][1]) for n, (k, t) in enumerate(order)]
+
+    def edited(k, t, after):
+        cut = len(t) // 3
+        return k, len(t), hashlib.sha256((t[:len(t) - cut] + after[:cut]).encode()).hexdigest()
+
+    assert sorted([(r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in found], key=str) == \
+        sorted([edited(*w) for w in want], key=str)
+    lone = spark.createDataFrame([(None, "a" * 50)] * 3, "doc_id long, text string")
+    assert fingerprint.fingerprints(lone).count() == 3
