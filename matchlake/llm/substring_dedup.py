@@ -106,9 +106,11 @@ class Chunk:
         self.counts = counts
         self.hashes = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
         self.starts = np.cumsum(counts) - counts
-        self.document = np.repeat(np.arange(len(counts)), counts)
-        self.left = np.repeat(self.starts + counts, counts) - np.arange(len(self.hashes))
-        self.place = np.arange(len(self.hashes)) - self.starts[self.document]
+        # a chunk has far fewer than 2 ** 31 words
+        self.document = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+        at = np.arange(len(self.hashes), dtype=np.int32)
+        self.left = np.repeat((self.starts + counts).astype(np.int32), counts) - at
+        self.place = at - self.starts.astype(np.int32)[self.document]
 
     def blocks(self) -> None:
         """Distinct rolling blocks in order of their hash, and where each position's is."""
@@ -159,6 +161,11 @@ class Chunk:
         return np.cumsum(edges[:-1]) > 0
 
 
+def _one_by_one(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows of a batch as dictionaries, only one of them at a time."""
+    return (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows))
+
+
 def _owner_bounds(hashes: np.ndarray, owners: int) -> np.ndarray:
     """Where each owner's range starts in sorted hashes: equal ranges of the first 32 bits."""
     tops = (np.arange(owners + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(owners)
@@ -300,7 +307,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     def send_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _one_by_one(batch):
                 c = Chunk(row)
                 c.blocks()
                 bounds = _owner_bounds(c.block_hash, owners)
@@ -325,7 +332,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     def send_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _one_by_one(batch):
                 c, bounds = with_windows(row)
                 first, second, ids = c.window_entries()
                 yield _sent([
@@ -339,7 +346,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _one_by_one(batch):
                 c, bounds = with_windows(row)
                 gone = c.removed(_answers(row, "firsts", owners, bounds))
                 taken, sums, kept = [], [], []
