@@ -314,11 +314,9 @@ def clean_name(name: Column) -> Column:
         .otherwise(original)
 
 
-def evidence_lines(text: Column, name: Column, background_text: Column,
-                   skills: Column, keywords: Column, limit: int = 4) -> Column:
-    """First lines that show an action and a keyword and are not structure."""
+def action_lines(text: Column, name: Column, background_text: Column, skills: Column) -> Column:
+    """Lines that show an action and are not structure; they do not depend on a posting."""
     known = F.transform(skills, F.lower)
-    wanted = F.transform(keywords, F.lower)
     low_name = F.lower(strip(name))
     low_background = F.lower(background_text)
     labels = list(V.NOISE_LABELS)
@@ -336,7 +334,13 @@ def evidence_lines(text: Column, name: Column, background_text: Column,
 
     verbs = r"(?iU)\b(?:" + "|".join(V.EVIDENCE_VERBS) + r")\b"
     candidates = F.transform(evidence_lines_of(text), _trim_marks)
-    return F.slice(F.filter(candidates, lambda x: ~noisy(x) & x.rlike(verbs) & F.exists(
+    return F.filter(candidates, lambda x: x.rlike(verbs) & ~noisy(x))
+
+
+def evidence_lines(actions: Column, keywords: Column, limit: int = 4) -> Column:
+    """First action lines with a keyword of the pair."""
+    wanted = F.transform(keywords, F.lower)
+    return F.slice(F.filter(actions, lambda x: F.exists(
         wanted, lambda k: F.contains(F.lower(x), k))), 1, limit)
 
 
@@ -387,18 +391,26 @@ def preview_sections(section_map: Column, cleaned: Column) -> Column:
 
 # --- candidate × posting ------------------------------------------------------------------------
 
-def pair_keywords(skills: Column, description: Column, matched: Column,
-                  limit: int = 10) -> Column:
-    """Supported skills named by the posting, else the first supported skills."""
-    named = let(F.lower(description), lambda low: F.slice(F.filter(
-        skills, lambda s: F.contains(low, F.lower(s)) | F.array_contains(matched, F.lower(s))),
-        1, limit))
-    return F.when(F.size(named) > 0, named).otherwise(F.slice(skills, 1, limit))
-
-
-def pair_infra_skills(skills: Column, family: Column, *context: Column) -> Column:
-    """Infrastructure skills, when the pair has machine-learning platform context."""
-    whole = F.lower(F.concat_ws(" ", *context))
-    active = (F.lower(family) == "mlops_infra") | contains_any(whole, V.INFRA_CONTEXT_TERMS)
-    return F.when(active, F.filter(skills, lambda s: F.lower(s).isin(list(V.INFRA_SKILLS)))) \
-        .otherwise(string_array([]))
+def pair_keywords(skills: Column, named: Column, limit: int = 10) -> Column:
+    """Supported skills that the posting names (lower case), else the first supported skills."""
+    found = F.slice(F.filter(skills, lambda s: F.array_contains(named, F.lower(s))), 1, limit)
+    return F.when(F.size(found) > 0, found).otherwise(F.slice(skills, 1, limit))
+
+
+def infra_context(*texts: Column) -> Column:
+    """Whether the texts, joined by blanks, speak of a machine-learning platform."""
+    return contains_any(F.lower(F.concat_ws(" ", *texts)), V.INFRA_CONTEXT_TERMS)
+
+
+#: No context term is longer, so a term across two texts lies in so much of their ends.
+CONTEXT_EDGE = max(map(len, V.INFRA_CONTEXT_TERMS))
+
+
+def edges(text: Column) -> Column:
+    """Start and end of a text, or all of a short one: what a term across texts can touch."""
+    return F.when(F.length(text) <= 2 * CONTEXT_EDGE, text).otherwise(F.concat(
+        F.substring(text, 1, CONTEXT_EDGE), F.lit("\n"), F.right(text, F.lit(CONTEXT_EDGE))))
+
+
+def infra_skills(skills: Column) -> Column:
+    return F.filter(skills, lambda s: F.lower(s).isin(list(V.INFRA_SKILLS)))

@@ -196,12 +196,7 @@ def _pairs(spark, sf):
     shown = X.jobs(spark, sf).select("row_index", "description") \
         .join(F.broadcast(shown), "row_index").select(
             "profile_id", "row_index", "title", "description", "matched_skills", "role_family_inferred")
-    shown = F.broadcast(materialise(shown))
-    documents = W.candidate_documents(X.resumes(spark, sf))
-    profiles = F.array(*[F.lit(p.profile_id) for p in X.DEMO_PROFILES])
-    pairs = documents.select("doc_id", "target_role", F.explode(profiles).alias("profile_id")) \
-        .join(shown.select("profile_id", "row_index"), "profile_id")
-    return W.pair_documents(documents.drop("target_role"), shown, pairs)
+    return W.pair_documents(W.candidate_documents(X.resumes(spark, sf)), materialise(shown))
 
 
 _PAIR_KEYS = ("profile_id", "doc_id", "row_index")

@@ -1,6 +1,7 @@
 """Registered queries against their SQL answers on the smallest data set."""
 
 import os
+import re
 
 import duckdb
 import numpy as np
@@ -119,3 +120,55 @@ def test_documents_are_paired_with_all_displayed_postings(spark, tmp_path):
     for name in ("pair_keywords", "pair_infra_skills", "doc_evidence_lines"):
         pairs = entry.queries()[name](spark, sf).collect()
         assert sorted((r.profile_id, r.doc_id, r.row_index) for r in pairs) == want
+
+
+# fixed values: the words that the rules of pairs look for
+INFRA_TERMS = ("aws", "azure", "cloud", "cloud infrastructure", "airflow", "data pipeline", "databricks",
+               "docker", "feature pipeline", "gcp", "kafka", "kubernetes", "microservices",
+               "ml infrastructure", "ml platform", "mlflow", "mlops", "model deployment",
+               "model serving", "production ml", "spark", "tensorflow serving", "terraform")
+CONTEXT_TERMS = ("ai infrastructure", "machine learning infrastructure", "machine learning platform",
+                 "ml infrastructure", "ml platform", "mlops", "model deployment", "model serving",
+                 "production machine learning", "production ml")
+
+
+def test_values_of_pairs_equal_a_walk_over_each_pair(spark):
+    """Keywords, infrastructure skills and evidence lines of every pair, one pair at a time."""
+    from matchlake.functions import documents as D
+    from matchlake.operators import documents as W
+    from matchlake.plans import fixtures as X
+
+    docs = W.candidate_documents(X.resumes(spark, SF_DIR).where("doc_id < 60"))
+    postings = [
+        ("p1", 1, "Platform Engineer", "We use SPARK, python and Kafka.", "python, sql", "mlops_infra"),
+        ("p1", 2, "platform lead", "tableau and r", "", "unknown"),
+        ("p2", 1, "", "", "", ""), ("p2", 3, "Nurse", "night shift in production", "sql", "serving"),
+        ("p2", 4, "Analyst", "model deployment with docker " + "x " * 200, "docker", "data")]
+    shown = spark.createDataFrame(postings, "profile_id string, row_index long, title string, "
+                                            "description string, matched_skills string, "
+                                            "role_family_inferred string")
+    found = {(r.profile_id, r.row_index, r.doc_id): r for r in W.pair_documents(docs, shown).collect()}
+    rows = docs.withColumn("actions", D.action_lines(
+        F.col("text"), F.col("candidate_name"), F.col("background"), F.col("relevant_skills"))).collect()
+    assert len(found) == len(rows) * len(postings)
+    infra = 0
+    for d in rows:
+        for profile, number, title, description, matched, family in postings:
+            keys = {p.strip().lower() for p in re.split("[,;\\n]+", matched)}
+            words = [s for s in d.relevant_skills if s.lower() in description.lower()
+                     or s.lower() in keys][:10] or d.relevant_skills[:10]
+            context = " ".join([d.target_role, title, description, matched, family, d.text]).lower()
+            ml = family.lower() == "mlops_infra" or any(t in context for t in CONTEXT_TERMS)
+            r = found[profile, number, d.doc_id]
+            assert r.job_keywords == words
+            assert r.infra_skills == [s for s in d.relevant_skills if ml and s.lower() in INFRA_TERMS]
+            assert r.evidence_lines == [x for x in d.actions if any(
+                w.lower() in x.lower() for w in words)][:4]
+            infra += bool(r.infra_skills)
+    assert infra and any(r.evidence_lines for r in found.values())
+    # a term across two texts
+    docs = docs.limit(1).withColumn("target_role", F.lit("lead of machine learning")) \
+        .withColumn("text", F.lit("nothing here")).withColumn("relevant_skills", F.array(F.lit("Docker")))
+    across = {r.row_index: r.infra_skills for r in W.pair_documents(docs, shown.where("profile_id = 'p1'")
+                                                                    .where("row_index = 2")).collect()}
+    assert across == {2: ["Docker"]}
