@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchlake import vocab as V
 from matchlake.functions import documents as D
 from matchlake.functions.text import extract_skills, skill_name, split_keywords
-from matchlake.operators.order import materialise
+from matchlake.operators.order import materialise, scratch_path
 
 
 def doc_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -55,13 +57,32 @@ def candidate_documents(docs: DataFrame, text: str = "text",
         .withColumn("relevant_skills", relevant_skills(F.col(skills), F.col("supported_skills")))
 
 
-def _posting_parts(candidates: DataFrame, postings: DataFrame) -> DataFrame:
+PAIR_VALUES = ("job_keywords", "infra_skills", "evidence_lines")
+
+
+def _own_parts(candidates: DataFrame, values: Sequence[str]) -> DataFrame:
+    """What pairs need of a document for some ``values``, written once as a narrow table."""
+    columns = [F.col("doc_id"), F.col("relevant_skills")]
+    if "infra_skills" in values:
+        columns += [D.infra_skills(F.col("relevant_skills")).alias("infra"),
+                    (D.infra_context(F.col("target_role")) | D.infra_context(F.col("text")))
+                    .alias("doc_context"), D.edges(F.lower("target_role")).alias("role_edges"),
+                    D.edges(F.lower("text")).alias("text_edges")]
+    if "evidence_lines" in values:
+        columns.append(D.action_lines(F.col("text"), F.col("candidate_name"), F.col("background"),
+                                      F.col("relevant_skills")).alias("actions"))
+    own = candidates.select(columns)
+    path = scratch_path(candidates.sparkSession, "documents-of-pairs")
+    own.write.parquet(path)
+    return candidates.sparkSession.read.schema(own.schema).parquet(path)
+
+
+def _posting_parts(own: DataFrame, postings: DataFrame) -> DataFrame:
     """What pairs need of a posting: named skills, context, and the edges of its texts.
 
     ``postings`` are few; each is searched once for every distinct skill of all documents.
     """
-    skills = candidates.select(F.explode(F.transform("relevant_skills", F.lower)).alias("skill")) \
-        .distinct()
+    skills = own.select(F.explode(F.transform("relevant_skills", F.lower)).alias("skill")).distinct()
     keys = [c for c in ("profile_id", "row_index") if c in postings.columns]
     low = postings.select(*keys, F.lower("description").alias("low"),
                           split_keywords(F.col("matched_skills")).alias("matched"))
@@ -75,32 +96,29 @@ def _posting_parts(candidates: DataFrame, postings: DataFrame) -> DataFrame:
         .alias("job_context"), D.edges(F.lower(F.concat_ws(" ", *texts))).alias("job_edges"))
 
 
-def pair_documents(candidates: DataFrame, postings: DataFrame, pairs: DataFrame | None = None
-                   ) -> DataFrame:
-    """Keywords, infrastructure skills and evidence lines of (document, posting) pairs.
+def pair_documents(candidates: DataFrame, postings: DataFrame, pairs: DataFrame | None = None,
+                   values: Sequence[str] = PAIR_VALUES) -> DataFrame:
+    """Some of PAIR_VALUES for (document, posting) pairs.
 
     ``postings`` are displayed ones, few enough to be broadcast.  ``pairs`` has (doc_id,
     row_index); without it every document meets all postings.  Postings that differ by profile
     have a profile_id, and so have their pairs.  Skills, action lines and context are taken from
     a document once and from a posting once; a pair only compares short lists.
     """
-    parts = _posting_parts(candidates, postings)
-    own = candidates.select(
-        "doc_id", "relevant_skills", D.infra_skills(F.col("relevant_skills")).alias("infra"),
-        D.action_lines(F.col("text"), F.col("candidate_name"), F.col("background"),
-                       F.col("relevant_skills")).alias("actions"),
-        (D.infra_context(F.col("target_role")) | D.infra_context(F.col("text"))).alias("doc_context"),
-        D.edges(F.lower("target_role")).alias("role_edges"), D.edges(F.lower("text")).alias("text_edges"))
+    own = _own_parts(candidates, values)
+    parts = _posting_parts(own, postings)
     if pairs is None:
         keys = [c for c in parts.columns if c in ("profile_id", "row_index")]
         df = own.join(F.broadcast(materialise(parts)), F.lit(True))
     else:
         keys = [c for c in ("profile_id", "row_index") if c in pairs.columns]
         df = pairs.join(own, "doc_id").join(parts, keys)
-    across = D.infra_context(F.col("role_edges"), F.col("job_edges"), F.col("text_edges"))
     df = df.withColumn("job_keywords", D.pair_keywords(F.col("relevant_skills"), F.col("named")))
-    return df.select(
-        *keys, "doc_id", "job_keywords",
-        F.when(F.col("job_context") | F.col("doc_context") | across, F.col("infra"))
-        .otherwise(F.array().cast("array<string>")).alias("infra_skills"),
-        D.evidence_lines(F.col("actions"), F.col("job_keywords")).alias("evidence_lines"))
+    if "infra_skills" in values:
+        across = D.infra_context(F.col("role_edges"), F.col("job_edges"), F.col("text_edges"))
+        df = df.withColumn("infra_skills", F.when(
+            F.col("job_context") | F.col("doc_context") | across, F.col("infra"))
+            .otherwise(F.array().cast("array<string>")))
+    if "evidence_lines" in values:
+        df = df.withColumn("evidence_lines", D.evidence_lines(F.col("actions"), F.col("job_keywords")))
+    return df.select(*keys, "doc_id", *values)

@@ -182,7 +182,7 @@ def doc_preview(spark, sf):
         D.preview_sections(F.col("m"), F.col("cleaned"))).alias("title", "body"))
 
 
-def _pairs(spark, sf):
+def _pairs(spark, sf, value: str):
     """Every document with all postings displayed for each of its profiles.
 
     A document stands for a candidate of every demo profile; the displayed postings are a short
@@ -196,7 +196,8 @@ def _pairs(spark, sf):
     shown = X.jobs(spark, sf).select("row_index", "description") \
         .join(F.broadcast(shown), "row_index").select(
             "profile_id", "row_index", "title", "description", "matched_skills", "role_family_inferred")
-    return W.pair_documents(W.candidate_documents(X.resumes(spark, sf)), materialise(shown))
+    return W.pair_documents(W.candidate_documents(X.resumes(spark, sf)), materialise(shown),
+                            values=[value])
 
 
 _PAIR_KEYS = ("profile_id", "doc_id", "row_index")
@@ -204,14 +205,14 @@ _PAIR_KEYS = ("profile_id", "doc_id", "row_index")
 
 @query("doc_evidence_lines")
 def doc_evidence_lines(spark, sf):
-    return _pairs(spark, sf).select(*_PAIR_KEYS, F.array_join("evidence_lines", "\n").alias("lines"))
+    return _pairs(spark, sf, "evidence_lines").select(*_PAIR_KEYS, F.array_join("evidence_lines", "\n").alias("lines"))
 
 
 @query("pair_keywords")
 def pair_keywords(spark, sf):
-    return _pairs(spark, sf).select(*_PAIR_KEYS, F.array_join("job_keywords", ", ").alias("keywords"))
+    return _pairs(spark, sf, "job_keywords").select(*_PAIR_KEYS, F.array_join("job_keywords", ", ").alias("keywords"))
 
 
 @query("pair_infra_skills")
 def pair_infra_skills(spark, sf):
-    return _pairs(spark, sf).select(*_PAIR_KEYS, F.array_join("infra_skills", ", ").alias("skills"))
+    return _pairs(spark, sf, "infra_skills").select(*_PAIR_KEYS, F.array_join("infra_skills", ", ").alias("skills"))
