@@ -358,15 +358,6 @@ def topk_fallback(spark, sf):
     return parts[0].unionByName(parts[1])
 
 
-@query("embedding_bonus", S.with_(_Q, _SIMS, select=(
-    "SELECT profile_id, row_index, round_even(embedding_similarity * 30 * 100, 0) / 100 AS bonus FROM "
-    f"({_topk_sql(50)})")))
-def embedding_bonus(spark, sf):
-    top = E.topk_exact(X.vectors(spark, sf), X.query_vectors(spark, sf), 50)
-    return top.select("profile_id", "row_index", round2(
-        F.col("embedding_similarity") * V.EMBEDDING_BONUS_SCALE).alias("bonus"))
-
-
 @query("embedding_bonus_candidates", S.with_(_Q, _SIMS, select=(
     "SELECT profile_id, row_index, round_even(coalesce(embedding_similarity, 0) * 30 * 100, 0) / 100 AS "
     f"bonus FROM ({_topk_sql(V.RETRIEVAL_TOP_K)})")))
@@ -408,6 +399,18 @@ def _candidates(spark, sf):
     return E.topk_exact(X.vectors(spark, sf), queries).drop("rank")
 
 
+@query("embedding_bonus", S.with_(_PQ, _SIMS, _CAND, select=(
+    "SELECT profile_id, row_index, round_even(coalesce(embedding_similarity, 0) * 30 * 100, 0) / 100 AS "
+    "bonus FROM cand FULL JOIN (SELECT doc_id AS row_index, 'p' || (doc_id % 4 + 1) AS profile_id FROM "
+    "labels) judged USING (profile_id, row_index)")))
+def embedding_bonus(spark, sf):
+    """The bonus of all that retrieval hands on and of judged postings, 0 without a similarity."""
+    judged = X.table(spark, sf, "labels").selectExpr(
+        "doc_id AS row_index", "concat('p', CAST(doc_id % 4 + 1 AS STRING)) AS profile_id")
+    return _candidates(spark, sf).join(judged, ["profile_id", "row_index"], "full").select(
+        *KEYS, C.embedding_bonus(F.col("embedding_similarity")).alias("bonus"))
+
+
 @query("join_candidates", S.with_(S.JOBS0, _PQ, _SIMS, _CAND, select=(
     "SELECT c.profile_id, c.row_index, j.title, c.embedding_similarity FROM cand c JOIN jobs0 j USING "
     "(row_index)")))
