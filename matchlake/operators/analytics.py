@@ -10,7 +10,7 @@ from matchlake.functions.location import analytics_location
 from matchlake.functions.salary import salary_annual, salary_band
 from matchlake.functions.text import (TermIndex, any_term, contains_any, coverage_term,
                                       norm_coverage, plain_term, strip, text_or_empty)
-from matchlake.operators.order import top_k, values_at
+from matchlake.operators.order import scratch_path, top_k, values_at
 from matchlake.operators.signals import role_flags
 
 
@@ -57,9 +57,13 @@ def salary_histogram(jobs: DataFrame) -> DataFrame:
 def salary_stats(jobs: DataFrame) -> DataFrame:
     """Known and unknown counts and the statistics of known annual salaries.
 
-    The exact median comes from counts by value and the partitions around the middle.
+    The exact median comes from counts by value and the partitions around the middle.  Salaries
+    are read once and written as one narrow column.
     """
-    annual = jobs.select(salary_annual(_salary_column(jobs)).alias("a"))
+    annual, path = jobs.select(salary_annual(_salary_column(jobs)).alias("a")), \
+        scratch_path(jobs.sparkSession, "salaries")
+    annual.write.parquet(path)
+    annual = jobs.sparkSession.read.schema(annual.schema).parquet(path)
     middle = values_at(annual.where("a IS NOT NULL"), "a", lambda n: ((n - 1) // 2, n // 2))
     return annual.agg(
         F.count("a").alias("known_salary_count"),
