@@ -186,14 +186,66 @@ def test_exact_groups(spark):
     assert left.columns == rows.columns and left.count() == 4
 
 
+def directory_of(values, capacity):
+    """The shortest prefix of every hash that is not overfull, one bit after another."""
+    buckets, waiting = {}, [(0, 0, sorted(v % 2 ** 64 for v in values))]
+    while waiting:
+        depth, prefix, inside = waiting.pop()
+        if len(inside) <= capacity:
+            buckets[depth, prefix] = len(inside)
+            continue
+        for side in (0, 1):
+            half = [v for v in inside if v >> 63 - depth & 1 == side]
+            if half:
+                waiting.append((depth + 1, 2 * prefix + side, half))
+    return buckets
+
+
 def test_directory_doubles_until_buckets_fit(spark):
-    hashes = spark.range(4_000).select(F.xxhash64("id").alias("h"))
-    cells, depth = exact_dedup.directory(hashes, capacity=300)
-    loads = hashes.withColumn("cell", F.shiftrightunsigned("h", 64 - depth).cast("int")) \
-        .join(cells, "cell").groupBy("bucket", "local_depth").count().collect()
-    assert sum(r["count"] for r in loads) == 4_000
-    assert max(r["count"] for r in loads) <= 300
-    assert len({r["bucket"] for r in loads}) == len(loads)
+    even = [r["h"] for r in spark.range(3_000).select(F.xxhash64("id").alias("h")).collect()]
+    near = [(1 << 62) + k for k in range(40)] + [-k for k in range(1, 30)]
+    for values, capacity in ((even, 300), (even + near, 7), (near, 1), (even[:5], 300)):
+        hashes = spark.createDataFrame([(v,) for v in values], "h long")
+        found = exact_dedup.directory(hashes, capacity, doublings=16).collect()
+        assert {(r["local_depth"], r["prefix"] % 2 ** 64): r["load"] for r in found} == \
+            directory_of(values, capacity)
+        assert len(found) == len({(r["local_depth"], r["prefix"]) for r in found})
+
+
+@pytest.mark.parametrize("hashed", [lambda t: F.lit(5), lambda t: F.length(t) - 3, F.xxhash64])
+def test_collisions_are_chained_and_told_by_bytes(spark, hashed):
+    """All texts in one hash, some in one hash, none; a third of the rows holds one text."""
+    draw = random.Random(3)
+    texts = ["hot"] * 60 + [draw.choice(["a", "b", "ab", "ba", "abc", "é", "", None, "b "])
+                            for _ in range(120)]
+    draw.shuffle(texts)
+    found = {r["doc_id"]: r for r in exact_dedup.exact_groups(
+        documents(spark, texts), capacity=1, hashed=hashed).collect()}
+    assert len(found) == len(texts)
+    plain = [t or "" for t in texts]
+    for i, t in enumerate(plain):
+        same = [k for k, u in enumerate(plain) if u == t]
+        assert (found[i]["keep_id"], found[i]["group_size"], found[i]["kept"]) == \
+            (max(same), len(same), i == max(same))
+        assert found[i]["text_sha256"] == hashlib.sha256(t.encode()).hexdigest()
+
+
+def test_rows_find_their_group_through_the_index(spark):
+    """Without the directory there is no answer; the buckets of all pages are in it."""
+    rows = documents(spark, [f"text {i % 40}" for i in range(100)]) \
+        .select("doc_id", F.xxhash64("text").alias("h"), F.col("text").alias("t"),
+                F.sha2("text", 256).alias("sha"))
+    entries = rows.select("doc_id", "h", "sha")
+    index = exact_dedup.build_index(rows, rows.select("h").distinct(), 100, capacity=3)
+    pages = spark.read.parquet(index.pages)
+    buckets = spark.read.parquet(index.directory)
+    assert pages.count() == 40 and buckets.agg(F.sum("load")).first()[0] == 40
+    assert pages.join(buckets, ["local_depth", "prefix", "owner"]).count() == 40
+    assert index.found(entries, rows).count() == 100
+    lost = exact_dedup.Index(index.directory + "-none", index.pages, index.overflow,
+                             index.owners, index.rows)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        lost.found(entries, rows)
 
 
 def brute_repeats(texts, window=20):
