@@ -1,14 +1,15 @@
 """Packing of token sequences: first-fit decreasing in randomised groups of documents.
 
-Documents are dealt into groups by a hash of their id; a group is packed by itself, so groups
-run side by side and a group's size does not grow with the table.  In a group every document is
+Documents are dealt into groups by a hash of their id and text; a group is packed by itself, so
+groups run side by side and a group's size does not grow with the table, also where a third of the
+rows has no id or the same one (only rows equal in both always meet).  In a group every document is
 cut into full sequences and a remainder; remainders are placed by decreasing length into the
 first bin with room, found in a tournament tree over the bins' free space.  Because documents may
 be cut anywhere, the emptiest bins then fill the gaps of the others, and the one bin left over is
 cut into sequences whose sizes are powers of two, which need no padding.
 
-Nulls and repeats: a null or empty text has the end id alone; rows with a null id form one
-document stream like any other (they share a group); repeated rows are packed once each.
+Nulls and repeats: a null or empty text has the end id alone; rows with a null or
+repeated id are documents like any other; repeated rows are packed once each.
 Columns other than id and text are ignored.
 """
 
@@ -124,7 +125,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = CONTE
          group_docs: int = GROUP_DOCS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece of a document: where its ids lie, their crc32, and its sequence."""
     groups = max(1, math.ceil(docs.count() / group_docs))
-    group = F.pmod(F.xxhash64(F.col(key).cast("long"), F.lit("packing")), F.lit(groups))
+    group = F.pmod(F.xxhash64(F.col(key).cast("long"), whole_text(text), F.lit("packing")), F.lit(groups))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run, end = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()

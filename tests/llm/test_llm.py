@@ -176,6 +176,21 @@ def test_packing(spark, small):
     assert sum(packing.padded(n, 64) for n in fill.values()) == sum(fill.values())
 
 
+def test_packing_without_ids(spark):
+    """A third of the rows has no id, a third one id: dealt over groups, each row whole."""
+    texts = [f"text {i} " * (1 + i % 30) for i in range(240)]
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, t) for i, t in enumerate(texts)]
+    pieces = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), WORDS,
+                          group_docs=20).collect()
+    for key in (None, 7):
+        groups = Counter(r["sequence_id"] >> 32 for r in pieces if r["doc_id"] == key)
+        assert len(groups) > 8
+        lengths = sorted(len(ids_of(WORDS, t)) + 1 for k, t in rows if k == key)
+        assert sum(r["length"] for r in pieces if r["doc_id"] == key) == sum(lengths)
+        assert sorted(r["doc_tokens"] for r in pieces if r["doc_id"] == key and r["start"] == 0) \
+            == lengths
+
+
 def test_exact_groups(spark):
     rows = documents(spark, ["a", "b", "a", None, "", "a", "c"])
     found = {r["doc_id"]: r for r in exact_dedup.exact_groups(rows, capacity=1).collect()}
