@@ -9,10 +9,13 @@ collections of one family: 0.15 ^ 7 + (1 - 0.85 ^ 2) ^ 10, about 4 in a million.
 2. Classes that share a table key are bucket mates.  Rounds compare each with a random mate of
    every bucket, two at most each, and join what is confirmed into components, so a bucket of
    very many near copies shrinks to few components without listing its pairs.
-3. The last pass takes every pair of mates that are still in different components, once, in the
-   first table they share: no link is lost, and none is needed between documents that are connected
-   already.  Shingles that no other of these documents has bound what two sets can share, which
-   rules out, exactly, copies with too many changes of their own to be linked with any other.
+3. The last pass looks at buckets whose classes are still in different components; buckets that
+   share a class form a cluster.  Every set is stated by what it adds to and lacks of the shingles
+   that most of its cluster has.  Sets that lie near those are linked, by the triangle inequality,
+   with the one that lies nearest, without a pair.  Any other link must have several of these
+   differences in common, so pairs are taken from a join on the rarest differences of each set, as
+   many as a link cannot all miss (prefix filter).  No link is lost, and very many copies with
+   changes of their own are not compared with each other: they share no rare difference.
 
 Before sets are compared, pairs must agree in size and in enough minhashes: four bits of each are
 kept, and a linked pair differs in more than ``differing`` of them less than once in ten million.
@@ -145,22 +148,6 @@ def _may_link(x: str, y: str, near: Near) -> Column:
         _differing(x, y) <= near.differing)
 
 
-def _can_share(x: str, y: str, near: Near) -> Column:
-    """The largest intersection and the smallest union that lone shingles leave are near."""
-    n, m, u, v = (F.col(c) for c in (f"{x}.n", f"{y}.n", f"{x}.lone", f"{y}.lone"))
-    return 100 * F.least(n - u, m - v) >= near.percent * F.greatest(n + v, m + u)
-
-
-def _first_table(x: str, y: str, near: Near) -> Column:
-    """No earlier collection of either family is shared: a pair is taken in one table only."""
-    earlier = F.lit(False)
-    for place, family, (_, count) in (("i", "a", near.first), ("j", "b", near.second)):
-        for k in range(count):
-            earlier = earlier | ((F.col(f"{x}.{place}") > k) & (
-                F.col(f"{x}.{family}")[k] == F.col(f"{y}.{family}")[k]))
-    return ~earlier
-
-
 def _mates(classes: DataFrame) -> DataFrame:
     """(key, rep) of every class in every table whose key another class has too.
 
@@ -225,6 +212,101 @@ def _lone_shingles(sets: DataFrame) -> DataFrame:
         .where("m = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("lone"))
 
 
+def _clusters(mixed: DataFrame) -> DataFrame:
+    """(rep, cluster) of the classes in ``mixed`` (key, rep): keys that share a class are together."""
+    first = mixed.groupBy("key").agg(F.min("rep").alias("a"))
+    edges = mixed.join(first, "key").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+    return components(edges).select(F.col("id").alias("rep"), F.col("comp").alias("cluster"))
+
+
+def _differences(sets: DataFrame, total: int, near: Near) -> DataFrame:
+    """(rep, cluster, d, w) of ``sets`` (rep, cluster, shingles), ``total`` rows.
+
+    ``d`` has the shingles that a set adds to or lacks of those that more than half of its cluster
+    has; these are at most twice as many as a mean set of the cluster has.  Sets x and y with o
+    common differences are near exactly if w(x) + w(y) <= 2 * (100 + percent) * o.
+    """
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cluster, data in zip(batch.column("cluster").to_pylist(),
+                                     batch.column("shingles").to_pylist()):
+                flat = np.frombuffer(data, np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(flat), cluster)), pa.array(flat)], names=["cluster", "s"])
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            d, w = [], []
+            for data, common in zip(batch.column("shingles").to_pylist(), batch.column("common")):
+                own = np.frombuffer(data, np.int64)
+                shared = np.empty(0, np.int64) if not common.is_valid else common.values.to_numpy()
+                d.append(np.setxor1d(own, shared, assume_unique=True))
+                w.append((100 + near.percent) * len(d[-1]) - (100 - near.percent) * len(own))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("rep"), batch.column("cluster"), pa.array(d, pa.list_(pa.int64())),
+                 pa.array(w, pa.int64())], names=["rep", "cluster", "d", "w"])
+
+    sizes = stored(sets.groupBy("cluster").agg(F.count(F.lit(1)).alias("members")), "near-clusters")
+    counts = sets.select("cluster", "shingles").mapInArrow(shingles, "cluster long, s long") \
+        .groupBy("cluster", "s").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    common = with_groups(counts, sizes, ["cluster"], "members", total).where("2 * m > members") \
+        .groupBy("cluster").agg(F.collect_list("s").alias("common"))
+    common = stored(sizes.join(common, "cluster", "left"), "near-common")
+    return stored(with_groups(sets, common, ["cluster"], "members", total)
+                  .select("rep", "cluster", "shingles", "common")
+                  .mapInArrow(differ, "rep long, cluster long, d array<long>, w long"),
+                  "near-differences")
+
+
+def _placed(differences: DataFrame, total: int) -> DataFrame:
+    """``differences`` with the lowest ``w`` of their cluster, ``least``, and its rep, ``star``."""
+    best = differences.groupBy("cluster").agg(F.min(F.struct("w", "rep")).alias("best"),
+                                              F.count(F.lit(1)).alias("members"))
+    best = stored(best.select("cluster", F.col("best.w").alias("least"),
+                              F.col("best.rep").alias("star"), "members"), "near-stars")
+    return with_groups(differences, best, ["cluster"], "members", total)
+
+
+def _star_links(placed: DataFrame) -> DataFrame:
+    """Links (a, b) that the distances to the majority prove: all of a cluster with its star.
+
+    Two sets with w(x) + w(y) <= 0 are near whatever they share; both are then linked with the star.
+    """
+    return placed.where("rep <> star AND w + least <= 0") \
+        .select(F.col("star").alias("a"), F.col("rep").alias("b"))
+
+
+def _sharing_pairs(placed: DataFrame, now: DataFrame, near: Near) -> DataFrame:
+    """Pairs (a, b) of different components that share a rare difference, once each.
+
+    After the star links a pair that matters has w(x) + w(y) > 0, so it needs common differences.
+    ``need`` is the least number for any partner: one outside the star's component if the set
+    itself is inside.  Differences are ordered by the number of sets of the cluster that have them;
+    two sets with ``need`` in common meet within all but the last ``need - 1`` of each.
+    """
+    step = 2 * (100 + near.percent)
+    partner = F.when(F.col("w") + F.col("least") <= 0, 1 - F.col("least")).otherwise(F.col("least"))
+    able = placed.withColumn("need", F.greatest(
+        F.lit(1), F.ceil((F.col("w") + partner) / F.lit(step)))).where("need <= size(d)")
+    rows = stored(able.select("rep", "cluster", "w", "need", F.explode("d").alias("e")), "near-able")
+    often = stored(rows.groupBy("cluster", "e").agg(F.count(F.lit(1)).alias("often"))
+                   .where("often > 1"), "near-often")
+    of_rep = Window.partitionBy("rep")
+    prefix = with_groups(rows, often, ["cluster", "e"], "often", rows.count()) \
+        .where("often IS NOT NULL") \
+        .withColumn("place", F.row_number().over(of_rep.orderBy("often", "e"))) \
+        .withColumn("after", F.count(F.lit(1)).over(of_rep) - F.col("place")) \
+        .where("after >= need - 1").select("rep", "cluster", "e", "w", "after")
+    known = stored(prefix.join(now.select("rep", "comp", "n", "s1", "s2"), "rep"), "near-prefix")
+    # at their first common difference, what follows in both has the rest of what they share
+    enough = F.col("x.w") + F.col("y.w") <= step * (1 + F.least("x.after", "y.after"))
+    return known.alias("x").join(
+        known.alias("y"), (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.e") == F.col("y.e"))
+        & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp")) & enough
+        & _may_link("x", "y", near)) \
+        .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+
+
 def near_components(docs: DataFrame, near: Near = QUERY, key: str = "doc_id",
                     text: str = "text") -> DataFrame:
     """Per row of ``docs``: key, n_shingles, component_id and kept."""
@@ -247,9 +329,9 @@ def near_components(docs: DataFrame, near: Near = QUERY, key: str = "doc_id",
         return traits.join(labels.withColumnRenamed("id", "rep"), "rep", "left") \
             .withColumn("comp", F.coalesce("comp", "rep"))
 
-    def linked(pairs: DataFrame, name: str) -> bool:
+    def linked(pairs: DataFrame) -> bool:
         nonlocal links, labels
-        found = stored(_confirmed(pairs, sets, near), name)
+        found = stored(pairs, "near-links")
         if found.isEmpty():
             return False
         links = found if links is None else links.unionByName(found)
@@ -268,7 +350,7 @@ def near_components(docs: DataFrame, near: Near = QUERY, key: str = "doc_id",
         nearest = Window.partitionBy("rep").orderBy("far", "pivot")
         pairs = pairs.withColumn("place", F.row_number().over(nearest)).where(f"place <= {MATES}") \
             .select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
-        if not linked(pairs, "near-links"):
+        if not linked(_confirmed(pairs, sets, near)):
             break
     now = stored(labelled(), "near-labelled")
     known = mates.join(now.select("rep", "comp"), "rep")
@@ -278,13 +360,18 @@ def near_components(docs: DataFrame, near: Near = QUERY, key: str = "doc_id",
     lone = _lone_shingles(sets.join(mixed.select("rep").distinct(), "rep", "left_semi"))
     able = now.join(lone, "rep", "left").withColumn("lone", F.coalesce("lone", F.lit(0))) \
         .where(100 * (F.col("n") - F.col("lone")) >= near.percent * F.col("n"))
-    known = stored(mixed.join(able, "rep"), "near-able")
-    pairs = known.alias("x").join(
-        known.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep"))
-        & (F.col("x.comp") != F.col("y.comp")) & _can_share("x", "y", near)
-        & _may_link("x", "y", near) & _first_table("x", "y", near)) \
-        .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    linked(pairs, "near-links")
+    known = stored(mixed.join(able.select("rep", "comp"), "rep"), "near-known")
+    mixed = known.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")) \
+        .where("low < high").select("key")
+    clusters = _clusters(stored(known.join(mixed, "key", "left_semi").select("key", "rep"),
+                                "near-buckets"))
+    grouped = stored(sets.join(clusters, "rep"), "near-grouped")
+    total = grouped.count()
+    if total:
+        placed = stored(_placed(_differences(grouped, total, near), total), "near-placed")
+        linked(_star_links(placed))
+        now = stored(labelled(), "near-labelled")
+        linked(_confirmed(_sharing_pairs(placed, now, near), sets, near))
 
     if labels is not None:
         classes = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
