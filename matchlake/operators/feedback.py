@@ -13,10 +13,9 @@ from pyspark.sql import functions as F
 from matchlake import vocab as V
 from matchlake.functions.text import comma_values, strip, text_or_empty, title_terms
 from matchlake.functions.vectors import round2
-from matchlake.operators.order import top_k
-from matchlake.operators.ranking import rerank
+from matchlake.operators.order import stored, top_k
+from matchlake.operators.ranking import JOB_KEY, rerank
 
-JOB_KEY = ("title", "company", "location")
 RECORD_FIELDS = (
     "profile_id", "feedback_round", "title", "company", "location", "role_family_inferred",
     "company_size_inferred", "matched_skills", "employment_type_inferred",
@@ -175,8 +174,12 @@ def adjustment(prefs: Column) -> Column:
 
 
 def feedback_adjustment(ranked: DataFrame, prefs: DataFrame) -> DataFrame:
-    """Ranked postings with adjustment, reason and adjusted score."""
-    df = ranked.join(preference_maps(prefs), "profile_id", "left") \
+    """Ranked postings with adjustment, reason and adjusted score.
+
+    The maps are stored, one row per profile: few are broadcast then, and postings are not
+    dealt to as many tasks as there are profiles.
+    """
+    df = ranked.join(stored(preference_maps(prefs), "preferences"), "profile_id", "left") \
         .withColumn("_a", adjustment(F.col("_prefs")))
     return df.withColumns({
         "feedback_adjustment_score": F.coalesce(F.col("_a.points"), F.lit(0)),

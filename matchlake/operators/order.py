@@ -40,6 +40,13 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as a compressed table, whose size Spark then knows."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 # --- row numbers ------------------------------------------------------------------
 
 def number_rows(df: DataFrame, name: str = "row_index") -> DataFrame:
@@ -61,9 +68,7 @@ def number_rows(df: DataFrame, name: str = "row_index") -> DataFrame:
         .join(before_file, "_file") \
         .select(*split, "_first", (F.coalesce("_base", F.lit(0)) + F.col("_inside")).alias("_offset"))
     # one row per split, written so that Spark knows its size and broadcasts it only if small
-    path = scratch_path(df.sparkSession, "offsets")
-    offsets.write.parquet(path)
-    offsets = df.sparkSession.read.schema(offsets.schema).parquet(path)
+    offsets = stored(offsets, "offsets")
     return df.join(offsets, split) \
         .withColumn(name, F.col("_offset") + F.col("_at") - F.col("_first")) \
         .drop("_file", "_block", "_at", "_first", "_offset")
@@ -186,22 +191,22 @@ def rank_all(df: DataFrame, group: Sequence[str], order: Sequence[Column],
     Rows are written once, so that sampling the ranges does not compute them again, and
     range-partitioned on (group, order); a row's rank is its place in its partition plus the
     rows of its group in earlier partitions.  ``order`` must end in a unique column.
+    All columns of ``df`` are written and moved: leave out texts that are not needed.
     """
-    group, path = list(group), scratch_path(df.sparkSession, "unranked")
-    df.write.parquet(path)
-    df = df.sparkSession.read.schema(df.schema).parquet(path)
+    group = list(group)
+    df = stored(df, "unranked")
     keys = [F.col(g) for g in group] + list(order)
-    placed = materialise(
+    placed = stored(
         df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-        .withColumn("_at", F.monotonically_increasing_id())) \
+        .withColumn("_at", F.monotonically_increasing_id()), "placed") \
         .withColumn("_part", F.shiftright("_at", 33))
     heads = placed.groupBy(*group, "_part").agg(
         F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
     before = Window.partitionBy(*group).orderBy("_part") \
         .rowsBetween(Window.unboundedPreceding, -1)
-    # at most one row per partition and per group
-    offsets = heads.select(*group, "_part", "_first",
-                           F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    # at most one row per partition and per group; stored, so that placed rows stay where they are
+    offsets = stored(heads.select(*group, "_part", "_first", F.coalesce(
+        F.sum("_n").over(before), F.lit(0)).alias("_offset")), "offsets")
     return placed.join(offsets, [*group, "_part"]) \
         .withColumn(rank, (F.col("_offset") + F.col("_at") - F.col("_first") + 1).cast("int")) \
         .drop("_at", "_part", "_first", "_offset")
