@@ -17,6 +17,9 @@ from matchlake.functions.text import (LINE_BREAK, WHITESPACE, clean_ws, contains
                                       dictionary_sql, let, norm_search,
                                       split_keywords, string_array, strip, text_or_empty)
 
+# all but a-z and the blank, and all but what headings consist of, as plain ranges
+NO_LETTER = r"[\x00-\x1f!-`{-\x{10FFFF}]+"
+NO_HEADING = r"[\x00-\x1f!-*,.:-`{-\x{10FFFF}]+"
 _PERSONA = r"(?iU)^persona(?:\s+\d+)?\b"
 
 
@@ -35,11 +38,16 @@ def stripped_lines(text: Column) -> Column:
 
 
 def _no_colons(c: Column) -> Column:
-    return F.regexp_replace(c, ":+$", "")
+    return F.rtrim(c, F.lit(":"))
 
 
 def _trim_marks(c: Column) -> Column:
-    return F.regexp_replace(c, "^[ \\-•\t]+|[ \\-•\t]+$", "")
+    return F.btrim(c, F.lit(" -•\t"))
+
+
+def _is_persona(c: Column) -> Column:
+    # the pattern is only tried on lines that can match
+    return (c.startswith("p") | c.startswith("P")) & c.rlike(_PERSONA)
 
 
 def _before_colon(c: Column) -> Column:
@@ -84,12 +92,14 @@ def sections(line_array: Column, heading: Callable[[Column], Column],
 
 def preview_heading(line: Column) -> Column:
     """Known heading that a line starts with, longest first; NULL when none."""
-    normal = F.trim(F.regexp_replace(F.lower(line), "[^a-z ]+", ""))
-    found = F.lit(None).cast("string")
-    for name in sorted(V.PREVIEW_HEADINGS, key=len):
-        low = name.lower()
-        found = F.when((normal == low) | normal.startswith(low + " "), name).otherwise(found)
-    return found
+    def of(normal: Column) -> Column:
+        found = F.lit(None).cast("string")
+        for name in sorted(V.PREVIEW_HEADINGS, key=len):
+            low = name.lower()
+            found = F.when((normal == low) | normal.startswith(low + " "), name).otherwise(found)
+        return found
+
+    return let(F.trim(F.regexp_replace(F.lower(line), NO_LETTER, "")), of)
 
 
 def without_heading(line: Column, heading: Column) -> Column:
@@ -123,8 +133,8 @@ def first_section(section_map: Column, headings: Sequence[str]) -> Column:
 # --- semantic text -------------------------------------------------------------------
 
 def _normal_heading(line: Column) -> Column:
-    kept = F.regexp_replace(F.lower(_no_colons(strip(line))), "[^a-z0-9 /+-]+", "")
-    return F.trim(F.regexp_replace(kept, r"\s+", " "))
+    kept = F.regexp_replace(F.lower(_no_colons(strip(line))), NO_HEADING, "")
+    return F.trim(F.regexp_replace(kept, " +", " "))
 
 
 _SEMANTIC_HEADINGS = V.SEMANTIC_SECTIONS + V.SEMANTIC_EXCLUDED
@@ -132,27 +142,30 @@ _SEMANTIC_HEADINGS = V.SEMANTIC_SECTIONS + V.SEMANTIC_EXCLUDED
 
 def inline_heading(line: Column) -> Column:
     """Known heading in front of the first colon, else NULL."""
-    name = _normal_heading(_before_colon(line))
-    return F.when(line.contains(":") & name.isin(list(_SEMANTIC_HEADINGS)), name)
+    return F.when(line.contains(":"), let(
+        _normal_heading(_before_colon(line)),
+        lambda name: F.when(name.isin(list(_SEMANTIC_HEADINGS)), name)))
 
 
 def line_heading(line: Column) -> Column:
     """Heading of a line: known, in front of a colon, or short and ending in ':'."""
-    name = _normal_heading(line)
-    short = (F.length(strip(line)) <= 40) & strip(line).endswith(":")
-    return F.coalesce(inline_heading(line),
-                      F.when(name.isin(list(_SEMANTIC_HEADINGS)) | short, name))
+    return F.coalesce(inline_heading(line), let(_normal_heading(line), lambda name: F.when(
+        name.isin(list(_SEMANTIC_HEADINGS)) | _short_heading(line), name)))
+
+
+def _short_heading(line: Column) -> Column:
+    return let(strip(line), lambda own: own.endswith(":") & (F.length(own) <= 40))
 
 
 def is_heading(line: Column) -> Column:
-    name = _normal_heading(line)
-    return name.isin(list(_SEMANTIC_HEADINGS)) \
-        | ((F.length(strip(line)) <= 40) & strip(line).endswith(":"))
+    return _normal_heading(line).isin(list(_SEMANTIC_HEADINGS)) | _short_heading(line)
 
 
 def negative_line(line: Column) -> Column:
     start = F.regexp_replace(strip(F.lower(line)), "^[^a-z0-9]+", "")
-    return start.rlike("(?U)^(?:" + "|".join(V.NEGATIVE_LINE_STARTS) + ")")
+    # all these starts begin with "no"
+    return let(start, lambda s: s.startswith("no") & s.rlike(
+        "(?U)^(?:" + "|".join(V.NEGATIVE_LINE_STARTS) + ")"))
 
 
 def semantic_text(text: Column) -> Column:
@@ -203,15 +216,14 @@ def evidence_lines_of(text: Column) -> Column:
     known = list(V.EVIDENCE_SECTIONS)
 
     def heading(x: Column) -> Column:
-        head = F.lower(strip(_before_colon(x)))
-        whole = F.lower(strip(_no_colons(x)))
-        return F.when(x.contains(":") & head.isin(known), head) \
-            .when(whole.isin(known), whole)
+        head = let(F.lower(strip(_before_colon(x))), lambda h: F.when(h.isin(known), h))
+        whole = let(F.lower(strip(_no_colons(x))), lambda w: F.when(w.isin(known), w))
+        return F.coalesce(F.when(x.contains(":"), head), whole)
 
     def content(x: Column, _h: Column) -> Column:
         return F.when(x.contains(":"), strip(_after_colon(x))).otherwise("")
 
-    kept_lines = F.filter(lines(text), lambda x: ~x.rlike(_PERSONA))
+    kept_lines = F.filter(lines(text), lambda x: ~_is_persona(x))
     parts = F.filter(sections(kept_lines, heading, content),
                      lambda s: ~s["heading"].isin(list(V.EVIDENCE_EXCLUDED)))
     return F.flatten(F.transform(parts, lambda s: F.concat(
@@ -242,17 +254,15 @@ def _background_of(every: Column) -> Column:
     labelled = [h for h in V.BACKGROUND_EXCLUDED if h != "background"]
 
     def heading(x: Column) -> Column:
-        n = normal(x)
-        starts_label = n.rlike("^(?:" + "|".join(labelled) + "):")
-        return F.when(n.isin(list(V.BACKGROUND_HEADINGS)), n) \
-            .when(starts_label, "label") \
-            .when(n.startswith("background:"), "background")
+        return let(normal(x), lambda n: F.when(n.isin(list(V.BACKGROUND_HEADINGS)), n)
+                   .when(n.contains(":") & n.rlike("^(?:" + "|".join(labelled) + "):"), "label")
+                   .when(n.startswith("background:"), "background"))
 
     def content(x: Column, _h: Column) -> Column:
         return F.when(normal(x).startswith("background:"),
                       strip(_after_colon(x))).otherwise("")
 
-    body = F.filter(every, lambda x: ~x.rlike(_PERSONA))
+    body = F.filter(every, lambda x: ~_is_persona(x))
     parts = F.filter(sections(body, heading, content),
                      lambda s: s["heading"].isin("background", "summary"))
     # a line given right behind "Background:" does not stop the search at three
@@ -260,7 +270,7 @@ def _background_of(every: Column) -> Column:
     patterns = "(?iU)" + "|".join(V.BACKGROUND_EVIDENCE)
     from_patterns = F.slice(F.filter(
         F.slice(every, 2, 19),
-        lambda x: ~normal(x).isin(list(V.BACKGROUND_EXCLUDED)) & ~x.rlike(_PERSONA)
+        lambda x: ~normal(x).isin(list(V.BACKGROUND_EXCLUDED)) & ~_is_persona(x)
         & x.rlike(patterns)), 1, 3)
 
     def unique(cleaned: Column) -> Column:
@@ -310,7 +320,7 @@ def clean_name(name: Column) -> Column:
     pieces = F.filter(F.transform(F.split(original, r" +(?:—|–|-) +"), lambda p: F.trim(p)),
                       lambda p: p != "")
     return F.when(F.lower(original).isin("", "unknown", "nan", "none"), V.NAME_FALLBACK) \
-        .when(original.rlike(_PERSONA) & (F.size(pieces) >= 2), F.get(pieces, 1)) \
+        .when(_is_persona(original) & (F.size(pieces) >= 2), F.get(pieces, 1)) \
         .otherwise(original)
 
 
@@ -327,7 +337,7 @@ def action_lines(text: Column, name: Column, background_text: Column, skills: Co
         parts = F.filter(F.transform(F.split(x, ","), lambda p: F.lower(strip(p))),
                          lambda p: p != "")
         listed = F.size(F.filter(parts, lambda p: F.array_contains(known, p)))
-        return (x == "") | x.rlike(_PERSONA) | low.isin(labels) | label_start \
+        return (x == "") | _is_persona(x) | low.isin(labels) | label_start \
             | (low == low_name) \
             | ((low_background != "") & F.contains(low_background, low)) \
             | ((F.size(parts) >= 2) & (listed >= 2))
@@ -346,17 +356,46 @@ def evidence_lines(actions: Column, keywords: Column, limit: int = 4) -> Column:
 
 # --- preview --------------------------------------------------------------------------------
 
-def preview(text: Column, max_chars: int = 1_500) -> Column:
-    """Tidy text with every known heading on its own line, trimmed to a length."""
+def _break_names() -> list[str]:
+    """Headings that get a line of their own.
+
+    Headings are set apart in the order of their list, so one that holds an earlier one behind
+    its first word is parted by that one and found no more.
+    """
+    names = [n.lower() for n in V.PREVIEW_HEADINGS]
+    return [n for i, n in enumerate(names)
+            if not any(n.endswith(" " + m) or f" {m} " in n for m in names[:i])]
+
+
+def _before_headings() -> str:
+    """Place in front of a heading that does not begin a line, for all headings in one pass.
+
+    First letters are compared before anything else; the long s is the only other character
+    that is equal to one of them whatever the case.
+    """
+    names = _break_names()
+    first = "".join(sorted({c for n in names for c in (n[0], n[0].upper())}))
+    return rf"(?=[{first}\u017f])(?<!\n)(?iU:(?=\b(?:{'|'.join(names)})\b))"
+
+
+def tidy(text: Column) -> Column:
+    """Text without empty lines, with every known heading on its own line."""
     t = F.regexp_replace(text_or_empty(text), r"\r\n?", "\n")
     t = F.regexp_replace(t, r"[ \t]+", " ")
     t = F.regexp_replace(t, r"(?U)\n\s*\n+", "\n\n")
-    for name in V.PREVIEW_HEADINGS:
-        t = F.regexp_replace(t, rf"(?iU)(?<!\n)(\b{name}\b\s*:?)", "\n\n$1")
-    kept = F.filter(F.transform(raw_lines(t), strip), lambda x: x != "")
-    return let(F.array_join(kept, "\n"), lambda t: F.when(F.length(t) > max_chars, F.concat(
-        F.regexp_replace(F.substring(t, 1, max_chars), f"{WHITESPACE}\\z", ""),
-        F.lit("\n\n[Preview trimmed]"))).otherwise(t))
+    t = F.regexp_replace(t, _before_headings(), "\n\n")
+    return F.array_join(F.filter(F.transform(raw_lines(t), strip), lambda x: x != ""), "\n")
+
+
+def cut_preview(tidied: Column, max_chars: int = 1_500) -> Column:
+    return F.when(F.length(tidied) > max_chars, F.concat(
+        F.regexp_replace(F.substring(tidied, 1, max_chars), f"{WHITESPACE}\\z", ""),
+        F.lit("\n\n[Preview trimmed]"))).otherwise(tidied)
+
+
+def preview(text: Column, max_chars: int = 1_500) -> Column:
+    """Tidy text with every known heading on its own line, trimmed to a length."""
+    return let(tidy(text), lambda t: cut_preview(t, max_chars))
 
 
 def trim_words(c: Column, limit: int) -> Column:

@@ -21,6 +21,10 @@ from pyspark.sql import functions as F
 # fixed value: the white space of Unicode text
 BLANKS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WHITESPACE = f"[{BLANKS}]+"
+#: The same characters, one by one.
+BLANK_CHARS = "".join(chr(i) for i in (
+    *range(0x09, 0x0e), *range(0x1c, 0x21), 0x85, 0xa0, 0x1680, *range(0x2000, 0x200b), 0x2028,
+    0x2029, 0x202f, 0x205f, 0x3000))
 # word edges, written out so that every JVM version reads them alike
 WORD_START = r"(?<![\p{L}\p{N}_])"
 WORD_END = r"(?![\p{L}\p{N}_])"
@@ -44,7 +48,7 @@ def clean_ws(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Remove white space at both ends only."""
-    return F.regexp_replace(c, rf"^[{BLANKS}]+|[{BLANKS}]+\z", "")
+    return F.btrim(c.cast("string"), F.lit(BLANK_CHARS))
 
 
 def sql_string(value: str) -> str:

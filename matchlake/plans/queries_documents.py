@@ -176,9 +176,11 @@ def doc_background(spark, sf):
 
 @query("doc_preview")
 def doc_preview(spark, sf):
-    df = X.resumes(spark, sf).select("doc_id", "text", D.preview(F.col("text"), 8_000).alias("cleaned"))
+    df = X.resumes(spark, sf).select("doc_id", D.tidy(F.col("text")).alias("tidy")).select(
+        "doc_id", D.cut_preview(F.col("tidy"), 8_000).alias("cleaned"),
+        D.cut_preview(F.col("tidy")).alias("preview"))
     df = df.withColumn("m", D.headed_sections(F.col("cleaned")))
-    return df.select("doc_id", D.preview(F.col("text")).alias("preview"), F.explode(
+    return df.select("doc_id", "preview", F.explode(
         D.preview_sections(F.col("m"), F.col("cleaned"))).alias("title", "body"))
 
 

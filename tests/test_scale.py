@@ -1,10 +1,15 @@
 """What full ranks, feedback and document queries move and compute, on rows made here."""
 
 import glob
+import re
 
 import pytest
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from matchlake import vocab as V
+from matchlake.functions import documents as D
+from matchlake.functions.text import BLANKS, strip
 from matchlake.operators import feedback as K
 from matchlake.operators import ranking as N
 from matchlake.operators.order import rank_all, shared_dir
@@ -54,3 +59,44 @@ def test_preferences_meet_postings_without_a_shuffle_by_profile(spark, scored, c
     assert "SortMergeJoin" not in plan and "hashpartitioning(profile_id" not in plan
     points = {(r.profile_id, r.feedback_adjustment_score) for r in out.collect()}
     assert points == {("p1", 8), ("p2", 0)}
+
+
+# --- documents ------------------------------------------------------------------------
+
+def step_by_step_preview(text: Column) -> Column:
+    """Headings set apart one after the other, each with a pass over the text."""
+    t = F.regexp_replace(F.col("text"), r"\r\n?", "\n")
+    t = F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r"(?U)\n\s*\n+", "\n\n")
+    for name in V.PREVIEW_HEADINGS:
+        t = F.regexp_replace(t, rf"(?iU)(?<!\n)(\b{name}\b\s*:?)", "\n\n$1")
+    kept = F.transform(D.raw_lines(t), lambda x: F.regexp_replace(
+        x, rf"^[{BLANKS}]+|[{BLANKS}]+\z", ""))
+    return F.array_join(F.filter(kept, lambda x: x != ""), "\n")
+
+
+def test_preview_is_one_pass_and_equal_to_one_pass_per_heading(spark, capsys):
+    words = ["Skills", "technical SKILLS", "work Experience:", "professional experience", "ſkills",
+             "Experience", "skillset", "reprofile", "Profile", "\n", " ", " \n \n", ":", "x", "é",
+             "Education\n", "projects", "Summary Objective", "certificationſ"]
+    texts = spark.range(400).select(F.concat_ws(" ", *[
+        F.element_at(F.array(*map(F.lit, words)), F.expr(f"cast(pmod(hash(id, {i}), {len(words)}) + 1 as int)"))
+        for i in range(12)]).alias("text"))
+    both = texts.select("text", D.tidy(F.col("text")).alias("a"), step_by_step_preview(F.col("text")).alias("b"))
+    assert both.where("a <> b OR a IS NULL OR b IS NULL").collect() == []
+    texts.select(D.tidy(F.col("text")).alias("t")).explain()
+    assert capsys.readouterr().out.lower().count("regexp_replace") <= 5
+
+
+def test_a_line_is_normalised_once_for_its_heading(spark, capsys):
+    texts = spark.createDataFrame([("Skills: a\nb\n Work  experience\nc",)], "text string")
+    sections = texts.select(D.headed_sections(F.col("text")).alias("m"))
+    assert sections.first().m == {"Skills": "a\nb"}
+    texts.select(D.preview_heading(F.col("text")).alias("h")).explain()
+    assert capsys.readouterr().out.lower().count("regexp_replace") == 1
+
+
+def test_strip_removes_every_kind_of_blank(spark):
+    blanks = [chr(i) for i in range(0x3001) if re.match(f"[{BLANKS}]", chr(i))]
+    rows = spark.createDataFrame([(b + "a" + b + "é " + b,) for b in blanks] + [("  ",), (None,)], "t string")
+    got = rows.select("t", strip(F.col("t")).alias("s")).collect()
+    assert all(r.s == (None if r.t is None else f"a{r.t[0]}é" if "a" in r.t else "") for r in got)
