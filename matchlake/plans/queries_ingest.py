@@ -472,11 +472,12 @@ def _ordered(spark, sf) -> tuple[str, DataFrame]:
 
 
 def _run_stream(spark, sf):
-    """The stored postings and the log of a stream of 500-row batches."""
+    """The stored postings and the log of a stream of 500-row batches, a backlog of them at a time."""
     path, rows = _ordered(spark, sf)
-    stream = paced_stream(spark, path, rows.schema, V.STREAM_BATCH_ROWS)
+    stream = paced_stream(spark, path, rows.schema, V.STREAM_BATCH_ROWS * SI.BACKLOG, position="_position")
     out, log = scratch_path(spark, "streamed"), scratch_path(spark, "log")
-    run_to_end(SI.stream_log(stream, out, log, scratch_path(spark, "state"), trigger=PACED))
+    run_to_end(SI.stream_log(stream, out, log, scratch_path(spark, "state"), trigger=PACED,
+                             position="_position", batch_rows=V.STREAM_BATCH_ROWS))
     return out, log
 
 
@@ -489,11 +490,12 @@ def stream_dedupe(spark, sf):
 @query("sink_stream", S.with_(KEYED, FIRSTS, select=(
     f"SELECT row_index, dedupe_key, md5({S.ws('text')}) AS description_md5 FROM firsts")))
 def sink_stream(spark, sf):
-    """Append sink with keyed state; batches of 700 rows."""
+    """Append sink with keyed state; batches of 700 rows, a backlog of them at a time."""
     path, rows = _ordered(spark, sf)
     out = scratch_path(spark, "streamed")
-    run_to_end(SI.stream_dedupe(paced_stream(spark, path, rows.schema, 700), out,
-                                scratch_path(spark, "state"), trigger=PACED))
+    stream = paced_stream(spark, path, rows.schema, 700 * SI.BACKLOG, position="_position")
+    run_to_end(SI.stream_dedupe(stream, out, scratch_path(spark, "state"), trigger=PACED,
+                                position="_position", batch_rows=700))
     return spark.read.parquet(out).select("row_index", "dedupe_key",
                                           F.md5("description").alias("description_md5"))
 

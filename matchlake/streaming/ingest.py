@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -16,7 +19,13 @@ from matchlake.operators.records import map_records
 from matchlake.sources.readers import ensure_columns
 
 
-LOG_ROW = "batch_id long, incoming_records long, kept_records long, duplicate_records long"
+#: So many batches that wait are taken at once: a trigger costs some seconds whatever its size.
+BACKLOG = 100
+
+
+def batch_number(position: str, batch_rows: int) -> Column:
+    """Number of the batch a row belongs to, by its place in the stream."""
+    return F.floor(F.col(position) / batch_rows).cast("long")
 
 
 def read_stream(spark: SparkSession, path: str, fmt: str, schema=None,
@@ -55,48 +64,62 @@ def postings_stream(spark: SparkSession, path: str, schema=None, **limits) -> Da
     return raw.na.fill("")
 
 
-def first_of_key(stream: DataFrame, key: str, order: str | None) -> DataFrame:
-    """(key, incoming, row): per key of a batch, its rows and, if the key is new, its first one.
+def first_of_key(stream: DataFrame, key: str, order: str | None, batch: Column | None = None
+                 ) -> DataFrame:
+    """(key, incoming, batch, row): per key its rows and, if the key is new, its first one.
 
-    Keys are kept in Spark's state store by their hash partition, so a batch looks up only its
-    own keys.  ``row`` is the row of smallest ``order`` as JSON, null for keys of earlier batches.
+    Keys are kept in Spark's state store by their hash partition, so a trigger looks up only its
+    own keys.  ``batch`` numbers the batches that a trigger takes at once, all are 0 without it;
+    ``incoming`` counts a key's rows by batch.  ``row`` is, as JSON, the row of smallest ``order``
+    in the first batch of the key, null for keys of earlier triggers.
     """
     at = F.col(order).cast("long") if order in stream.columns else F.lit(0).cast("long")
-    rows = stream.select(F.col(key).alias("key"), at.alias("at"),
-                         F.to_json(F.struct(*stream.columns), {"ignoreNullFields": "false"}).alias("row"))
+    rows = stream.select(
+        F.col(key).alias("key"), (F.lit(0).cast("long") if batch is None else batch).alias("batch"),
+        at.alias("at"), F.to_json(F.struct(*stream.columns), {"ignoreNullFields": "false"}).alias("row"))
 
     def first(name, chunks, state):
-        incoming, best = 0, None
+        incoming, best = Counter(), None
         for chunk in chunks:
-            incoming += len(chunk)
+            batches, places = chunk["batch"].to_numpy(), chunk["at"].to_numpy()
+            incoming.update(batches.tolist())
             if not state.exists:
-                k = int(chunk["at"].to_numpy().argmin())
-                one = (int(chunk["at"].iloc[k]), chunk["row"].iloc[k])
-                best = one if best is None or one[0] < best[0] else best
+                own = np.flatnonzero(batches == batches.min())
+                k = int(own[places[own].argmin()])
+                one = (int(batches[k]), int(places[k]), chunk["row"].iloc[k])
+                best = one if best is None or one[:2] < best[:2] else best
         if best is not None:
-            state.update((best[0],))
-        yield pd.DataFrame({"key": [name[0]], "incoming": [incoming],
-                            "row": [None if best is None else best[1]]})
+            state.update((best[1],))
+        yield pd.DataFrame({"key": [name[0]], "incoming": [dict(incoming)],
+                            "batch": pd.array([None if best is None else best[0]], "Int64"),
+                            "row": [None if best is None else best[2]]})
 
     return rows.groupBy("key").applyInPandasWithState(
-        first, "key string, incoming long, row string", "first long", "append", "NoTimeout")
+        first, "key string, incoming map<long,long>, batch long, row string", "first long", "append",
+        "NoTimeout")
 
 
 def unique_postings(stream: DataFrame, event_time: str | None = None,
-                    delay: str = "1 day", order: str = "row_index") -> DataFrame:
+                    delay: str = "1 day", order: str = "row_index", position: str | None = None,
+                    batch_rows: int = V.STREAM_BATCH_ROWS) -> DataFrame:
     """Cleaned postings, the first of every key over the whole stream.
 
+    With a ``position`` column a trigger may hold many batches of ``batch_rows`` rows; then the
+    first batch of a key decides before ``order`` does.
+
     Keys are kept for ever, as the batch result requires.  With an ``event_time``
     column the state is bounded: copies arriving more than ``delay`` apart are not
     recognised then, and any copy of a batch may be the one that stays.
     """
-    keep = (order,) + ((event_time,) if event_time else ())
+    keep = tuple(c for c in (order, event_time, position) if c)
     cleaned = clean_batch(ensure_columns(stream, V.RAW_FIELDS), keep)
     if event_time is not None:
         return cleaned.withWatermark(event_time, delay) \
             .dropDuplicatesWithinWatermark(["dedupe_key"])
-    found = first_of_key(cleaned, "dedupe_key", order).where("row IS NOT NULL")
-    return found.select(F.from_json("row", cleaned.schema).alias("row")).select("row.*")
+    batch = batch_number(position, batch_rows) if position else None
+    found = first_of_key(cleaned, "dedupe_key", order, batch).where("row IS NOT NULL")
+    rows = found.select(F.from_json("row", cleaned.schema).alias("row")).select("row.*")
+    return rows.drop(position) if position else rows
 
 
 def stream_dedupe(stream: DataFrame, output: str, checkpoint: str,
@@ -108,28 +131,40 @@ def stream_dedupe(stream: DataFrame, output: str, checkpoint: str,
 
 
 def stream_log(stream: DataFrame, output: str, log: str, checkpoint: str,
-               order: str = "row_index", trigger: dict | None = None) -> StreamingQuery:
-    """First-wins de-duplication that writes every micro-batch's postings and log row.
+               order: str = "row_index", trigger: dict | None = None, position: str | None = None,
+               batch_rows: int = V.STREAM_BATCH_ROWS) -> StreamingQuery:
+    """First-wins de-duplication that writes every batch's postings and log row.
 
     Of equal keys of a batch the row of smallest ``order`` stays, unless an earlier batch has the
-    key.  A batch's postings and its log row go under its number and are overwritten if the batch
-    is run again, so both are complete however many batches there are.  ``order`` may be missing:
-    then any row of the batch stays.
+    key.  A trigger is one batch; with a ``position`` column it may hold many of ``batch_rows``
+    rows, each with its own log row.  The postings and log rows of a trigger go under its number
+    and are overwritten if it is run again, so both are complete however many there are.
+    ``order`` may be missing: then any row of the batch stays.
     """
-    spark = stream.sparkSession
-    cleaned = clean_batch(ensure_columns(stream, V.RAW_FIELDS), (order,))
-
-    def store(batch: DataFrame, number: int) -> None:
-        counted = Observation()
-        batch.observe(counted, F.coalesce(F.sum("incoming"), F.lit(0)).alias("incoming"),
-                      F.count("row").alias("kept")) \
-            .where("row IS NOT NULL").select(F.from_json("row", cleaned.schema).alias("row")) \
-            .select("row.*").write.mode("overwrite").parquet(f"{output}/batch={number}")
-        incoming, kept = counted.get["incoming"], counted.get["kept"]
-        spark.createDataFrame([(number + 1, incoming, kept, incoming - kept)], LOG_ROW) \
-            .coalesce(1).write.mode("overwrite").parquet(f"{log}/batch={number}")
-
-    return first_of_key(cleaned, "dedupe_key", order).writeStream.foreachBatch(store) \
+    cleaned = clean_batch(ensure_columns(stream, V.RAW_FIELDS), tuple(c for c in (order, position) if c))
+    batch_of = batch_number(position, batch_rows) if position else None
+
+    def store(found: DataFrame, number: int) -> None:
+        found.persist()  # the state is read once for both tables
+        try:
+            rows = found.where("row IS NOT NULL").select(F.from_json("row", cleaned.schema).alias("row"))
+            rows.select("row.*").drop(*([position] if position else [])) \
+                .write.mode("overwrite").parquet(f"{output}/batch={number}")
+            counts = found.select(F.explode("incoming").alias("batch", "incoming"), F.lit(0).alias("kept")) \
+                .unionByName(found.where("row IS NOT NULL").select(
+                    "batch", F.lit(0).cast("long").alias("incoming"), F.lit(1).alias("kept")))
+            # without positions a trigger has its row even if nothing came
+            totals = (counts.groupBy((F.col("batch") + 1).alias("batch_id")) if position else counts.groupBy()) \
+                .agg(F.coalesce(F.sum("incoming"), F.lit(0)).alias("incoming_records"),
+                     F.coalesce(F.sum("kept"), F.lit(0)).alias("kept_records"))
+            number_of = F.col("batch_id") if position else F.lit(number + 1).cast("long")
+            totals.select(number_of.alias("batch_id"), "incoming_records", "kept_records",
+                          (F.col("incoming_records") - F.col("kept_records")).alias("duplicate_records")) \
+                .coalesce(1).write.mode("overwrite").parquet(f"{log}/batch={number}")
+        finally:
+            found.unpersist()
+
+    return first_of_key(cleaned, "dedupe_key", order, batch_of).writeStream.foreachBatch(store) \
         .option("checkpointLocation", checkpoint) \
         .trigger(**(trigger or {"availableNow": True})).start()
 

@@ -8,6 +8,7 @@ Offsets are row numbers along the files in the order of their names.  A batch en
 ``batch_rows`` rows wherever files end; after ``max_batches`` nothing more comes, and
 ``pause_seconds`` pass after every batch.  The driver
 reads footers only; executors read the row groups of their slices, ``slice_rows`` rows a task.
+A column named by ``position`` is not read but holds the row numbers.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 SLICE_ROWS = 65_536
 
@@ -34,15 +35,16 @@ def _open(path: str) -> tuple[fs.FileSystem, str]:
 
 
 class Slice(InputPartition):
-    """Rows [first, last) of a file."""
+    """Rows [first, last) of a file that begins with row number ``base`` of all."""
 
-    def __init__(self, path: str, first: int, last: int):
-        self.path, self.first, self.last = path, first, last
+    def __init__(self, path: str, first: int, last: int, base: int):
+        self.path, self.first, self.last, self.base = path, first, last, base
 
 
 class PacedReader(DataSourceStreamReader):
     def __init__(self, schema: StructType, options: dict):
         self.names = schema.names
+        self.position = options.get("position")
         self.batch_rows = int(options["batch_rows"])
         self.slice_rows = int(options.get("slice_rows", SLICE_ROWS))
         if self.batch_rows < 1 or self.slice_rows < 1:
@@ -80,7 +82,7 @@ class PacedReader(DataSourceStreamReader):
             k = bisect_right(self.ends, at)
             base = self.ends[k - 1] if k else 0
             to = min(end["row"], self.ends[k], at + self.slice_rows)
-            slices.append(Slice(self.files[k], at - base, to - base))
+            slices.append(Slice(self.files[k], at - base, to - base, base))
             at = to
         return slices
 
@@ -92,8 +94,13 @@ class PacedReader(DataSourceStreamReader):
                 rows = file.metadata.row_group(group).num_rows
                 first, last = max(partition.first - base, 0), min(partition.last - base, rows)
                 if first < last:
-                    table = file.read_row_group(group, columns=self.names).select(self.names)
-                    yield from table.slice(first, last - first).to_batches()
+                    stored = [n for n in self.names if n != self.position]
+                    table = file.read_row_group(group, columns=stored)
+                    if self.position:
+                        at = partition.base + base
+                        table = table.append_column(self.position, pa.array(
+                            range(at, at + rows), pa.int64()))
+                    yield from table.select(self.names).slice(first, last - first).to_batches()
                 base += rows
 
 
@@ -110,11 +117,19 @@ class PacedParquet(DataSource):
 
 
 def paced_stream(spark: SparkSession, path: str, schema: StructType, batch_rows: int,
-                 max_batches: int | None = None, pause_seconds: float = 0) -> DataFrame:
-    """Stream over Parquet files, ``batch_rows`` rows a batch, ``max_batches`` batches at most."""
+                 max_batches: int | None = None, pause_seconds: float = 0,
+                 position: str | None = None) -> DataFrame:
+    """Stream over Parquet files, ``batch_rows`` rows a batch, ``max_batches`` batches at most.
+
+    ``position`` names a further column with the row numbers.
+    """
     spark.dataSource.register(PacedParquet)
+    if position is not None:
+        schema = StructType([*schema.fields, StructField(position, LongType())])
     reader = spark.readStream.format("paced_parquet").schema(schema).option("path", path) \
         .option("batch_rows", batch_rows).option("pause_seconds", pause_seconds)
+    if position is not None:
+        reader = reader.option("position", position)
     if max_batches is not None:
         reader = reader.option("max_batches", max_batches)
     return reader.load()

@@ -127,3 +127,25 @@ def test_latest_label_stays(spark, tmp_path):
         labels.add(spark.createDataFrame([("p", "t", "c", "l", label, seq)], labels.schema), number)
     assert [r["feedback_label"] for r in labels.read().collect()] == ["Accept"]
     assert SF.last_label_table(spark, str(tmp_path / "none")).read().count() == 0
+
+
+def test_a_trigger_takes_many_batches_and_logs_each(spark, posts, tmp_path):
+    """Two triggers of three batches each say what six triggers of one batch say."""
+    path, df = posts
+    triggers = []
+    for name, together in (("one", 1), ("three", 3)):
+        stream = paced_stream(spark, path, df.schema, 40 * together, position="_at")
+        query = SI.stream_log(stream, f"{tmp_path}/{name}/out", f"{tmp_path}/{name}/log",
+                              f"{tmp_path}/{name}/keys", trigger=PACED, position="_at", batch_rows=40)
+        run_to_end(query)
+        triggers.append(len(list((tmp_path / name / "out").glob("batch=*"))))
+    assert triggers == [6, 2]
+    cleaned = clean_batch(df)
+    logs = [sorted(SI.read_stream_log(spark, f"{tmp_path}/{n}/log").select(
+        "batch_id", "incoming_records", "kept_records", "cumulative_unique_records").collect())
+        for n in ("one", "three")]
+    assert logs[0] == logs[1] == sorted(stream_batch_log(cleaned, batch_rows=40).select(
+        "batch_id", "incoming_records", "kept_records", "cumulative_unique_records").collect())
+    for n in ("one", "three"):
+        assert sorted(spark.read.parquet(f"{tmp_path}/{n}/out").select(cleaned.columns).collect()) == sorted(
+            dedupe_first(cleaned).select(cleaned.columns).collect())
