@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from matchlake import vocab as V
 from matchlake.functions import documents as D
 from matchlake.functions import rawjson as R
-from matchlake.functions.text import BLANKS, strip
+from matchlake.functions.text import BLANKS, BOUND_LEFT, TermIndex, strip
 from matchlake.operators import feedback as K
 from matchlake.operators import ranking as N
 from matchlake.operators.order import rank_all, shared_dir
@@ -115,3 +115,16 @@ def test_only_character_references_travel_to_python(spark, capsys):
                    for t in texts}
     rows.select(R.html_clean(F.col("text")).alias("clean")).explain()
     assert "regexp_extract_all" in capsys.readouterr().out.split("ArrowEvalPython")[1].split("\n")[0]
+
+
+# --- terms ------------------------------------------------------------------------------
+
+def test_terms_are_tried_by_classes_of_first_characters(spark):
+    terms = [f"{c}{d} x" for c in "abcdefghijklmnop" for d in "qrst"] + ["c", "c++", "c#", ".net", "a-b"]
+    index = TermIndex(terms, form=str)
+    assert "(?=[" in index.pattern.split(BOUND_LEFT)[1][5:]
+    texts = [" ".join(terms), "aq xx bq x", "c+++ c## .net x.net a-b-c pt x", "", "zq x"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in rows.select("t", index.hits(F.col("t")).alias("h")).collect():
+        want = {t for t in terms if re.search(rf"(?<![a-z0-9]){re.escape(t)}(?![a-z0-9])", r.t)}
+        assert set(r.h) == want
