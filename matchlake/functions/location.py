@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from matchlake import vocab as V
-from matchlake.functions.text import (contains_any, location_form, pad, search_form,
+from matchlake.functions.text import (contains_any, contains_one, location_form, pad, search_form,
                                       search_term, string_array, strip, text_or_empty)
 
 _FOREIGN = V.NON_US_TERMS + V.CANADA_TERMS
@@ -90,7 +90,7 @@ def explicit_non_us(p: Column) -> Column:
 
 
 def us_remote(padded_search: Column) -> Column:
-    return contains_any(padded_search, dict.fromkeys(search_term(t) for t in V.US_REMOTE_TERMS))
+    return contains_one(padded_search, dict.fromkeys(search_term(t) for t in V.US_REMOTE_TERMS))
 
 
 def remote_text(c: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from matchlake import vocab as V
-from matchlake.functions.text import (BLANKS, WORD_END, WORD_START, any_term, matched_terms,
+from matchlake.functions.text import (BLANK_CHARS, BLANKS, WORD_END, WORD_START, any_term, matched_terms,
                                       safe_number, search_term, string_array)
 
 _UNIT = rf"[{BLANKS}]*(?:years|yrs){WORD_END}(?:[{BLANKS}]+of[{BLANKS}]+experience)?"
@@ -19,6 +19,7 @@ _YEAR_PHRASES = (
     rf"{_COUNT}[{BLANKS}]+or[{BLANKS}]+more[{BLANKS}]{_UNIT}",
 )
 MAX_YEARS = 15
+_LONGEST_WORD = max(map(len, (*V.YEAR_WORDS, "more")))
 
 
 def _as_options(found: Column, phrase: str, order: int) -> Column:
@@ -46,13 +47,16 @@ def years_required(description: Column) -> Column:
     for order, (word, years) in enumerate(V.YEAR_WORDS.items(), len(_YEAR_PHRASES)):
         phrase = rf"\b(?:minimum|at least)?\s*{word}\s+(?:years|yrs)\b(?:\s+of\s+experience)?"
         found = F.regexp_extract(text, f"(?sU)(?=({phrase}.{{0,12}})){phrase}", 1)
-        spelled.append(F.when((found != "") & ~found.contains("ago"), F.array(F.struct(
+        spelled.append(F.when(text.contains(word) & (found != "") & ~found.contains("ago"), F.array(F.struct(
             F.lit(years).alias("years"), F.lit(order).alias("phrasing"),
             F.lit(0).alias("place"),
             F.regexp_extract(found, f"(?sU)^({phrase})", 1).alias("phrase")))))
-    unit = rf"[{BLANKS}]*(?:years|yrs)"
-    has_count = text.rlike(rf"(?:[0-9]|[0-9][{BLANKS}]*\+|more){unit}")
-    has_word = text.rlike(rf"(?:{'|'.join(V.YEAR_WORDS)})[{BLANKS}]{unit}")
+    # what stands before each "years" or "yrs"; the phrasings have a number there
+    before = F.split(F.replace(text, F.lit("yrs"), F.lit("years")), "years")
+    ends = F.transform(F.slice(before, 1, F.size(before) - 1), lambda t: F.right(
+        F.rtrim(t, F.lit(BLANK_CHARS)), F.lit(_LONGEST_WORD)))
+    has_count = F.exists(ends, lambda e: e.rlike(r"(?:[0-9+]|more)$"))
+    has_word = F.exists(ends, lambda e: e.rlike(rf"(?:{'|'.join(V.YEAR_WORDS)})$"))
     return F.when(text.contains("years") | text.contains("yrs"),
                   F.array_min(F.flatten(F.array_compact(F.array(
                       F.when(has_count, F.flatten(F.array(*counted))),

@@ -1,10 +1,11 @@
 """Text primitives: cleaning, normal forms and dictionary-term matching.
 
-Term matching reads a text once.  All terms of interest are folded into one
-prefix tree, written as a single regular expression that reports, at every word
-start, the longest term that ends on a word boundary; shorter terms that end
-inside a reported term are known when the plan is built.  Everything after that
-works on the short array of hits instead of the text.
+Terms are found by words: a normalised text is split once, the words that are keys of
+terms are looked up, and only the terms of these keys are searched for.  Other texts are
+read once with a prefix tree of all terms, written as a single regular expression that
+reports, at every word start, the longest term that ends on a word boundary; shorter
+terms that end inside a reported term are known when the plan is built.  Everything after
+that works on the short array of hits instead of the text.
 """
 
 from __future__ import annotations
@@ -30,8 +31,9 @@ WORD_START = r"(?<![\p{L}\p{N}_])"
 WORD_END = r"(?![\p{L}\p{N}_])"
 # everything but a-z, 0-9 and the kept signs, for lower-cased text
 LOCATION_GAPS = r"\P{Alnum}+"
-SEARCH_GAPS = r'[\x00-"$-*,\-/:-`{-\x{10FFFF}]+'
-COVERAGE_GAPS = r'[\x00-"$-*,/:-`{-\x{10FFFF}]+'
+# a single blank between kept characters stays as it is
+SEARCH_GAPS = r'(?! [a-z0-9+#.])[\x00-"$-*,\-/:-`{-\x{10FFFF}]+'
+COVERAGE_GAPS = r'(?! [a-z0-9+#.-])[\x00-"$-*,/:-`{-\x{10FFFF}]+'
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 BOUND_LEFT = r"(?<!\p{Alnum})"
 BOUND_RIGHT = r"(?!\p{Alnum})"
@@ -128,6 +130,14 @@ def contains_any(text: Column, needles: Iterable[str]) -> Column:
     return text.rlike(_tree_pattern(sorted(set(needles))))
 
 
+def contains_one(text: Column, needles: Iterable[str]) -> Column:
+    """``contains_any`` for a column and few needles, one search each."""
+    found = F.lit(False)
+    for needle in sorted(set(needles)):
+        found = found | text.contains(needle)
+    return found
+
+
 # --- dictionary terms -------------------------------------------------------------
 
 def quote(term: str) -> str:
@@ -158,6 +168,17 @@ def _tree_pattern(terms: Sequence[str]) -> str:
     return "(?:" + "|".join(options) + ")" + ("?" if ends_here else "")
 
 
+def apart(normal_text: Column, signs: str = "+#.") -> Column:
+    """``normal_text`` with blanks around every sign that its form keeps."""
+    for sign in signs:
+        normal_text = F.replace(normal_text, F.lit(sign), F.lit(f" {sign} "))
+    return normal_text
+
+
+def apart_term(term: str) -> str:
+    return re.sub(r"([+#.-])", r" \1 ", term)
+
+
 class TermIndex:
     """Finds which of a fixed set of terms occur in a normalised text."""
 
@@ -165,6 +186,10 @@ class TermIndex:
                  form: Callable[[str], str] = search_term):
         self.form = form
         self.terms = sorted({form(t) for d in dictionaries for t in d})
+        #: Terms by their longest word, which a text with the term has.
+        self.by_word: dict[str, list[str]] = {}
+        for term in self.terms:
+            self.by_word.setdefault(max(apart_term(term).split() or [""], key=len), []).append(term)
         tree = _tree_pattern(self.terms)
         self.pattern = f"{BOUND_LEFT}(?=({tree}){BOUND_RIGHT})"
         self.implied: dict[str, list[str]] = {}
@@ -177,7 +202,40 @@ class TermIndex:
 
     def hits(self, normal_text: Column) -> Column:
         """Distinct terms present in ``normal_text`` as array<string>."""
-        found = F.array_distinct(F.regexp_extract_all(normal_text, F.lit(self.pattern), 1))
+        if self.form not in (search_term, coverage_term):
+            return self._hits_of_any(normal_text)
+        signs = "+#." if self.form is search_term else "+#.-"
+        return self.hits_apart(pad(apart(normal_text, signs)))
+
+    def hits_apart(self, text: Column) -> Column:
+        """``hits`` of a padded text whose signs are ``apart``.
+
+        A term ends where no letter or digit follows, so it stands between blanks here.
+        """
+        rows = "map(" + ", ".join(f"{sql_string(word)}, array(" + ", ".join(
+            f"named_struct('term', {sql_string(t)}, 'form', {sql_string(self._searched(t, word))})"
+            for t in terms) + ")" for word, terms in self.by_word.items()) + ")"
+
+        def confirmed(text: Column) -> Column:
+            keys = F.array_intersect(string_array(self.by_word), F.split(text, " "))
+            tried = F.flatten(F.transform(keys, lambda k: F.try_element_at(F.expr(rows), k)))
+            return F.transform(F.filter(tried, lambda t: F.contains(text, t["form"])),
+                               lambda t: t["term"])
+
+        return let(text, confirmed)
+
+    @staticmethod
+    def _searched(term: str, word: str) -> str:
+        """What a text with ``word`` must contain; nothing more for a term of one word."""
+        return "" if term == word else f" {apart_term(term)} "
+
+    def hits_among(self, text: Column, terms: Column) -> Column:
+        """``hits_apart``, given ``terms`` that include all terms of this text."""
+        own = F.array_intersect(string_array(self.terms), terms)
+        return let(text, lambda text: F.filter(own, lambda t: F.contains(text, pad(apart(t)))))
+
+    def _hits_of_any(self, text: Column) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(text, F.lit(self.pattern), 1))
         if not self.implied:
             return found
         shorter = F.expr("map(" + ", ".join(

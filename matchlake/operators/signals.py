@@ -15,8 +15,8 @@ from matchlake import vocab as V
 from matchlake.functions.cache import once_per_jvm
 from matchlake.functions import location as L
 from matchlake.functions import requirements as Q
-from matchlake.functions.text import (TermIndex, any_term, join_forms, matched_terms, pad,
-                                      search_form, string_array)
+from matchlake.functions.text import (TermIndex, any_term, apart, apart_term, join_forms,
+                                      matched_terms, pad, search_form, string_array)
 from matchlake.sources.readers import ensure_columns, load_jobs
 
 METADATA_TERMS = TermIndex(
@@ -30,6 +30,10 @@ CONTENT_TERMS = TermIndex(*V.ROLE_POSITIVE_TERMS.values(), *V.ROLE_NEGATIVE_TERM
 PREFERENCE_TERMS = TermIndex(*V.COMPANY_PREFERENCE_BONUS.values(),
                              *V.COMPANY_PREFERENCE_PENALTY.values())
 COMPANY_TERMS = TermIndex(V.DEFENSE_COMPANIES)
+ALL_TERMS = TermIndex(*(i.terms for i in (METADATA_TERMS, PLACE_TERMS, TITLE_TERMS, CONTENT_TERMS,
+                                          PREFERENCE_TERMS, COMPANY_TERMS)))
+# a term that begins before the description ends within so many characters of it
+_TERM_CHARS = max(len(apart_term(t)) for t in ALL_TERMS.terms) + 2
 
 CONSTRAINT_COLUMNS = (
     "required_years_min", "years_requirement_text", "employment_type_inferred",
@@ -77,18 +81,42 @@ def _texts() -> dict[str, Column]:
     }
 
 
+@once_per_jvm
+def _apart() -> dict[str, Column]:
+    return {f"_a_{n[3:]}": apart(F.col(n)) for n in _forms()}
+
+
+@once_per_jvm
+def _found() -> dict[str, Column]:
+    """Terms of all dictionaries that any of the searched texts has; each text then tries only these.
+
+    The texts leave out fields, so terms across the places where they join fields are found in
+    these fields and the head of the description.
+    """
+    title, company, place, raw, salary, desc, kind = (F.col(f"_a_{n}") for n in (
+        "title", "company", "location", "raw", "salary", "desc", "type"))
+    head = F.left(desc, F.lit(_TERM_CHARS))
+    return {"_found": ALL_TERMS.hits_apart(pad(join_forms(
+        title, company, place, raw, salary, desc, kind, title, company, head, title, head,
+        title, place, raw, head)))}
+
+
 @once_per_jvm
 def _hits() -> dict[str, Column]:
-    n = {k: F.col(k) for k in ("_n_title", "_n_company", "_n_desc")}
+    title, company, place, raw, salary, desc, kind = (F.col(f"_a_{n}") for n in (
+        "title", "company", "location", "raw", "salary", "desc", "type"))
+
+    def among(index: TermIndex, *fields: Column) -> Column:
+        return index.hits_among(pad(join_forms(*fields)), F.col("_found"))
+
     return {
-        "_hits": METADATA_TERMS.hits(F.col("_metadata")),
-        "_place_hits": PLACE_TERMS.hits(F.col("_place_text")),
-        "_only_hits": PLACE_TERMS.hits(F.col("_only_text")),
-        "_title_hits": TITLE_TERMS.hits(pad(n["_n_title"])),
-        "_content_hits": CONTENT_TERMS.hits(pad(join_forms(n["_n_title"], n["_n_desc"]))),
-        "_preference_hits": PREFERENCE_TERMS.hits(
-            pad(join_forms(n["_n_title"], n["_n_company"], n["_n_desc"]))),
-        "_company_hits": COMPANY_TERMS.hits(pad(n["_n_company"])),
+        "_hits": among(METADATA_TERMS, title, company, place, raw, salary, desc, kind),
+        "_place_hits": among(PLACE_TERMS, title, place, raw, desc),
+        "_only_hits": among(PLACE_TERMS, place, raw, salary),
+        "_title_hits": among(TITLE_TERMS, title),
+        "_content_hits": among(CONTENT_TERMS, title, desc),
+        "_preference_hits": among(PREFERENCE_TERMS, title, company, desc),
+        "_company_hits": among(COMPANY_TERMS, company),
         "_senior": Q.senior_title_terms(F.col("title")),
         "_years": Q.years_required(F.col("description")),
         "_plain": F.lower(F.concat_ws(" ", "title", "description")),
@@ -97,7 +125,8 @@ def _hits() -> dict[str, Column]:
 
 def _working_columns(jobs: DataFrame) -> DataFrame:
     counts = [F.col(c) for c in V.EMPLOYEE_COUNT_FIELDS if c in jobs.columns]
-    return normal_forms(jobs).withColumns(_texts()) \
+    return normal_forms(jobs).withColumns(_texts()).withColumns(_apart()) \
+        .withColumns(_found()) \
         .withColumns(_hits() | {"_count": Q.employee_count(counts)})
 
 
