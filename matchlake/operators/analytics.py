@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from matchlake import vocab as V
 from matchlake.functions.location import analytics_location
 from matchlake.functions.salary import salary_annual, salary_band
-from matchlake.functions.text import (TermIndex, any_term, contains_any, coverage_term,
-                                      norm_coverage, plain_term, strip, text_or_empty)
+from matchlake.functions.text import (TermIndex, any_term, contains_one, coverage_form,
+                                      coverage_term, join_forms, pad_or_blank, plain_term, strip,
+                                      text_or_empty)
 from matchlake.operators.order import scratch_path, top_k, values_at
 from matchlake.operators.signals import role_flags
 
@@ -112,25 +113,25 @@ def has_known_salary(c: Column) -> Column:
 
 
 def coverage_us(location: Column) -> Column:
-    return contains_any(location, (" us ", " usa ", " united states "))
+    return contains_one(location, (" us ", " usa ", " united states "))
 
 
 def coverage_remote(search: Column) -> Column:
-    return contains_any(search, (" remote ", " work from home "))
+    return contains_one(search, (" remote ", " work from home "))
 
 
 def coverage_california(location: Column, combined: Column) -> Column:
     return combined.contains(" california ") | location.contains(" ca us ") \
-        | location.contains(" ca usa ") | contains_any(combined, V.COVERAGE_BAY_AREA_TERMS)
+        | location.contains(" ca usa ") | contains_one(combined, V.COVERAGE_BAY_AREA_TERMS)
 
 
 def coverage_flags(jobs: DataFrame, description_chars: int | None = None) -> DataFrame:
     """Postings with one boolean per coverage metric (named by the metric)."""
-    df = jobs.withColumn("_search", search_text(description_chars)).withColumns({
-        "_place": norm_coverage(text_or_empty(F.col("location"))),
-        "_search_n": norm_coverage(F.col("_search")),
-        "_combined": norm_coverage(F.concat_ws(" ", text_or_empty(F.col("location")),
-                                               F.col("_search")))})
+    # each text is normalised once; forms of joined texts are joins of forms
+    df = jobs.withColumns({"_place_f": coverage_form(text_or_empty(F.col("location"))),
+                           "_search_f": coverage_form(search_text(description_chars))}).withColumns({
+        "_place": pad_or_blank(F.col("_place_f")), "_search_n": pad_or_blank(F.col("_search_f")),
+        "_combined": pad_or_blank(join_forms(F.col("_place_f"), F.col("_search_f")))})
     df = df.withColumns({
         "total jobs": F.lit(True),
         "jobs with known salary": has_known_salary(F.col("salary")),
@@ -138,7 +139,7 @@ def coverage_flags(jobs: DataFrame, description_chars: int | None = None) -> Dat
         "remote jobs": coverage_remote(F.col("_search_n")),
         "California / Bay Area jobs": coverage_california(F.col("_place"), F.col("_combined"))})
     return role_flags(df, "_search_n", V.COVERAGE_GROUPS, coverage_term) \
-        .drop("_search", "_place", "_search_n", "_combined")
+        .drop("_place_f", "_search_f", "_place", "_search_n", "_combined")
 
 
 def coverage_summary(flagged: DataFrame, dataset: str) -> DataFrame:

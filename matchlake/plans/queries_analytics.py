@@ -8,7 +8,7 @@ from matchlake import vocab as V
 from matchlake.functions.text import plain_term
 from matchlake.functions.vectors import round2
 from matchlake.operators import analytics as A
-from matchlake.operators.order import scratch_path
+from matchlake.operators.order import scratch_path, stored
 from matchlake.operators.profiles import embedded_subset
 from matchlake.plans import fixtures as X
 from matchlake.plans import sql as S
@@ -99,7 +99,9 @@ _SUMMARY = f"{_summary_sql('cov', V.FULL_DATASET)} UNION ALL {_summary_sql('sub'
 
 
 def _summary(spark, sf, chars):
-    flagged = A.coverage_flags(X.jobs(spark, sf), chars)
+    # texts are read once; both summaries count the same narrow table
+    flagged = stored(A.coverage_flags(X.jobs(spark, sf), chars).select(
+        "row_index", *[f"`{m}`" for m in V.COVERAGE_METRICS]), "coverage")
     subset = embedded_subset(flagged, _index(spark, sf))
     return A.coverage_summary(flagged, V.FULL_DATASET).unionByName(
         A.coverage_summary(subset, V.SUBSET_DATASET))
