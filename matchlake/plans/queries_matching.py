@@ -682,8 +682,10 @@ def _reranked(spark, sf):
 @query("feedback_adjustment", S.with_(*RERANK, select=(
     "SELECT profile_id, row_index, adjustment, adjusted_score FROM adj1")))
 def feedback_adjustment(spark, sf):
-    prefs = K.feedback_prefs(X.feedback(spark, sf), F.lit("ml_ai"))
-    return K.feedback_adjustment(X.scored(spark, sf), prefs).select(
+    # scored once: feedback is given on the postings that are adjusted
+    scored = stored(X.scored(spark, sf).select(*N.RANKED_COLUMNS), "scored")
+    prefs = K.feedback_prefs(X.feedback(spark, sf, scored), F.lit("ml_ai"))
+    return K.feedback_adjustment(scored, prefs).select(
         *KEYS, F.col("feedback_adjustment_score").alias("adjustment"),
         F.col("adjusted_final_score").alias("adjusted_score"))
 
