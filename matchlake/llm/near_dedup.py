@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchlake.llm.common import stored, whole_text, with_groups, without_rows
+from matchlake.llm.common import batches_of, stored, whole_text, with_groups, without_rows
 from matchlake.llm.components import components
 from matchlake.llm.word_hashes import BASE, mix, rolling, word_hashes
 
@@ -63,6 +63,8 @@ class Near:
 
 #: The contract of the query, and the rule for stages: five words, similarity 0.8.
 QUERY = Near()
+#: Rows that a task holds at a time, in the JVM and in Python, with their texts or whole sets.
+ROWS = 512
 STAGE = Near(shingle=5, percent=80, first=(1, 8), second=(1, 8), differing=13)
 
 
@@ -109,8 +111,8 @@ _SETS = ("doc_id long, n int, d1 long, d2 long, a array<long>, b array<long>, s1
 def _documents(docs: DataFrame, key: str, text: str, near: Near) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
                 sets = [shingle_set(t, near.shingle) for t in part.column("t").to_pylist()]
                 sizes = np.array([len(s) for s in sets], np.int32)
                 full = np.flatnonzero(sizes)
@@ -310,6 +312,11 @@ def _sharing_pairs(placed: DataFrame, now: DataFrame, near: Near) -> DataFrame:
 def near_components(docs: DataFrame, near: Near = QUERY, key: str = "doc_id",
                     text: str = "text") -> DataFrame:
     """Per row of ``docs``: key, n_shingles, component_id and kept."""
+    with batches_of(docs.sparkSession, ROWS):
+        return _near_components(docs, near, key, text)
+
+
+def _near_components(docs: DataFrame, near: Near, key: str, text: str) -> DataFrame:
     documents = _documents(docs, key, text, near)
     classes = stored(
         documents.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "d1", "d2").agg(

@@ -5,8 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-#: Distinct words a task remembers (about 100 MB); then it starts anew.
-KEPT_WORDS = 600_000
+#: Distinct words a task remembers (about 35 MB); then it starts anew.
+KEPT_WORDS = 200_000
 BASE, OTHER_BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _known: dict[bytes, int] = {}
 

@@ -572,3 +572,17 @@ def test_fingerprints_without_ids_and_with_repeated_ids(spark):
         sorted([edited(*w) for w in want], key=str)
     lone = spark.createDataFrame([(None, "a" * 50)] * 3, "doc_id long, text string")
     assert fingerprint.fingerprints(lone).count() == 3
+
+
+def test_near_dedup_holds_few_rows_at_a_time(spark, monkeypatch):
+    """Whole sets and texts reach Python a few hundred rows at a time, whatever the session says."""
+    from matchlake.llm import near_dedup
+    from matchlake.llm.common import BATCH_ROWS
+    seen, inner = [], near_dedup._near_components
+    monkeypatch.setattr(near_dedup, "_near_components", lambda docs, *rest: (
+        seen.append(int(docs.sparkSession.conf.get(BATCH_ROWS))), inner(docs, *rest))[1])
+    before = spark.conf.get(BATCH_ROWS, None)
+    docs = spark.createDataFrame([(i, f"one two three four {i % 2}") for i in range(4)], "doc_id long, text string")
+    found = near_dedup.near_components(docs).orderBy("doc_id").collect()
+    assert [r.component_id for r in found] == [0, 1, 0, 1] and seen == [near_dedup.ROWS]
+    assert spark.conf.get(BATCH_ROWS, None) == before
