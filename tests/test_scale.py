@@ -170,3 +170,13 @@ def test_years_are_tried_behind_a_number(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = [r[0] for r in rows.orderBy("i").select(years_required(F.col("t"))["years"]).collect()]
     assert got == [5, 4, 5, None, 2, 3, None, 10, 12, None, None, None]
+
+
+def test_terms_of_a_missing_field_are_null(spark):
+    from matchlake.operators.signals import _working_columns, ensure_columns, load_jobs
+    rows = spark.createDataFrame([(1, "Analyst", None, "text"), (2, "Analyst", "Acme", None)],
+                                 "row_index long, title string, company string, description string")
+    jobs = ensure_columns(load_jobs(ensure_columns(rows, ("location",))), ("employment_type",))
+    jobs = jobs.withColumn("company", F.when(F.col("row_index") == 2, "Lockheed Martin"))
+    found = [r[0] for r in _working_columns(jobs).orderBy("row_index").select("_company_hits").collect()]
+    assert found == [None, ["lockheed martin"]]
