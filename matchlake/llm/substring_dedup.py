@@ -33,11 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from matchlake.llm.common import stored, whole_text
+from matchlake.llm.common import batches_of, stored, whole_text
 from matchlake.llm.word_hashes import BASE, OTHER_BASE, rolling, word_hashes
 
 WINDOW, BLOCK = 20, 10
 CHUNK_BYTES = 8 << 20
+#: Texts that Spark gives Python at a time, beside the chunk that is being filled.
+TEXTS_AT_A_TIME = 512
 #: Entries of an owner task on average, and the fewest owners.
 OWNER_ENTRIES = 1 << 20
 OWNERS = 64
@@ -90,75 +92,95 @@ def _thawed(data: bytes) -> pa.Array:
 # --- hashes of a chunk --------------------------------------------------------
 
 class Chunk:
-    """The documents of one row, and what every step computes from them anew."""
+    """The documents of one row, and what every step computes from them anew.
+
+    Places are 4 bytes (a chunk has far fewer than 2 ** 31 words) and arrays go as soon as they
+    are used, because a task's memory is that of its largest chunk.
+    """
 
     def __init__(self, row: dict):
-        data = _expand(row["texts"])
-        ends = np.cumsum(row["sizes"], dtype=np.int64)
-        self.ids = row["doc_ids"]
-        self.texts = [data[e - s:e] for s, e in zip(row["sizes"], ends)]
-        hashes = []
-        counts = np.empty(len(self.texts), np.int64)
-        for k, text in enumerate(self.texts):
+        self.ids, self.sizes = row["doc_ids"], row["sizes"]
+        self.data = _expand(row["texts"])
+        self.counts = np.empty(len(self.sizes), np.int64)
+        self.hashes = np.empty(row["n_words"], np.uint64)
+        done = 0
+        for k, text in enumerate(self.texts()):
             words = text.split()
-            counts[k] = len(words)
-            hashes.append(word_hashes(words))
-        self.counts = counts
-        self.hashes = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-        self.starts = np.cumsum(counts) - counts
-        # a chunk has far fewer than 2 ** 31 words
-        self.document = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
-        at = np.arange(len(self.hashes), dtype=np.int32)
-        self.left = np.repeat((self.starts + counts).astype(np.int32), counts) - at
-        self.place = at - self.starts.astype(np.int32)[self.document]
+            self.hashes[done:done + len(words)] = word_hashes(words)
+            self.counts[k] = len(words)
+            done += len(words)
+        self.starts = np.cumsum(self.counts) - self.counts
+        self.left = np.repeat((self.starts + self.counts).astype(np.int32), self.counts)
+        self.left -= np.arange(len(self.hashes), dtype=np.int32)
+
+    def texts(self) -> Iterator[bytes]:
+        done = 0
+        for size in self.sizes:
+            yield self.data[done:done + size]
+            done += size
+
+    def _document(self, at: np.ndarray) -> np.ndarray:
+        """Documents of positions; one without words shares its start with the next."""
+        return np.searchsorted(self.starts, at, side="right") - 1
 
     def blocks(self) -> None:
         """Distinct rolling blocks in order of their hash, and where each position's is."""
-        at = np.flatnonzero(self.left >= BLOCK)
+        n = max(0, len(self.hashes) - BLOCK + 1)
+        at = np.flatnonzero(self.left[:n] >= BLOCK).astype(np.int32)
         h = rolling(self.hashes, BLOCK, BASE)[at]
-        order = np.argsort(h, kind="stable")
+        order = np.argsort(h, kind="stable").astype(np.int32)
         h = h[order]
-        first = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.empty(0, bool)
-        starts = np.flatnonzero(first)
-        self.block_at = at[order]
-        self.block_of = np.cumsum(first) - 1
-        self.block_hash = h[first]
-        reference = self.place[self.block_at] % BLOCK == 0
-        self.is_reference = np.logical_or.reduceat(reference, starts) if len(h) else first
-        self.repeats_here = np.diff(np.append(starts, len(h))) > 1
+        at = at[order]
+        del order
+        first = _heads(h)
+        starts = np.flatnonzero(first).astype(np.int32)
+        self.block_hash = h[starts]
+        del h
+        reference = (at - self.starts[self._document(at)].astype(np.int32)) % BLOCK == 0
+        self.is_reference = np.logical_or.reduceat(reference, starts) if len(at) else first
+        self.repeats_here = np.diff(starts, append=np.int32(len(at))) > 1
+        self.block_at = at
+        self.block_of = np.cumsum(first, dtype=np.int32) - np.int32(1)
 
     def windows(self, hits: np.ndarray) -> None:
         """Distinct windows around the hits (a flag for each distinct block)."""
-        hit = np.zeros(len(self.hashes) + 1, np.int64)
-        hit[self.block_at] = (hits | (self.repeats_here & self.is_reference))[self.block_of]
-        sums = np.concatenate([[0], np.cumsum(hit)])
+        sums = np.zeros(len(self.hashes) + 2, np.int32)
+        sums[self.block_at + 1] = (hits | (self.repeats_here & self.is_reference))[self.block_of]
+        del self.block_at, self.block_of, self.block_hash, self.is_reference, self.repeats_here
+        np.cumsum(sums, out=sums)
         n = max(0, len(self.hashes) - WINDOW + 1)
-        at = np.arange(n)
         reach = WINDOW - BLOCK + 1
-        at = at[(self.left[:n] >= WINDOW) & (sums[at + reach] > sums[at])]
+        near = sums[reach:reach + n] > sums[:n]
+        at = np.flatnonzero((self.left[:n] >= WINDOW) & near).astype(np.int32)
+        del sums, near
         h = rolling(self.hashes, WINDOW, BASE)[at]
-        order = np.argsort(h, kind="stable")  # equal hashes stay in order of id and position
-        h = h[order]
+        order = np.argsort(h, kind="stable").astype(np.int32)
+        h = h[order]  # equal hashes stay in order of id and position
         self.window_at = at[order]
-        self.window_first = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else \
-            np.empty(0, bool)
+        self.window_first = _heads(h)
         self.window_hash = h[self.window_first]
 
     def window_entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Both hashes and the id of the earliest document of every distinct window."""
         at = self.window_at[self.window_first]
-        ids = np.array(self.ids, np.int64)[self.document[at]]
+        ids = np.array(self.ids, np.int64)[self._document(at)]
         return self.window_hash, rolling(self.hashes, WINDOW, OTHER_BASE)[at], ids
 
     def removed(self, is_first: np.ndarray) -> np.ndarray:
         """For each word whether a window that is not the first of its kind covers it."""
         repeated = ~self.window_first
         repeated[self.window_first] = ~is_first
-        edges = np.zeros(len(self.hashes) + 1, np.int64)
+        edges = np.zeros(len(self.hashes) + 1, np.int32)
         at = self.window_at[repeated]
-        np.add.at(edges, at, 1)
-        np.add.at(edges, at + WINDOW, -1)
-        return np.cumsum(edges[:-1]) > 0
+        edges[at] += 1  # a position has one window
+        edges[at + WINDOW] -= 1
+        return np.cumsum(edges[:-1], dtype=np.int32) > 0
+
+
+def _heads(values: np.ndarray) -> np.ndarray:
+    """Where a sorted array has another value than before."""
+    return np.concatenate([[True], values[1:] != values[:-1]]) if len(values) else \
+        np.empty(0, bool)
 
 
 def _one_by_one(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -229,7 +251,8 @@ def chunks_of(docs: DataFrame, key: str = "doc_id", text: str = "text",
     columns = [F.col(key).cast("long").alias("k"), whole_text(text).alias("t")]
     if carried:
         columns.append(F.col(carried).alias("c"))
-    return stored(docs.select(columns).mapInArrow(run, CHUNKS), "chunks")
+    with batches_of(docs.sparkSession, TEXTS_AT_A_TIME):
+        return stored(docs.select(columns).mapInArrow(run, CHUNKS), "chunks")
 
 
 def _sent(rows: list[tuple]) -> pa.RecordBatch:
@@ -350,7 +373,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text",
                 c, bounds = with_windows(row)
                 gone = c.removed(_answers(row, "firsts", owners, bounds))
                 taken, sums, kept = [], [], []
-                for start, n, t in zip(c.starts, c.counts, c.texts):
+                for start, n, t in zip(c.starts, c.counts, c.texts()):
                     drop = gone[start:start + n]
                     words = t.split()
                     if drop.any():

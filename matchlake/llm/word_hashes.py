@@ -25,7 +25,13 @@ def rolling(words: np.ndarray, width: int, base: np.uint64) -> np.ndarray:
     for k in range(width):
         out *= base
         out += words[k:k + n]
-    return mix(out)
+    spare = out >> np.uint64(31)  # as mix does, in place
+    out ^= spare
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    out ^= np.right_shift(out, np.uint64(29), out=spare)
+    out *= np.uint64(0x94D049BB133111EB)
+    out ^= np.right_shift(out, np.uint64(32), out=spare)
+    return out
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
