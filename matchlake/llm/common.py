@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +23,35 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once into the shared folder and read it back: later steps do not repeat it."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    if (tables := _written.get()) is not None:
+        tables.append((written, path))
+    return written
+
+
+#: What ``stored`` has written inside ``tidied``: tables and their paths.
+_written: ContextVar[list[tuple[DataFrame, str]] | None] = ContextVar("written", default=None)
+
+
+@contextmanager
+def tidied(spark: SparkSession) -> Iterator[Callable[[DataFrame], None]]:
+    """Tables that ``stored`` writes inside go at the end, but for those given to what it yields.
+
+    A table that a returned DataFrame reads must be given: it is read after the end.
+    """
+    tables: list[tuple[DataFrame, str]] = []
+    kept: list[DataFrame] = []
+    before = _written.set(tables)
+    try:
+        yield kept.append
+    finally:
+        _written.reset(before)
+        for table_, path in tables:
+            if not any(table_ is k for k in kept):
+                folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+                folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            elif (outer := _written.get()) is not None:
+                outer.append((table_, path))
 
 
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"

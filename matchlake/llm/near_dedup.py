@@ -8,7 +8,8 @@ collections of one family: 0.15 ^ 7 + (1 - 0.85 ^ 2) ^ 10, about 4 in a million.
 1. Documents with the same set form a class; only its first document goes on.
 2. Classes that share a table key are bucket mates.  Rounds compare each with a random mate of
    every bucket, two at most each, and join what is confirmed into components, so a bucket of
-   very many near copies shrinks to few components without listing its pairs.
+   very many near copies shrinks to few components without listing its pairs.  A round draws one
+   order of all classes, and a bucket's first is its mate: buckets of one cluster agree on few.
 3. The last pass looks at buckets whose classes are still in different components; buckets that
    share a class form a cluster.  Every set is stated by what it adds to and lacks of the shingles
    that most of its cluster has.  Sets that lie near those are linked, by the triangle inequality,
@@ -29,7 +30,7 @@ by itself, without a number.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,7 +38,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchlake.llm.common import batches_of, stored, whole_text, with_groups, without_rows
+from matchlake.llm.common import (
+    batches_of,
+    stored,
+    tidied,
+    whole_text,
+    with_groups,
+    without_rows,
+)
 from matchlake.llm.components import components
 from matchlake.llm.word_hashes import BASE, mix, rolling, word_hashes
 
@@ -45,6 +53,8 @@ from matchlake.llm.word_hashes import BASE, mix, rolling, word_hashes
 _WORD = r"[^ \t\n\r\x0b\f]"
 ROUNDS = 2
 MATES = 2
+#: Parts of the pairs of one set, so that a set of very many pairs is no hot key.
+SALTS = 256
 
 
 @dataclass(frozen=True)
@@ -151,18 +161,20 @@ def _may_link(x: str, y: str, near: Near) -> Column:
 
 
 def _mates(classes: DataFrame) -> DataFrame:
-    """(key, rep) of every class in every table whose key another class has too.
+    """(key, rep, p0, ...) of every class in every table whose key another class has too.
 
     Classes with the same key of a table have the same key of the second family, so only what
-    shares one of those is spread over the tables.
+    shares one of those is spread over the tables.  ``p0`` and so on are the mates of the rounds.
     """
     second = classes.select("rep", F.posexplode("b").alias("j", "vb"))
     common = second.groupBy("j", "vb").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     second = stored(second.join(common.select("j", "vb"), ["j", "vb"]), "near-second")
     keyed = second.join(classes.select("rep", "a"), "rep") \
         .select("rep", "j", "vb", F.posexplode("a").alias("i", "va")) \
-        .select(F.xxhash64("i", "va", "j", "vb").alias("key"), "rep", "i", "j")
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
+        .select(F.xxhash64("i", "va", "j", "vb").alias("key"), "rep")
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), *[
+        F.min_by("rep", F.xxhash64("rep", F.lit(number))).alias(f"p{number}")
+        for number in range(ROUNDS)]).where("m > 1").drop("m")
     return stored(keyed.join(shared, "key"), "mates")
 
 
@@ -178,7 +190,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")],
                                              names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    salted = stored(pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(16))), "near-pairs")
+    salted = stored(pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS))), "near-pairs")
     left = salted.select("a", "salt").distinct().join(
         sets.select(F.col("rep").alias("a"), F.col("shingles").alias("xs")), "a")
     right = salted.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("ys")), "b")
@@ -218,7 +230,7 @@ def _clusters(mixed: DataFrame) -> DataFrame:
     """(rep, cluster) of the classes in ``mixed`` (key, rep): keys that share a class are together."""
     first = mixed.groupBy("key").agg(F.min("rep").alias("a"))
     edges = mixed.join(first, "key").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
-    return components(edges).select(F.col("id").alias("rep"), F.col("comp").alias("cluster"))
+    return components(stored(edges, "near-edges")).select(F.col("id").alias("rep"), F.col("comp").alias("cluster"))
 
 
 def _differences(sets: DataFrame, total: int, near: Near) -> DataFrame:
@@ -312,18 +324,19 @@ def _sharing_pairs(placed: DataFrame, now: DataFrame, near: Near) -> DataFrame:
 def near_components(docs: DataFrame, near: Near = QUERY, key: str = "doc_id",
                     text: str = "text") -> DataFrame:
     """Per row of ``docs``: key, n_shingles, component_id and kept."""
-    with batches_of(docs.sparkSession, ROWS):
-        return _near_components(docs, near, key, text)
+    with batches_of(docs.sparkSession, ROWS), tidied(docs.sparkSession) as keep:
+        return _near_components(docs, near, key, text, keep)
 
 
-def _near_components(docs: DataFrame, near: Near, key: str, text: str) -> DataFrame:
+def _near_components(docs: DataFrame, near: Near, key: str, text: str,
+                     keep: Callable[[DataFrame], None]) -> DataFrame:
     documents = _documents(docs, key, text, near)
     classes = stored(
         documents.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "d1", "d2").agg(
             F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"),
             *[F.first(c).alias(c) for c in ("a", "b", "s1", "s2")]), "near-classes")
     mates = _mates(classes)
-    traits = classes.select("rep", "n", "s1", "s2", "a", "b").join(
+    traits = classes.select("rep", "n", "s1", "s2").join(
         mates.select("rep").distinct(), "rep", "left_semi")
     traits = stored(traits, "near-traits")
     sets = _shingle_table(docs, traits.select("rep"), key, text, near)
@@ -345,11 +358,10 @@ def _near_components(docs: DataFrame, near: Near, key: str, text: str) -> DataFr
         labels = components(links)
         return True
 
-    for number in range(ROUNDS):
+    rounds = [stored(mates.select(F.col(f"p{number}").alias("pivot"), "rep")
+                     .where("rep <> pivot").distinct(), "near-tried") for number in range(ROUNDS)]
+    for tried in rounds:
         now = stored(labelled(), "near-labelled")
-        pivot = mates.groupBy("key").agg(
-            F.min_by("rep", F.xxhash64("rep", "key", F.lit(number))).alias("pivot"))
-        tried = mates.join(pivot, "key").where("rep <> pivot").select("pivot", "rep").distinct()
         pairs = tried.join(now.alias("y"), "rep") \
             .join(now.select(F.col("rep").alias("pivot"), "n", "s1", "s2", "comp").alias("x"), "pivot") \
             .where((F.col("x.comp") != F.col("y.comp")) & _may_link("x", "y", near)) \
@@ -360,10 +372,14 @@ def _near_components(docs: DataFrame, near: Near, key: str, text: str) -> DataFr
         if not linked(_confirmed(pairs, sets, near)):
             break
     now = stored(labelled(), "near-labelled")
-    known = mates.join(now.select("rep", "comp"), "rep")
-    mixed = known.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")) \
-        .where("low < high").select("key")
-    mixed = stored(mates.join(mixed, "key", "left_semi"), "near-mixed")
+    # a bucket is in several components if one of it is not in that of its mate
+    comps = now.select("rep", "comp")
+    apart = rounds[0].join(comps, "rep").join(
+        comps.select(F.col("rep").alias("pivot"), F.col("comp").alias("other")), "pivot") \
+        .where("comp <> other").select(F.col("pivot").alias("p0"), "rep")
+    keys = mates.join(stored(apart, "near-apart"), ["p0", "rep"], "left_semi").select("key").distinct()
+    mixed = stored(mates.select("key", "rep").join(stored(keys, "near-keys"), "key", "left_semi"),
+                   "near-mixed")
     lone = _lone_shingles(sets.join(mixed.select("rep").distinct(), "rep", "left_semi"))
     able = now.join(lone, "rep", "left").withColumn("lone", F.coalesce("lone", F.lit(0))) \
         .where(100 * (F.col("n") - F.col("lone")) >= near.percent * F.col("n"))
@@ -380,6 +396,8 @@ def _near_components(docs: DataFrame, near: Near, key: str, text: str) -> DataFr
         now = stored(labelled(), "near-labelled")
         linked(_confirmed(_sharing_pairs(placed, now, near), sets, near))
 
+    for table in (documents, classes, labels):
+        keep(table)
     if labels is not None:
         classes = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     else:
