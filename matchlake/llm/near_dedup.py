@@ -420,6 +420,12 @@ def keep_first(docs: DataFrame, near: Near = STAGE, key: str = "doc_id",
     The smallest id stays, a null id only where all are null.  Rows that repeat the id and the
     text of another stay with it, if the id is not null; of null ids one row stays.
     """
+    with tidied(docs.sparkSession) as keep:
+        return _keep_first(docs, near, key, text, keep)
+
+
+def _keep_first(docs: DataFrame, near: Near, key: str, text: str,
+                keep: Callable[[DataFrame], None]) -> DataFrame:
     mark = F.xxhash64(F.col(key), whole_text(text))
     rows = docs.select(mark.alias("mark"), F.col(key).alias("id"), whole_text(text).alias("t"))
     marks = stored(rows.select("mark", "id", F.col("t").rlike(_WORD).alias("full"))
@@ -443,11 +449,14 @@ def keep_first(docs: DataFrame, near: Near = STAGE, key: str = "doc_id",
         .select("component", F.col("best.mark").alias("best"), "size")
     gone = with_groups(members, stored(best, "near-best"), ["component"], "size", total) \
         .where("mark <> best").select("mark", "rows")
-    left = without_rows(docs, stored(gone, "near-gone"), total, {"mark": mark})
+    gone = stored(gone, "near-gone")
+    keep(gone)
+    left = without_rows(docs, gone, total, {"mark": mark})
     # of documents without an id that are equal in text, one row
     twins = members.where("id IS NULL AND rows > 1").select("mark", "rows")
     if twins.isEmpty():
         return left
+    keep(members)
     names = docs.columns
     pairs = with_groups(left.select(mark.alias("mark"), F.struct(*names).alias("row")), twins,
                         ["mark"], "rows", total)
