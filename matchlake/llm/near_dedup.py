@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from matchlake.llm.common import (
     batches_of,
+    few,
     stored,
     tidied,
     whole_text,
@@ -207,7 +208,7 @@ def _shingle_table(docs: DataFrame, ids: DataFrame, key: str, text: str, near: N
                                              names=["rep", "shingles"])
 
     rows = docs.select(F.col(key).cast("long").alias("rep"), whole_text(text).alias("t"))
-    return stored(rows.join(ids, "rep", "left_semi").mapInArrow(run, "rep long, shingles binary"),
+    return stored(rows.join(few(ids), "rep", "left_semi").mapInArrow(run, "rep long, shingles binary"),
                   "near-sets")
 
 

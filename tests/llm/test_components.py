@@ -3,7 +3,8 @@
 import os
 import random
 
-from matchlake.llm import near_dedup
+import pytest
+from matchlake.llm import common, near_dedup
 from matchlake.llm.common import stored, tidied
 from matchlake.llm.components import components
 from pyspark.sql import functions as F
@@ -72,3 +73,22 @@ def test_near_dedup_leaves_no_sets_behind(spark):
                             and os.path.getmtime(f"{root}/{name}") > os.path.getmtime(
                                 os.path.dirname(found.inputFiles()[0].removeprefix("file://")))
                             for name in os.listdir(root))
+
+
+@pytest.mark.parametrize("limit, shuffled", [(200_000, False), (2, True)])
+def test_texts_stay_where_they_are_if_few_rows_go(spark, monkeypatch, limit, shuffled):
+    monkeypatch.setattr(common, "FEW_ROWS", limit)
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        docs = spark.createDataFrame([(i if i else None, "t") for i in range(50)],
+                                     "doc_id long, text string")
+        gone = stored(docs.where("doc_id IS NULL OR doc_id < 9").selectExpr(
+            "doc_id", "1L AS rows"), "gone")
+        left = common.without_rows(docs, gone, 1_000_000, {"doc_id": F.col("doc_id")})
+        plan = left._jdf.queryExecution().executedPlan().toString()
+        assert ("SortMergeJoin" in plan) == shuffled
+        assert sorted(r["doc_id"] for r in left.collect()) == list(range(9, 50))
+    finally:
+        spark.conf.set(threshold, before)
