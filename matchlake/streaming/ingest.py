@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, MapType, StringType, StructField, StructType
 
 from matchlake import vocab as V
 from matchlake.functions.rawjson import is_object
@@ -64,39 +68,58 @@ def postings_stream(spark: SparkSession, path: str, schema=None, **limits) -> Da
     return raw.na.fill("")
 
 
+def _first_places(keys, batches: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Of every key the place of its row with the smallest (batch, place), in ascending order."""
+    codes = keys.dictionary_encode(null_encoding="encode")
+    codes = (codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes).indices.to_numpy()
+    at = np.lexsort((places, batches, codes))
+    return np.sort(at[np.flatnonzero(np.diff(codes[at], prepend=-1))])
+
+
 def first_of_key(stream: DataFrame, key: str, order: str | None, batch: Column | None = None
                  ) -> DataFrame:
-    """(key, incoming, batch, row): per key its rows and, if the key is new, its first one.
+    """The first row of every new key, and how many rows came: the columns of ``stream`` and two more.
+
+    ``_of_batch`` numbers the batches that a trigger takes at once, all are 0 without ``batch``.  Rows
+    without ``_of_rows`` are the rows of smallest ``order`` in the first batch of their key, if no
+    earlier trigger had the key.  Other rows have no posting: ``_of_rows`` counts rows by batch.
 
-    Keys are kept in Spark's state store by their hash partition, so a trigger looks up only its
-    own keys.  ``batch`` numbers the batches that a trigger takes at once, all are 0 without it;
-    ``incoming`` counts a key's rows by batch.  ``row`` is, as JSON, the row of smallest ``order``
-    in the first batch of the key, null for keys of earlier triggers.
+    A trigger's rows are dealt by key and reduced to one row a key, an Arrow batch at a time; only
+    these meet the keys of earlier triggers, which Spark keeps in its state store by their hash
+    partition.  Counts pass the store under a name of their own, one for each task of a trigger.
     """
     at = F.col(order).cast("long") if order in stream.columns else F.lit(0).cast("long")
-    rows = stream.select(
-        F.col(key).alias("key"), (F.lit(0).cast("long") if batch is None else batch).alias("batch"),
-        at.alias("at"), F.to_json(F.struct(*stream.columns), {"ignoreNullFields": "false"}).alias("row"))
-
-    def first(name, chunks, state):
-        incoming, best = Counter(), None
-        for chunk in chunks:
-            batches, places = chunk["batch"].to_numpy(), chunk["at"].to_numpy()
-            incoming.update(batches.tolist())
-            if not state.exists:
-                own = np.flatnonzero(batches == batches.min())
-                k = int(own[places[own].argmin()])
-                one = (int(batches[k]), int(places[k]), chunk["row"].iloc[k])
-                best = one if best is None or one[:2] < best[:2] else best
-        if best is not None:
-            state.update((best[1],))
-        yield pd.DataFrame({"key": [name[0]], "incoming": [dict(incoming)],
-                            "batch": pd.array([None if best is None else best[0]], "Int64"),
-                            "row": [None if best is None else best[2]]})
-
-    return rows.groupBy("key").applyInPandasWithState(
-        first, "key string, incoming map<long,long>, batch long, row string", "first long", "append",
-        "NoTimeout")
+    rows = stream.withColumns({"_of_key": F.col(key), "_of_order": at, "_of_batch": F.lit(0).cast("long")
+                               if batch is None else batch}).repartition("_of_key")
+    out = StructType([*(StructField(f.name, f.dataType) for f in rows.drop("_of_order").schema),
+                      StructField("_of_rows", MapType(LongType(), LongType())), StructField("_of_task", StringType())])
+
+    def first(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def numbers(column) -> np.ndarray:
+            return column.fill_null(np.iinfo(np.int64).min).to_numpy()  # NULL sorts first
+
+        incoming, kept = Counter(), []
+        for part in parts:
+            if part.num_rows:
+                incoming.update(part["_of_batch"].to_pylist())
+                kept.append(part.take(pa.array(_first_places(
+                    part["_of_key"], numbers(part["_of_batch"]), numbers(part["_of_order"])))))
+        if not kept:
+            return
+        stays = np.zeros(sum(part.num_rows for part in kept), bool)
+        narrow = pa.Table.from_batches([part.select(["_of_key", "_of_batch", "_of_order"]) for part in kept])
+        stays[_first_places(narrow["_of_key"], numbers(narrow["_of_batch"]), numbers(narrow["_of_order"]))] = True
+        schema = to_arrow_schema(out)
+        for part in kept:
+            rest, stays = stays[part.num_rows:], stays[:part.num_rows]
+            found, stays = part.filter(pa.array(stays)), rest
+            yield pa.RecordBatch.from_arrays(
+                [found[f.name].cast(f.type) if f.name in found.schema.names else pa.nulls(found.num_rows, f.type)
+                 for f in schema], schema=schema)
+        own = {"_of_rows": [*incoming.items()], "_of_task": uuid.uuid4().hex}
+        yield pa.RecordBatch.from_arrays([pa.array([own.get(f.name)], f.type) for f in schema], schema=schema)
+
+    return rows.mapInArrow(first, out).dropDuplicates(["_of_key", "_of_task"]).drop("_of_key", "_of_task")
 
 
 def unique_postings(stream: DataFrame, event_time: str | None = None,
@@ -117,8 +140,8 @@ def unique_postings(stream: DataFrame, event_time: str | None = None,
         return cleaned.withWatermark(event_time, delay) \
             .dropDuplicatesWithinWatermark(["dedupe_key"])
     batch = batch_number(position, batch_rows) if position else None
-    found = first_of_key(cleaned, "dedupe_key", order, batch).where("row IS NOT NULL")
-    rows = found.select(F.from_json("row", cleaned.schema).alias("row")).select("row.*")
+    rows = first_of_key(cleaned, "dedupe_key", order, batch).where("_of_rows IS NULL") \
+        .select(*cleaned.columns)
     return rows.drop(position) if position else rows
 
 
@@ -147,12 +170,12 @@ def stream_log(stream: DataFrame, output: str, log: str, checkpoint: str,
     def store(found: DataFrame, number: int) -> None:
         found.persist()  # the state is read once for both tables
         try:
-            rows = found.where("row IS NOT NULL").select(F.from_json("row", cleaned.schema).alias("row"))
-            rows.select("row.*").drop(*([position] if position else [])) \
+            first = found.where("_of_rows IS NULL")
+            first.select(*cleaned.columns).drop(*([position] if position else [])) \
                 .write.mode("overwrite").parquet(f"{output}/batch={number}")
-            counts = found.select(F.explode("incoming").alias("batch", "incoming"), F.lit(0).alias("kept")) \
-                .unionByName(found.where("row IS NOT NULL").select(
-                    "batch", F.lit(0).cast("long").alias("incoming"), F.lit(1).alias("kept")))
+            counts = found.select(F.explode("_of_rows").alias("batch", "incoming"), F.lit(0).alias("kept")) \
+                .unionByName(first.select(F.col("_of_batch").alias("batch"), F.lit(0).cast("long").alias("incoming"),
+                                          F.lit(1).alias("kept")))
             # without positions a trigger has its row even if nothing came
             totals = (counts.groupBy((F.col("batch") + 1).alias("batch_id")) if position else counts.groupBy()) \
                 .agg(F.coalesce(F.sum("incoming"), F.lit(0)).alias("incoming_records"),

@@ -149,3 +149,38 @@ def test_a_trigger_takes_many_batches_and_logs_each(spark, posts, tmp_path):
     for n in ("one", "three"):
         assert sorted(spark.read.parquet(f"{tmp_path}/{n}/out").select(cleaned.columns).collect()) == sorted(
             dedupe_first(cleaned).select(cleaned.columns).collect())
+
+
+def test_python_sees_a_partition_not_a_key(spark, tmp_path):
+    """A trigger's rows pass Python once, reduced to one a key; a copy counts but is not written."""
+    rows = spark.range(3000).select(
+        F.col("id").alias("row_index"), *[F.lit("x").alias(c) for c in V.RAW_FIELDS if c != "title"],
+        F.expr("concat('t', id % 1000)").alias("title"))
+    path = str(tmp_path / "posts")
+    rows.coalesce(1).sortWithinPartitions(F.desc("row_index")).write.parquet(path)
+    stream = paced_stream(spark, path, rows.schema, 2000, position="_position")
+    query = SI.stream_log(stream, f"{tmp_path}/out", f"{tmp_path}/log", f"{tmp_path}/keys", trigger=PACED,
+                          position="_position", batch_rows=500)
+    run_to_end(query)
+    plan = query._jsq.explainInternal(True)
+    assert "StreamingDeduplicate" in plan and "FlatMapGroupsInPandas" not in plan
+    # batches of 500 rows fall from 2999, so the first 1000 rows that come are the first of their keys
+    kept = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted(r[0] for r in kept.select("row_index").collect()) == list(range(2000, 3000))
+    log = SI.read_stream_log(spark, f"{tmp_path}/log").orderBy("batch_id").select(
+        "batch_id", "incoming_records", "kept_records", "duplicate_records", "cumulative_unique_records")
+    assert [tuple(r) for r in log.collect()] == [
+        (1, 500, 500, 0, 500), (2, 500, 500, 0, 1000), *[(n, 500, 0, 500, 1000) for n in (3, 4, 5, 6)]]
+    states = list((tmp_path / "keys" / "state" / "0").glob("*/2.delta"))
+    assert states  # the second trigger meets the keys of the first in the store
+
+
+def test_rows_without_order_or_key_are_told_apart():
+    import numpy as np
+    import pyarrow as pa
+
+    keys = pa.array(["a", None, "a", None, "b"])
+    found = SI._first_places(keys, np.array([1, 0, 0, 0, 3]), np.array([0, 9, 5, 2, 1]))
+    assert found.tolist() == [2, 3, 4]
+    chunks = pa.chunked_array([["b", "a"], ["c", "a", None], [], ["b", None]], pa.string())
+    assert SI._first_places(chunks, np.zeros(7, int), np.arange(7)[::-1]).tolist() == [2, 3, 5, 6]
