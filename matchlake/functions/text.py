@@ -26,6 +26,21 @@ WHITESPACE = f"[{BLANKS}]+"
 BLANK_CHARS = "".join(chr(i) for i in (
     *range(0x09, 0x0e), *range(0x1c, 0x21), 0x85, 0xa0, 0x1680, *range(0x2000, 0x200b), 0x2028,
     0x2029, 0x202f, 0x205f, 0x3000))
+
+
+def _one_by_one(codes: Iterable[int]) -> str:
+    """Characters below 256 for a class, where the regex engine looks them up in one bit set."""
+    return "".join(rf"\x{i:02x}" for i in codes)
+
+
+def _runs(chars: str) -> str:
+    """Runs of a class with the blank, but for single blanks: replacing these changes nothing."""
+    return f"[{chars}](?:(?<! )|[{chars}])[{chars}]*"
+
+
+# other characters are tried behind one range
+_BLANK_RUNS = _runs(_one_by_one(ord(c) for c in BLANK_CHARS if ord(c) < 256) + (
+    r"[\u1680-\u3000&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]"))
 # word edges, written out so that every JVM version reads them alike
 WORD_START = r"(?<![\p{L}\p{N}_])"
 WORD_END = r"(?![\p{L}\p{N}_])"
@@ -45,7 +60,7 @@ def text_or_empty(c: Column) -> Column:
 
 def clean_ws(c: Column) -> Column:
     """NULL becomes ''; every run of white space becomes one blank; ends trimmed."""
-    return F.trim(F.regexp_replace(text_or_empty(c), WHITESPACE, " "))
+    return F.trim(F.regexp_replace(text_or_empty(c), _BLANK_RUNS, " "))
 
 
 def strip(c: Column) -> Column:

@@ -467,7 +467,9 @@ def _ordered(spark, sf) -> tuple[str, DataFrame]:
     """The postings as one table in their order, and the table."""
     path = scratch_path(spark, "incoming")
     rows = _document_batch(spark, sf)
-    rows.repartitionByRange("row_index").sortWithinPartitions("row_index").write.parquet(path)
+    # small row groups: a batch is read by many tasks, and no group twice
+    rows.repartitionByRange("row_index").sortWithinPartitions("row_index") \
+        .write.option("parquet.block.size", 4 << 20).parquet(path)
     return path, rows
 
 

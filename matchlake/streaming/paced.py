@@ -8,6 +8,7 @@ Offsets are row numbers along the files in the order of their names.  A batch en
 ``batch_rows`` rows wherever files end; after ``max_batches`` nothing more comes, and
 ``pause_seconds`` pass after every batch.  The driver
 reads footers only; executors read the row groups of their slices, ``slice_rows`` rows a task.
+Slices end where row groups end, so that none is read twice; only larger ones are cut.
 A column named by ``position`` is not read but holds the row numbers.
 """
 
@@ -17,6 +18,7 @@ import time
 from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
@@ -26,6 +28,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
 SLICE_ROWS = 65_536
+#: Fewer rows are not worth a task of their own.
+LEAST_SLICE_ROWS = 1_024
 
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
@@ -54,11 +58,15 @@ class PacedReader(DataSourceStreamReader):
         self.prefix = options["path"]
         self.files = sorted(f.path for f in found if f.is_file and f.base_name.endswith(".parquet")
                             and not f.base_name.startswith(("_", ".")))
-        self.ends, total = [], 0
+        # row groups: rows up to their end, and their file with the rows before it
+        self.ends, self.places, total = [], [], 0
         for file in self.files:
             with system.open_input_file(file) as opened:
-                total += pq.ParquetFile(opened).metadata.num_rows
-            self.ends.append(total)
+                footer, base = pq.ParquetFile(opened).metadata, total
+            for group in range(footer.num_row_groups):
+                total += footer.row_group(group).num_rows
+                self.ends.append(total)
+                self.places.append((file, base))
         batches = options.get("max_batches")
         self.limit = total if batches is None else min(total, int(batches) * self.batch_rows)
         self.pause = float(options.get("pause_seconds", 0))
@@ -80,9 +88,13 @@ class PacedReader(DataSourceStreamReader):
         slices, at = [], start["row"]
         while at < end["row"]:
             k = bisect_right(self.ends, at)
-            base = self.ends[k - 1] if k else 0
-            to = min(end["row"], self.ends[k], at + self.slice_rows)
-            slices.append(Slice(self.files[k], at - base, to - base, base))
+            (file, base), limit = self.places[k], min(end["row"], at + self.slice_rows)
+            to = min(limit, self.ends[k])
+            while to == self.ends[k] and k + 1 < len(self.ends) and self.places[k + 1][0] == file \
+                    and min(end["row"], self.ends[k + 1]) <= limit:
+                k += 1
+                to = min(limit, self.ends[k])
+            slices.append(Slice(file, at - base, to - base, base))
             at = to
         return slices
 
@@ -99,7 +111,7 @@ class PacedReader(DataSourceStreamReader):
                     if self.position:
                         at = partition.base + base
                         table = table.append_column(self.position, pa.array(
-                            range(at, at + rows), pa.int64()))
+                            np.arange(at, at + rows, dtype=np.int64)))
                     yield from table.select(self.names).slice(first, last - first).to_batches()
                 base += rows
 
@@ -121,13 +133,16 @@ def paced_stream(spark: SparkSession, path: str, schema: StructType, batch_rows:
                  position: str | None = None) -> DataFrame:
     """Stream over Parquet files, ``batch_rows`` rows a batch, ``max_batches`` batches at most.
 
-    ``position`` names a further column with the row numbers.
+    ``position`` names a further column with the row numbers.  A batch is cut into slices for all
+    cores, as far as ``SLICE_ROWS`` and the row groups allow.
     """
+    cores = max(spark.sparkContext.defaultParallelism, 1)
     spark.dataSource.register(PacedParquet)
     if position is not None:
         schema = StructType([*schema.fields, StructField(position, LongType())])
     reader = spark.readStream.format("paced_parquet").schema(schema).option("path", path) \
-        .option("batch_rows", batch_rows).option("pause_seconds", pause_seconds)
+        .option("batch_rows", batch_rows).option("pause_seconds", pause_seconds) \
+        .option("slice_rows", min(max(-(-batch_rows // cores), LEAST_SLICE_ROWS), SLICE_ROWS))
     if position is not None:
         reader = reader.option("position", position)
     if max_batches is not None:

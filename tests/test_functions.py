@@ -100,3 +100,16 @@ def test_salary_object_with_wide_blanks(spark):
               f'{{"value": 130000, "open": [{wide}True,{wide}False,{wide}None ]}}']
     assert column(spark, values, lambda c: P.salary_object(c)["value"]) == ["120000", None, "130000"]
     assert column(spark, values, P.salary_number) == [120000, 80000, 130000]
+
+
+def test_runs_of_blanks_are_one_blank_and_single_blanks_stay(spark):
+    import random
+
+    draw = random.Random(3)
+    rows = [(None,), (" ",), (" a\tb ",), ("a\x1c b",), *[
+        ("".join(draw.choices(T.BLANK_CHARS + "    ab\U0001f600​", k=draw.randint(0, 12))),) for _ in range(3000)]]
+    df = spark.createDataFrame(rows, "t string")
+    plain = F.trim(F.regexp_replace(T.text_or_empty(F.col("t")), T.WHITESPACE, " "))
+    assert df.where(T.clean_ws(F.col("t")) != plain).count() == 0
+    # a single blank is not replaced by itself
+    assert df.select(F.regexp_count(F.lit("a b c  d\n"), F.lit(T._BLANK_RUNS))).first()[0] == 2

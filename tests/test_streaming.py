@@ -184,3 +184,28 @@ def test_rows_without_order_or_key_are_told_apart():
     assert found.tolist() == [2, 3, 4]
     chunks = pa.chunked_array([["b", "a"], ["c", "a", None], [], ["b", None]], pa.string())
     assert SI._first_places(chunks, np.zeros(7, int), np.arange(7)[::-1]).tolist() == [2, 3, 5, 6]
+
+
+def test_a_trigger_is_read_by_many_tasks_and_no_row_group_twice(spark, tmp_path):
+    from matchlake.streaming.paced import PacedReader
+
+    path = str(tmp_path / "rows")
+    df = spark.range(0, 10_000, 1, 2).select(F.col("id").alias("row_index"), F.expr("repeat('x', 500)").alias("t"))
+    df.write.option("parquet.block.size", 100_000).option("parquet.page.size.row.check.min", 10) \
+        .option("parquet.enable.dictionary", False).option("compression", "none").parquet(path)
+    reader = PacedReader(df.schema, {"path": path, "batch_rows": "8000", "slice_rows": "1500"})
+    groups = [0, *reader.ends]
+    assert len(groups) > 20 and max(b - a for a, b in zip(groups, groups[1:])) < 1000
+    for start, end in ((0, 8000), (8000, 10_000), (77, 4100)):
+        slices = reader.partitions({"row": start}, {"row": end})
+        places = [(s.base + s.first, s.base + s.last) for s in slices]
+        assert [a for a, _ in places] == [start, *[b for _, b in places[:-1]]] and places[-1][1] == end
+        assert all(b - a <= 1500 for a, b in places) and len(places) >= (end - start) // 1500
+        assert all(b in groups for _, b in places[:-1])
+        rows = [r for s in slices for batch in reader.read(s) for r in batch.column("row_index").to_pylist()]
+        assert rows == list(range(start, end))
+    # a larger group is cut
+    cut = PacedReader(df.schema, {"path": path, "batch_rows": "8000", "slice_rows": "7"})
+    assert [s.last - s.first for s in cut.partitions({"row": 0}, {"row": 21})] == [7, 7, 7]
+    stream = paced_stream(spark, path, df.schema, 8000)
+    assert stream._jdf.queryExecution().analyzed().isStreaming()
