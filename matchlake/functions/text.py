@@ -41,13 +41,15 @@ def _runs(chars: str) -> str:
 # other characters are tried behind one range
 _BLANK_RUNS = _runs(_one_by_one(ord(c) for c in BLANK_CHARS if ord(c) < 256) + (
     r"[\u1680-\u3000&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]"))
+#: What a search form keeps of lower-cased text.
+SEARCH_CHARS = "abcdefghijklmnopqrstuvwxyz0123456789+#."
+SEARCH_GAPS = _runs(_one_by_one(i for i in range(128) if chr(i) not in SEARCH_CHARS) + r"\x{80}-\x{10FFFF}")
 # word edges, written out so that every JVM version reads them alike
 WORD_START = r"(?<![\p{L}\p{N}_])"
 WORD_END = r"(?![\p{L}\p{N}_])"
 # everything but a-z, 0-9 and the kept signs, for lower-cased text
 LOCATION_GAPS = r"\P{Alnum}+"
 # a single blank between kept characters stays as it is
-SEARCH_GAPS = r'(?! [a-z0-9+#.])[\x00-"$-*,\-/:-`{-\x{10FFFF}]+'
 COVERAGE_GAPS = r'(?! [a-z0-9+#.-])[\x00-"$-*,/:-`{-\x{10FFFF}]+'
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 BOUND_LEFT = r"(?<!\p{Alnum})"

@@ -113,3 +113,32 @@ def test_runs_of_blanks_are_one_blank_and_single_blanks_stay(spark):
     assert df.where(T.clean_ws(F.col("t")) != plain).count() == 0
     # a single blank is not replaced by itself
     assert df.select(F.regexp_count(F.lit("a b c  d\n"), F.lit(T._BLANK_RUNS))).first()[0] == 2
+
+
+def test_the_length_of_a_vector_is_found_once(spark):
+    import time
+
+    from matchlake.functions.vectors import l2_normalize
+
+    df = spark.range(300).select(F.transform(F.sequence(F.lit(0), F.lit(2047)), lambda i: (
+        (i * (F.col("id") + 3)) % 17 - 8).cast("float")).alias("v"))
+    unit = df.select("v", l2_normalize(F.col("v")).alias("u"))
+    began = time.time()
+    rows = unit.collect()
+    assert time.time() - began < 30  # 2,048 lengths a row took minutes
+    for r in rows[::50]:
+        length = sum(x * x for x in r["v"]) ** 0.5
+        assert all(abs(x / length - u) < 1e-6 for x, u in zip(r["v"], r["u"], strict=True))
+    odd = spark.createDataFrame([(None,), ([],), ([0.0, 0.0],), ([3.0, 4.0],), ([3.0, None],)], "v array<float>")
+    assert [r[0] for r in odd.select(l2_normalize(F.col("v"))).collect()][:4] == [
+        None, [], [0.0, 0.0], [0.6000000238418579, 0.800000011920929]]
+
+
+def test_search_form_equals_its_plain_pattern(spark):
+    import random
+
+    draw = random.Random(5)
+    rows = [("".join(draw.choices("abzAZ09+#. \t  -,/é ​\U0001f600'\"", k=draw.randint(0, 14))),) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "t string")
+    plain = F.trim(F.regexp_replace(F.lower("t"), r"[^a-z0-9+#.]+", " "))
+    assert df.where(T.search_form(F.col("t")) != plain).count() == 0
